@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm import packing, subwords, token_output
 
-TEXT = st.text(alphabet=st.sampled_from(list("abzéÉçßñ̀́ \n\t.,;'!?#$%&*<|>0129Σσİ中  ") + ["<|endoftext|>", "'s", " the "]), max_size=60)
+TEXT = st.lists(st.sampled_from([*"abzéÉçßñ̀́ \n\t.,;'!?#$%&*<|>0129Σσİ中\u2028\u00a0", "<|endoftext|>", "'s", " the ", "<|StartOfText|>"]), max_size=40).map("".join)
 
 
 def reference_ids(text, end_id):
