@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 from .textbuf import chunks, ragged, utf8
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
-#: The tokenizer always splits between a letter and one of these, so a space there changes nothing.
-AFTER_LETTER = r"(\pL)([.,;:!?#$%&*])"
+#: The tokenizer always splits between a letter (here of Latin-1: lower-casing makes one letter of it) and one of these, so a space there changes nothing.
+AFTER_LETTER = r"([a-zA-ZÀ-ÖØ-öø-ÿ])([.,;:!?#$%&*])"
 #: Distinct pieces kept by a worker (about 250 bytes each).
 CACHE_PIECES = 1_500_000
 
