@@ -127,12 +127,11 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int):
         row, good, s = np.repeat(np.arange(len(counts)), counts), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     short = np.flatnonzero((counts > 0) & (counts < k))
     if len(short):
-        extra = np.empty(len(short), np.uint64)
-        for i, r in enumerate(short):
-            v = np.uint64(0)
-            for w in h[first[r] : first[r + 1]]:
-                v = mix(np.array([v * np.uint64(3) + w]))[0]
-            extra[i] = mix(np.array([v ^ np.uint64(counts[r])]))[0]
+        extra = np.zeros(len(short), np.uint64)
+        for j in range(k - 1):
+            has = counts[short] > j
+            extra[has] = mix(extra[has] * np.uint64(3) + h[first[short[has]] + j])
+        extra = mix(extra ^ counts[short].astype(np.uint64))
         good = np.concatenate([good, first[short]])
         s = np.concatenate([s, extra])
         order = np.argsort(good, kind="stable")
