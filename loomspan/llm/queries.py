@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontaminate, jaccard, packing, token_output
+from . import decontaminate, jaccard, language, packing, token_output
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), seq_len=2048, end_id=1)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, learnable=language.fold("doc_id", 3) != 1)
+    held_out = (language.fold("doc_id", 3) == 1).alias("held_out")
+    return language.predict(docs, model).select("doc_id", held_out, "lang_pred", "score", "rejected")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), percent=85, k=4)
     return found.select("doc_id", "n_shingles", "component_id", "class_id")
@@ -29,7 +36,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_packing": op3_packing, "op5_jaccard_join": op5_jaccard_join, "op9_token_output": op9_token_output, "op10_decontamination": op10_decontamination}
+    return {"op3_packing": op3_packing, "op4_language_id": op4_language_id, "op5_jaccard_join": op5_jaccard_join, "op9_token_output": op9_token_output, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
