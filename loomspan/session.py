@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def local_session(cores: str = "8", **conf: str) -> SparkSession:
     """A local session for tests and benches; on a cluster, use the given one."""
@@ -21,5 +25,16 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Put this checkout on the Python workers' path, for sessions that were begun without it.
+
+    A cluster gets the package by ``--py-files`` or an installation as usual.
+    """
+    own = spark.sparkContext.environment
+    if ROOT not in own.get("PYTHONPATH", "").split(os.pathsep):
+        own["PYTHONPATH"] = os.pathsep.join(x for x in (own.get("PYTHONPATH"), ROOT) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
