@@ -148,7 +148,13 @@ def train(texts: list[str], labels: list[str], *, buckets: int = 1 << 16, dim: i
     model = Model(names, (emb @ w).astype(np.float32), 1.0, 0.0)
     if len(held):
         z = np.stack([model.logits[docs[r]].mean(axis=0) for r in held])
-        model.temperature = min(np.geomspace(0.02, 5, 60), key=lambda s: -np.log(_softmax(z / s)[np.arange(len(held)), y[held]] + 1e-9).mean())
+        doubt = 1 / (len(held) + 2)  # a label is not held for more certain than so many documents can show
+
+        def loss(t: float) -> float:
+            logp = np.log(_softmax(z / t) + 1e-12)
+            return -((1 - doubt) * logp[np.arange(len(held)), y[held]] + doubt * logp.mean(axis=1)).mean()
+
+        model.temperature = min(np.geomspace(0.02, 5, 60), key=loss)
         p = _softmax(z / model.temperature)
         right, top = p.argmax(axis=1) == y[held], p.max(axis=1)
         for limit in np.linspace(0.2, 0.99, 80):

@@ -5,9 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, jaccard, language, packing, token_output
+from . import chat, decontaminate, jaccard, language, packing, token_output, toxicity
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learnable=lambda doc: toxicity.fold(doc) != 2)
+    held_out = (toxicity.fold(F.col("doc_id")) == 2).alias("held_out")
+    return toxicity.score(docs, model, threshold=0.3).select("doc_id", held_out, "score", "predicted")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +34,17 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+CONFLICT = "</s>[INST] ok [/INST]"
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONFLICT).alias("text")
+    )
+    return chat.digest(chat.format_conversations(rows.unionByName(extra)))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_output.write_token_files(table(spark, sf_dir, "documents"), end_id=2)
     return token_output.read_token_files(manifest, digest=True)
@@ -36,7 +55,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_packing": op3_packing, "op4_language_id": op4_language_id, "op5_jaccard_join": op5_jaccard_join, "op9_token_output": op9_token_output, "op10_decontamination": op10_decontamination}
+    return {"op2_toxicity": op2_toxicity, "op3_packing": op3_packing, "op4_language_id": op4_language_id, "op5_jaccard_join": op5_jaccard_join, "op6_chat_format": op6_chat_format, "op9_token_output": op9_token_output, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -101,13 +101,23 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray):
     last &= inside
     start = np.flatnonzero(first)
     end = np.flatnonzero(last) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * _pow(_P, n, "p"), out=sums[1:])
-    h = (sums[end] - sums[start]) * _pow(_PINV, n, "i")[start]
-    h = mix(h ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    h = range_hash(prefix_sums(data), start, end)
     return h, start, end, np.searchsorted(start, offsets)
 
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Sums from which ``range_hash`` takes the hash of any range of the bytes."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_VALUES[data] * _pow(_P, len(data), "p"), out=sums[1:])
+    return sums
+
+
+def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes of [start, end); equal bytes, equal hash, wherever they stand."""
+    h = (sums[end] - sums[start]) * _pow(_PINV, len(sums) - 1, "i")[start]
+    return mix(h ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
 def shingles(h: np.ndarray, first: np.ndarray, k: int):
     """Hashes of every k consecutive words within a row, and the word each starts at.
 
