@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, decontaminate, jaccard, language, packing, token_output, toxicity, vector_search
+from . import chat, decontaminate, jaccard, language, packing, page_text, token_output, toxicity, vector_search
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest(table(spark, sf_dir, "embeddings"), is_query=lambda i: i % 20 == 0, k=20)
 
 
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_output.write_token_files(table(spark, sf_dir, "documents"), end_id=2)
     return token_output.read_token_files(manifest, digest=True)
@@ -59,7 +63,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op3_packing": op3_packing, "op4_language_id": op4_language_id, "op5_jaccard_join": op5_jaccard_join, "op6_chat_format": op6_chat_format, "op7_vector_search": op7_vector_search, "op9_token_output": op9_token_output, "op10_decontamination": op10_decontamination}
+    return {"op2_toxicity": op2_toxicity, "op3_packing": op3_packing, "op4_language_id": op4_language_id, "op5_jaccard_join": op5_jaccard_join, "op6_chat_format": op6_chat_format, "op7_vector_search": op7_vector_search, "op8_page_text": op8_page_text, "op9_token_output": op9_token_output, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
