@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, decontaminate, jaccard, language, packing, page_text, token_output, toxicity, vector_search
+from . import chat, decontaminate, jaccard, language, packing, page_text, passages, token_output, toxicity, vector_search
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find(table(spark, sf_dir, "documents"), k=5, min_words=50, identity=0.8)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +67,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op3_packing": op3_packing, "op4_language_id": op4_language_id, "op5_jaccard_join": op5_jaccard_join, "op6_chat_format": op6_chat_format, "op7_vector_search": op7_vector_search, "op8_page_text": op8_page_text, "op9_token_output": op9_token_output, "op10_decontamination": op10_decontamination}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_toxicity": op2_toxicity, "op3_packing": op3_packing, "op4_language_id": op4_language_id, "op5_jaccard_join": op5_jaccard_join, "op6_chat_format": op6_chat_format, "op7_vector_search": op7_vector_search, "op8_page_text": op8_page_text, "op9_token_output": op9_token_output, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
