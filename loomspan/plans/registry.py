@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import relational, synthetic
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**relational.QUERIES, **synthetic.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**relational.SQL, **synthetic.SQL}
