@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -75,8 +76,6 @@ class HttpSource(DataSource):
 
 def pdf_text(df: DataFrame, body: str = "body") -> DataFrame:
     """Adds ``pdf_text``: pages' texts with blank lines between; null without a PDF library or for a bad file."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(bodies: pd.Series) -> pd.Series:
         try:
