@@ -1,18 +1,50 @@
-"""Connected components of a link table, by alternating large and small stars.
+"""Connected components of a link table.
 
-Nodes are longs; every step is a grouped minimum and an equi-join, so no group is
-gathered in a task and a node with very many links is split by the skew join.
-Each round is written to the shared folder.
+Up to ``ONE_TASK`` distinct links, a size that is counted first, one task (not
+the driver) spreads labels over two arrays of that length. Beyond it the links go
+through alternating large and small stars: every step is a grouped minimum and an
+equi-join, so no group is gathered in a task and a node with very many links is
+split by the skew join; each round is written to the shared folder. Both give the
+same rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialise
 
 MAX_ROUNDS = 60
+#: Links that one task takes, 16 bytes each.
+ONE_TASK = 2_000_000
+
+
+def label_nodes(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the links, and the smallest node that each can reach."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, before[a], least)
+        np.minimum.at(label, before[b], least)
+        while not np.array_equal(label[label], label):
+            label = label[label]
+        if np.array_equal(label, before):
+            return nodes, nodes[label]
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if parts:
+        nodes, label = label_nodes(*(np.concatenate(x) for x in zip(*parts)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(label)], names=["node", "label"])
 
 
 def _mark(links: DataFrame) -> tuple[int, int]:
@@ -28,6 +60,8 @@ def components(links: DataFrame, u: str, v: str) -> DataFrame:
     e = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(f"`{u}` is not null and `{v}` is not null and u <> v").distinct()
     e = materialise(e, "links")
     before = _mark(e)
+    if before[0] <= ONE_TASK:
+        return materialise(e.select("u", "v").coalesce(1).mapInArrow(_in_one_task, "node long, label long"), "components")
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break

@@ -10,7 +10,8 @@ with one set are a class, known by a 64-bit fingerprint. Two classes link when
 2. *Buckets*: two sets that link share a shingle among the first
    n - ceil(percent * n / 100) + 1 of either in this order. Classes meet in
    buckets by these shingles; buckets of one class, members without a partner of
-   fitting size, and buckets with the members of another go.
+   fitting size, and buckets with the members of another go; a bucket larger
+   than a block is taken apart by bands of size.
 3. *Signature trees*: each bucket's members, sorted by size, are leaves of a tree
    whose nodes hold OR-combined bitmaps of shingles and a size range. Two nodes
    are taken apart while the largest overlap that their bitmaps allow could
@@ -32,6 +33,7 @@ copies and share a component; a null id is left out; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +46,7 @@ from .components import components
 from .store import materialise
 from .textbuf import SPACE_WORDS, chunks, mix, ragged, shingles, utf8, word_hashes
 
-CELLS = 1 << 16
+CELLS = 1 << 20
 #: Members of one tree, and of one block of a large group.
 BLOCK = 768
 ANCHORS = 4
@@ -61,14 +63,26 @@ def _sets(batch: pa.RecordBatch, k: int, column: int = 1):
         h, _, _, first = word_hashes(part, offsets[i : j + 1] - offsets[i], SPACE_WORDS)
         s, at = shingles(h, first, k)
         row = np.searchsorted(first, at, side="right") - 1
-        order = np.lexsort((s, row))
-        s, row = s[order], row[order]
+        s, row = _sorted_rows(s, row)
         new = np.ones(len(s), bool)
         new[1:] = (s[1:] != s[:-1]) | (row[1:] != row[:-1])
         s, row = s[new], row[new]
         yield i, s, np.searchsorted(row, np.arange(j - i + 1))
 
 
+def _sorted_rows(s: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted by row, then hash: by one key of the row and the hash's high bits, wherever that tells hashes apart."""
+    if len(s) and row[-1] < 1 << 14:
+        key = (row.astype(np.uint64) << np.uint64(50)) | (s >> np.uint64(14))
+        order = np.argsort(key)
+        key, high = key[order], s[order]
+        same = key[1:] == key[:-1]
+        if not (same & (high[1:] != high[:-1])).any():
+            return high, row[order]
+    order = np.lexsort((s, row))
+    return s[order], row[order]
+
+
 def _fingerprints(s: np.ndarray, at: np.ndarray) -> np.ndarray:
     total = np.zeros(len(s) + 1, np.uint64)
     np.cumsum(mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)), out=total[1:])
@@ -77,21 +91,22 @@ def _fingerprints(s: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _cells(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (s & np.uint64(CELLS - 1)).astype(np.int64), ((s >> np.uint64(20)) & np.uint64(CELLS - 1)).astype(np.int64) + CELLS
+    return (s & np.uint64(CELLS - 1)).astype(np.int64), ((s >> np.uint64(32)) & np.uint64(CELLS - 1)).astype(np.int64) + CELLS
 
 
 def _profiler(k: int):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(2 * CELLS, np.int64)
+        sketch = np.zeros(2 * CELLS, np.int32)
         for batch in batches:
             for i, s, at in _sets(batch, k):
                 a, b = _cells(s)
-                sketch += np.bincount(a, minlength=2 * CELLS) + np.bincount(b, minlength=2 * CELLS)
+                np.add.at(sketch, a, 1)
+                np.add.at(sketch, b, 1)
                 n = len(at) - 1
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(np.diff(at)), pa.array(_fingerprints(s, at)), pa.nulls(n, pa.int32())], names=["doc", "n", "cls", "cell"])
-        mean = sketch.sum() / (2 * CELLS)
+        mean = sketch.sum(dtype=np.int64) / (2 * CELLS)
         heavy = np.flatnonzero(sketch > 2 * mean + 8)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(heavy), pa.int64()), pa.array(sketch[heavy]), pa.nulls(len(heavy), pa.int64()), pa.array(heavy.astype(np.int32))], names=["doc", "n", "cls", "cell"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(heavy), pa.int64()), pa.array(sketch[heavy].astype(np.int64)), pa.nulls(len(heavy), pa.int64()), pa.array(heavy.astype(np.int32))], names=["doc", "n", "cls", "cell"])
 
     return profile
 
@@ -113,7 +128,7 @@ def _prefix(percent: int, k: int, level: np.ndarray):
                 row = np.repeat(np.arange(len(n)), n)
                 a, b = _cells(s)
                 weight = np.minimum(level[a], level[b])
-                order = np.lexsort((s, weight, row))
+                order = np.argsort(row * 128 + weight, kind="stable")  # hashes are sorted within rows
                 keep = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
                 for r in range(len(n)):  # a copy's rows are those of its class
                     c = int(cls[r])
@@ -140,7 +155,13 @@ def _buckets(docs: DataFrame, percent: int, k: int, level: np.ndarray) -> DataFr
     rows = materialise(rows.withColumn("fits", F.coalesce(fits, F.lit(False))).where("fits").drop("fits"), "members")
     marks = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("s"), F.sum(F.xxhash64("cls", F.lit(7)).cast("decimal(20,0)")).alias("t"))
     kept = marks.where("c > 1").groupBy("c", "s", "t").agg(F.min("bucket").alias("bucket")).select("bucket", "c")
-    return materialise(rows.join(kept, "bucket"), "members")
+    rows = rows.join(kept, "bucket")
+    # Sizes that can link lie in one band or in two next to each other: a large bucket is taken apart by bands.
+    band = F.floor(F.log("n") / F.lit(math.log(100 / percent))).cast("int")
+    large = rows.where(F.col("c") > BLOCK).withColumn("band", F.explode(F.array(band, band - 1)))
+    large = large.select(F.xxhash64("bucket", "band").alias("bucket"), "cls", "n")
+    sizes = large.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return materialise(rows.where(F.col("c") <= BLOCK).select("bucket", "cls", "n", "c").unionByName(large.join(sizes, "bucket").select("bucket", "cls", "n", "c")), "members")
 
 
 def _filter(keys: DataFrame, column: str) -> np.ndarray:
@@ -358,38 +379,39 @@ def _linker(percent: int):
 
 
 def _again(table: np.ndarray, k: int, whole: bool):
-    """Sets, or bitmaps, of the documents whose class may be in a filter; a class once a task."""
+    """Sets, or bitmaps, of the documents that may be in a filter."""
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             may = _in_filter(table, batch.column(2).to_numpy(), batch.column(3).to_numpy())
             batch = batch.filter(pa.array(may))
-            for _, s, at in _sets(batch, k):
-                cls, out, key, size = _fingerprints(s, at), [], [], []
+            for i, s, at in _sets(batch, k):
+                cls, out = _fingerprints(s, at), []
                 for r in range(len(cls)):
-                    own, c = s[at[r] : at[r + 1]], int(cls[r])
-                    if len(own) and c not in seen:
-                        seen.add(c)
-                        key.append(c)
-                        out.append(own.tobytes() if whole else bitmap(own, _bits_for(len(own))).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(out, pa.binary())], names=["cls", "payload"])
+                    own = s[at[r] : at[r + 1]]
+                    out.append(own.tobytes() if whole else bitmap(own, _bits_for(len(own))).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(cls)), pa.array(cls, pa.int64()), pa.array(out, pa.binary())], names=["doc", "cls", "payload"])
 
     return again
 
 
-def _payload(docs: DataFrame, first: DataFrame, wanted: DataFrame, k: int, whole: bool) -> DataFrame:
-    """``cls, payload`` for at least the wanted classes, from the texts of their first documents."""
-    keys = first.join(wanted, "cls", "left_semi")
-    table = _filter(keys, "doc")
+def _with_payload(rows: DataFrame, docs: DataFrame, k: int, whole: bool) -> DataFrame:
+    """``rows`` (with ``doc`` and ``cls``) and the ``payload`` of the document's set, made from its text.
+
+    The filter spares most documents; that it lets some through that no row
+    names costs time only, and at any size the join is exact.
+    """
+    table = _filter(rows, "doc")
     cell = F.pmod(F.xxhash64("doc"), F.lit(1 << (FILTER_BITS - 6))).cast("int").alias("cell")
     bit = F.pmod(F.xxhash64(F.lit(3), "doc"), F.lit(64)).cast("int").alias("bit")
-    return docs.select("doc", "text", cell, bit).mapInArrow(_again(table, k, whole), "cls long, payload binary").dropDuplicates(["cls"])
+    made = docs.select("doc", "text", cell, bit).mapInArrow(_again(table, k, whole), "doc long, cls long, payload binary")
+    return rows.join(made, ["doc", "cls"])
 
 
-def _link_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    blocks = rows.repartition("block").sortWithinPartitions("block")
-    return blocks.mapInArrow(_linker(percent), "a long, b long")
+def _linked(rows: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
+    blocks = _with_payload(rows, docs, k, whole=True).withColumnRenamed("payload", "shingles")
+    blocks = blocks.repartition("block").sortWithinPartitions("block", F.col("side").desc())
+    return materialise(blocks.mapInArrow(_linker(percent), "a long, b long"), "pairs")
 
 
 def class_components(docs: DataFrame, profile: DataFrame, *, percent: int, k: int) -> DataFrame:
@@ -397,44 +419,40 @@ def class_components(docs: DataFrame, profile: DataFrame, *, percent: int, k: in
     members = _buckets(docs, percent, k, _levels(profile))
     first = profile.where("n > 0").groupBy("cls").agg(F.min("doc").alias("doc"))
 
-    small = members.where(F.col("c") <= BLOCK)
-    maps = _payload(docs, first, small.select("cls").distinct(), k, whole=False).withColumnRenamed("payload", "bits")
-    trees = small.join(maps, "cls").repartition("bucket").sortWithinPartitions("bucket", "n", "cls")
-    star = trees.select("bucket", "cls", "n", "bits").mapInArrow(_grouper(percent), "cls long, to long")
+    small = materialise(members.where(F.col("c") <= BLOCK).select("bucket", "cls", "n").join(first, "cls"), "members")
+    trees = _with_payload(small, docs, k, whole=False).withColumnRenamed("payload", "bits").select("bucket", "cls", "n", "bits")
+    star = trees.repartition("bucket").sortWithinPartitions("bucket", "n", "cls").mapInArrow(_grouper(percent), "cls long, to long")
     large = members.where(F.col("c") > BLOCK)
     large = large.join(large.groupBy("bucket").agg(F.min("cls").alias("to")), "bucket").select("cls", "to")
-    groups = components(star.unionByName(large).distinct(), "cls", "to").withColumnRenamed("label", "grp")
-    groups = materialise(groups.select(F.col("node").alias("cls"), "grp"), "groups")
-
+    # What goes on from here is ids; sets are made again for the last step only.
+    groups = components(star.unionByName(large).distinct(), "cls", "to").select(F.col("node").alias("cls"), F.col("label").alias("grp"))
     counts = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("c"))
-    sets = materialise(_payload(docs, first, groups.select("cls"), k, whole=True).join(groups, "cls").join(counts, "grp").withColumnRenamed("payload", "shingles"), "sets")
+    dealt = groups.join(counts, "grp").join(first, "cls")
     parts = F.ceil(F.col("c") / BLOCK).cast("int")
     part = F.when(F.col("c") <= BLOCK, 0).otherwise(F.pmod(F.xxhash64("cls", F.lit(11)), parts)).cast("int")
-    dealt = sets.select("cls", "shingles", "grp", "c", part.alias("part"), F.col("cls").alias("label"), F.lit(0).alias("side"))
+    dealt = materialise(dealt.withColumn("part", part).withColumn("label", F.col("cls")).withColumn("side", F.lit(0)), "groups")
     block = F.xxhash64("grp", "part").alias("block")
-    # A large group's first members stand in each of its blocks, so that its blocks come together.
-    heads = groups.join(counts.where(F.col("c") > BLOCK), "grp").groupBy("grp").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("cls"), F.ceil(F.col("c") / 64)) == 0, F.col("cls")))), 1, ANCHORS).alias("heads"))
-    heads = heads.select("grp", F.explode("heads").alias("cls"))
-    anchors = sets.join(heads, ["grp", "cls"]).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("cls", "shingles", "grp", "c", F.col("part").cast("int").alias("part"), F.col("cls").alias("label"), F.lit(0).alias("side"))
-    rows = dealt.unionByName(anchors).select(block, "cls", "shingles", "label", "side")
-    links = materialise(_link_blocks(rows, percent), "pairs")
-
     big = dealt.where(F.col("c") > BLOCK)
-    if not counts.where(F.col("c") > BLOCK).limit(1).count():
-        return components(links, "a", "b")
+    # Some members of a large group stand in each of its blocks, so that its blocks come together.
+    least = F.min(F.struct(F.xxhash64("cls", F.lit(17)), "cls"))
+    heads = big.groupBy("grp", F.pmod(F.xxhash64("cls"), F.lit(ANCHORS))).agg(least.alias("h")).select("grp", F.col("h.cls").alias("cls"))
+    anchors = big.join(heads, ["grp", "cls"]).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    columns = [block, "cls", "doc", "label", "side"]
+    links = _linked(dealt.select(*columns).unionByName(anchors.select(*columns)).distinct(), docs, percent, k)
     label = components(links, "a", "b")
-    own = big.drop("label", "side").join(label, big.cls == label.node, "left").withColumn("label", F.coalesce("label", "cls")).drop("node")
+    if not big.limit(1).count():
+        return label
+    own = big.drop("label").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     own = materialise(own, "labelled")
     most = own.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("grp").agg(F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
     own = own.join(most.where("labels > 1").select("grp", F.col("top.label").alias("top")), "grp")
     left = own.where("label <> top")
-    few = left.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
+    few = left.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("turns"))
     cross = F.xxhash64("grp", "part", "turn", F.lit(5)).alias("block")
-    ask = left.join(few, "grp").withColumn("turn", F.pmod(F.xxhash64("cls", F.lit(13)), F.col("k")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    told = own.join(few, "grp").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = ask.select(cross, "cls", "shingles", "label", F.lit(1).alias("side")).unionByName(told.select(cross, "cls", "shingles", "label", F.lit(0).alias("side")))
-    rows = rows.repartition("block").sortWithinPartitions("block", F.col("side").desc())
-    more = rows.mapInArrow(_linker(percent), "a long, b long")
+    ask = left.join(few, "grp").withColumn("turn", F.pmod(F.xxhash64("cls", F.lit(13)), F.col("turns")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("side", F.lit(1))
+    told = own.join(few, "grp").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    columns = [cross, "cls", "doc", "label", "side"]
+    more = _linked(ask.select(*columns).unionByName(told.select(*columns)), docs, percent, k)
     return components(links.unionByName(more), "a", "b")
 
 

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from loomspan.llm import components as components_module
 from loomspan.llm import jaccard
 from loomspan.llm.components import components
 
@@ -122,7 +123,9 @@ def test_trees_keep_every_link(specs, percent):
                 assert frozenset((i, j)) in got
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [10**6, 0])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components_module, "ONE_TASK", one_task)
     rows = [(i, i + 1) for i in range(0, 60)] + [(100, 90), (90, 95), (7, 7), (None, 3), (200, 201)]
     got = {r.node: r.label for r in components(spark.createDataFrame(rows, "a long, b long"), "a", "b").collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 90, 90: 90, 95: 90, 200: 200, 201: 200}
