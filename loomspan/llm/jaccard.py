@@ -170,8 +170,8 @@ def _filter(keys: DataFrame, column: str) -> np.ndarray:
     bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(3, {column}), 64) as int))")
     words = keys.select(cell, bit.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("w"))
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in words.toLocalIterator():
-        out[r.cell] = r.w
+    got = words.toArrow()  # as many rows as the table has words, at most
+    out[got.column("cell").to_numpy()] = got.column("w").to_numpy()
     return out
 
 
