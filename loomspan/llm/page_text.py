@@ -15,8 +15,8 @@ names them as such are dropped. All lines between go by the difference.
 
 Pages are paired in one sort by (host, path, page id) of ids and paths alone; a
 page's partner is the one before it, or the one after it for a host's first. Sort
-partitions' borders (one row each) are exchanged through the driver. Texts are
-joined by page id once, and only the lines in question travel.
+partitions' borders (one row each) are exchanged through the driver. A page without
+lines in question is done where it is read; only the others travel.
 
 Defined cases: null or empty HTML gives the empty text; a null URL has no host and
 no partner; a host's only page keeps the lines that markup does not drop; repeated
@@ -186,24 +186,28 @@ def common(a: list[str], b: list[str]) -> set[int]:
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages -> their text where no line is in question, else their lines."""
     for batch in batches:
-        texts, states = [], []
-        for h in batch.column(1).to_pylist():
-            lines = page_lines(h)
-            texts.append([x.text for x in lines])
-            states.append([x.state for x in lines])
-        asked = [[t for t, s in zip(x, y) if s == ASKED] for x, y in zip(texts, states)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.list_(pa.string())), pa.array(states, pa.list_(pa.int8())), pa.array(asked, pa.list_(pa.string()))], names=["row", "lines", "states", "asked"])
+        texts, lines, states, asked = [], [], [], []
+        for h in batch.column(3).to_pylist():
+            own = page_lines(h)
+            ask = [x.text for x in own if x.state == ASKED]
+            texts.append(None if ask else " ".join(x.text for x in own))
+            lines.append([x.text for x in own] if ask else None)
+            states.append([x.state for x in own] if ask else None)
+            asked.append(ask or None)
+        cols = [pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(states, pa.list_(pa.int8())), pa.array(asked, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], names=["row", "page_id", "url", "text", "lines", "states", "asked"])
 
 
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for lines, states, other in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        for lines, states, other in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
             ask = [i for i, s in enumerate(states) if s == ASKED]
-            gone = {ask[k] for k in common([lines[i] for i in ask], other)} if other and ask else set()
+            gone = {ask[k] for k in common([lines[i] for i in ask], other)} if other else set()
             out.append(" ".join(t for i, t in enumerate(lines) if i not in gone))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
 
 def partners(keys: DataFrame) -> DataFrame:
@@ -237,9 +241,14 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     path = F.regexp_replace(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), "/+$", "")
     keys = rows.select("row", F.when(host != "", host).alias("host"), path.alias("path")).dropDuplicates(["row"])
     near = materialise(partners(keys), "partners")
-    lines = materialise(rows.select("row", "html").mapInArrow(_reader, "row long, lines array<string>, states array<byte>, asked array<string>").dropDuplicates(["row"]), "lines")
-    asked = lines.where(F.size("asked") > 0).select(F.col("row").alias("partner"), F.col("asked").alias("other"))
-    both = lines.join(near, "row", "left").join(asked, "partner", "left").select("row", "lines", "states", F.coalesce("other", F.array().cast("array<string>")).alias("other"))
-    text = both.mapInArrow(_differ, "row long, text string")
-    out = rows.select("row", "page_id", "url").join(text, "row")
+    kind = dict(pages.dtypes)
+    schema = f"row long, page_id {kind[id_col]}, url {kind[url_col]}, text string, lines array<string>, states array<byte>, asked array<string>"
+    read = materialise(rows.select("row", "page_id", "url", "html").mapInArrow(_reader, schema), "pages")
+    # Only pages with lines that markup does not settle are shuffled.
+    open_pages = read.where("text is null")
+    asked = open_pages.select(F.col("row").alias("partner"), F.col("asked").alias("other")).dropDuplicates(["partner"])
+    both = open_pages.join(near, "row", "left").join(asked, "partner", "left")
+    both = both.select("page_id", "url", "lines", "states", F.coalesce("other", F.array().cast("array<string>")).alias("other"))
+    settled = both.mapInArrow(_differ, f"page_id {kind[id_col]}, url {kind[url_col]}, text string")
+    out = read.where("text is not null").select("page_id", "url", "text").unionByName(settled)
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
