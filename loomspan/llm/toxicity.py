@@ -18,8 +18,8 @@ a document's features into its score; it is trained on lexicons that were
 learned without the documents in question (two folds).
 
 Learning uses a sample of labelled rows of at most about ``max_train`` rows (a
-documented bound; rows are chosen by a hash of the id). Scoring reads every text
-whole.
+documented bound; rows are chosen by a hash of the id), of which near copies count
+once. Scoring reads every text whole.
 
 Defined cases: null and empty texts get the score of a text without hits; if no
 labelled row can be learned from, the given words alone decide; repeated rows
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbuf import ALNUM_WORDS, chunks, prefix_sums, range_hash, utf8, word_hashes
+from .textbuf import ALNUM_WORDS, chunks, mix, prefix_sums, range_hash, shingles, utf8, word_hashes
 
 #: Abusive words that are known before any label is seen.
 BASE_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting")
@@ -338,19 +338,30 @@ class Model:
 PRIOR = np.array([0.6, 0.6, 0.8, 0.1, 0.1, 0.1, 0.0, 0.5])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Newton's method; weights of hits stay at or above 0, but that of quotations."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Newton steps, a weight at a time; weights of hits stay at or above 0, but that of quotations.
+
+    The loss is convex and every step bounded, so it settles; where hits tell toxic
+    from clean documents without a fault, the ridge keeps the weights finite.
+    """
     xb = np.hstack([x, np.ones((len(x), 1))])
-    w = prior = np.append(PRIOR, 0.0)
-    penalty = np.full(len(w), ridge)
-    penalty[-1] = 1e-3
+    w = np.append(PRIOR, -2.0)
+    prior, penalty = w.copy(), np.full(len(w), ridge)
+    penalty[-1] = 0.01
+    z = xb @ w
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(xb @ w, -30, 30)))
-        grad = xb.T @ (p - y) + penalty * (w - prior)
-        step = np.linalg.solve((xb * (p * (1 - p))[:, None]).T @ xb + np.diag(penalty), grad)
-        w = w - step
-        w[: N_FEATURES - 2] = np.maximum(w[: N_FEATURES - 2], 0)
-        if np.abs(step).max() < 1e-6:
+        most = 0.0
+        for j in range(len(w)):
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            grad = xb[:, j] @ (p - y) + penalty[j] * (w[j] - prior[j])
+            # The largest curvature near by, so that no step goes too far.
+            curve = (xb[:, j] ** 2) @ np.maximum(p * (1 - p), 0.02) + penalty[j]
+            to = w[j] - np.clip(grad / curve, -1.0, 1.0)
+            if j < N_FEATURES - 2:
+                to = max(to, 0.0)
+            z += xb[:, j] * (to - w[j])
+            most, w[j] = max(most, abs(to - w[j])), to
+        if most < 1e-5:
             break
     return w[:-1], float(w[-1])
 
@@ -387,6 +398,24 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pydict({"term": pa.array(terms), "stem": pa.array([stem] * len(new)), "half": pa.array(key[new] % 2, pa.int32()), "toxic": pa.array(key[new] // 2, pa.int32()), "n": pa.array(n, pa.int64())})
 
 
+def _minhasher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of the sample -> three minhashes of their shingles of three words."""
+    for batch in batches:
+        for i, j, words in _parts(batch, 1):
+            s, at = shingles(words.hash, words.first, 3)
+            row = np.searchsorted(words.first, at, side="right") - 1
+            ids = batch.column(0).slice(i, j - i).fill_null(-1).to_numpy(zero_copy_only=False)
+            full = np.unique(row)
+            begin = np.searchsorted(row, full)
+            cols = []
+            for k in range(3):
+                own = mix(ids.astype(np.uint64) + np.uint64(k))  # a document without words is like no other
+                if len(full):
+                    own[full] = np.minimum.reduceat(mix(s + np.uint64(k * 77)), begin)
+                cols.append(pa.array(own.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *cols], names=["doc", "m0", "m1", "m2"])
+
+
 def _featurer(lexicons: list[Lexicon]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -418,6 +447,7 @@ def _nearer(fuzzy: Fuzzy):
 
 def fit(docs: DataFrame, labels: DataFrame, *, learnable, doc_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 12_000) -> Model:
     """Learn from labelled rows where ``learnable`` holds; see the module's text."""
+    spark = docs.sparkSession
     marks = labels.select(F.col(doc_col).alias("doc"), F.col(label_col).cast("int").alias("label")).where("doc is not null and label in (0, 1)").groupBy("doc").agg(F.max("label").alias("label"))
     marks = marks.where(learnable(F.col("doc")))
     total = marks.count()
@@ -426,6 +456,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, learnable, doc_col: str = "doc_id
     half = F.pmod(F.xxhash64(F.lit("half"), F.xxhash64(F.substring(text_col, 1, 200))), F.lit(2)).cast("int").alias("half")
     # The sample's ids are bounded by max_train, so the texts are not shuffled for them.
     sample = docs.select(F.col(doc_col).alias("doc"), F.col(text_col)).join(F.broadcast(marks), "doc").select("doc", "label", half, F.coalesce(text_col, F.lit("")).alias("t")).withColumn("half", F.coalesce("half", F.lit(0)))
+    # Copies and near copies would make their words look telling: one document of each set that shares a minhash counts.
+    left = sample.select("doc", "t").mapInArrow(_minhasher, "doc long, m0 long, m1 long, m2 long")
+    for m in ("m0", "m1", "m2"):
+        left = left.groupBy(m).agg(F.min(F.struct("doc", "m0", "m1", "m2")).alias("r")).select("r.*")
+    left = spark.createDataFrame(left.select("doc").collect(), "doc long")  # max_train ids at most
+    sample = sample.join(F.broadcast(left), "doc")
     stats = {(r.half, r.label): r.n for r in sample.groupBy("half", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = sample.mapInArrow(_counter, COUNTS).groupBy("term", "stem", "half", "toxic").agg(F.sum("n").alias("n"))
     # A term needs three toxic documents.
