@@ -35,6 +35,18 @@ def let_workers_import(spark: SparkSession) -> None:
         own["PYTHONPATH"] = os.pathsep.join(x for x in (own.get("PYTHONPATH"), ROOT) if x)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """What the operators want of a session: importable code and Arrow batches of some megabytes.
+
+    Texts are long, so the usual 10,000 rows a batch would take tens of megabytes
+    in each task; a number that was set by hand stays.
+    """
     let_workers_import(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
