@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, decontaminate, jaccard, language, packing, page_text, passages, token_output, toxicity, vector_search
+from . import chat, decontaminate, jaccard, language, packing, page_text, passages, token_output, toxicity, twins, vector_search
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), percent=85, k=4)
-    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 CONFLICT = "</s>[INST] ok [/INST]"
@@ -46,7 +46,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONFLICT).alias("text")
     )
-    return chat.digest(chat.format_conversations(rows.unionByName(extra)))
+    found = chat.digest(chat.format_conversations(rows.unionByName(extra)))
+    return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return twins.oracle_sql()
