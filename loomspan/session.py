@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+#: Python workers give arrays back to the system when they are freed, and so stay small between batches.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "2097152", "MALLOC_TRIM_THRESHOLD_": "4194304", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def local_session(cores: str = "8", **conf: str) -> SparkSession:
     """A local session for tests and benches; on a cluster, use the given one."""
     builder = (
@@ -42,6 +46,8 @@ def prepare(spark: SparkSession) -> None:
     in each task; a number that was set by hand stays.
     """
     let_workers_import(spark)
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, "1000")
