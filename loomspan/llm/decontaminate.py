@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .textbuf import ALNUM_WORDS, chunks, ragged, utf8, word_hashes
 
 SAMPLE = 8
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 1 << 20
 BLOCK_ITEMS = 50_000
 
 
@@ -251,7 +251,7 @@ FOUND = "n_words long, n_hit long, items array<long>, spans array<struct<start:l
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> Iterator[list[tuple[int, str]]]:
     rows = benchmark.select(F.col(id_col).cast("long"), text_col).where(f"`{id_col}` is not null and `{text_col}` is not null").dropDuplicates()
     block: list[tuple[int, str]] = []
-    for r in rows.toLocalIterator():
+    for r in rows.coalesce(4).toLocalIterator():  # a job for each partition
         block.append((r[0], r[1]))
         if len(block) == size:
             yield block

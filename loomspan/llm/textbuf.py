@@ -18,7 +18,7 @@ _M = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 #: Bytes handled at once; a longer document is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def _byte_values() -> np.ndarray:
