@@ -20,7 +20,7 @@ DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: The tokenizer always splits between a letter (here of Latin-1: lower-casing makes one letter of it) and one of these, so a space there changes nothing.
 AFTER_LETTER = r"([a-zA-ZÀ-ÖØ-öø-ÿ])([.,;:!?#$%&*])"
 #: Distinct pieces kept by a worker (about 250 bytes each).
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 700_000
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -97,7 +97,7 @@ class Encoder:
         np.cumsum(lens, out=before[1:])
         return ids, before[offsets]
 
-    def batches(self, arr: pa.Array, limit: int = 8 << 20):
+    def batches(self, arr: pa.Array, limit: int = 4 << 20):
         """(first row, ids, offsets) of parts of a column of about ``limit`` bytes."""
         _, offsets = utf8(arr)
         for i, j in chunks(offsets, limit):
