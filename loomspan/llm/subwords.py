@@ -52,8 +52,6 @@ class Encoder:
         self.length = np.zeros(1 << 14, np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > self.limit:
-            self._reset()
         for i in range(0, len(pieces), 50_000):
             part = pieces[i : i + 50_000]
             ids = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
@@ -85,10 +83,10 @@ class Encoder:
         known = self.known
         new = [x for x in names if x not in known]
         if new:
+            if len(known) + len(new) > self.limit:  # begun anew with all pieces of this part
+                self._reset()
+                known, new = self.known, names
             self._learn(new)
-            if self.known is not known:  # the cache was begun anew
-                known = self.known
-                self._learn([x for x in names if x not in known])
         place = np.fromiter((known[x] for x in names), np.int64, len(names))
         at = place[pieces.indices.to_numpy()]
         lens = self.length[at]
