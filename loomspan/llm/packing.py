@@ -34,7 +34,7 @@ from .token_output import _append_end
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 #: Parts in which pieces of one length are numbered.
-CHUNKS = 256
+CHUNKS = 32
 
 
 def _cutter(path: str, end_id: int, seq_len: int):
