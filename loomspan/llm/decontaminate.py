@@ -15,8 +15,8 @@ its range is empty. Occurrences are located by LF steps to a sampled suffix:
 every SAMPLE-th place and every run's begin. Removal spans are the union of the
 words covered by occurrences.
 
-The benchmark is a query set: it is read in blocks of ``block_items`` items (one
-pass over the documents for each block), and spans of several blocks are merged.
+The benchmark is a query set: it is read in blocks of ``block_items`` items (``find``
+makes one pass over the documents for each block), and spans of several blocks are merged.
 No document is shuffled for a single block.
 
 Defined cases: null or empty texts have no words and no hit; items without
@@ -267,18 +267,17 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, doc_col: st
     merged removal spans, in code points (``start``, ``end``) and in words.
     """
     kind = dict(docs.dtypes)[doc_col]
-    parts = []
-    for block in [*_blocks(benchmark, item_col, item_text_col, block_items)] or [[]]:
-        phrases = Phrases(block, window)
-        parts.append(docs.select(F.col(doc_col).alias("key"), F.col(text_col)).mapInArrow(_finder(phrases, shard_bytes), f"key {kind}, {FOUND}"))
-    if len(parts) == 1:
-        return parts[0].withColumnRenamed("key", doc_col)
-    raise_on = docs.groupBy(doc_col).count().where("count > 1").limit(1).count()
-    if raise_on:
-        raise ValueError("with several blocks of items, documents need distinct ids")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    blocks = [*_blocks(benchmark, item_col, item_text_col, block_items)] or [[]]
+    if len(blocks) == 1:
+        found = docs.select(F.col(doc_col).alias("key"), F.col(text_col)).mapInArrow(_finder(Phrases(blocks[0], window), shard_bytes), f"key {kind}, {FOUND}")
+        return found.withColumnRenamed("key", doc_col)
+    # Rows with equal ids and texts have equal spans, so what is found is merged by both and given to each row.
+    by = [F.col(doc_col).alias("id"), F.xxhash64(text_col).alias("h1"), F.sha2(text_col, 256).alias("h2")]
+    rows = docs.select(F.struct(*by).alias("key"), F.col(text_col).alias("text"))
+    every = None
+    for block in blocks:
+        part = rows.mapInArrow(_finder(Phrases(block, window), shard_bytes), f"key struct<id:{kind},h1:long,h2:string>, {FOUND}")
+        every = part if every is None else every.unionByName(part)
     merged = F.expr(
         """aggregate(array_sort(flatten(collect_list(spans))), cast(array() as array<struct<start:long,end:long,first_word:long,end_word:long>>),
         (a, s) -> if(size(a) > 0 and element_at(a, -1).end_word >= s.first_word,
@@ -286,12 +285,14 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, doc_col: st
             'first_word', element_at(a, -1).first_word, 'end_word', greatest(element_at(a, -1).end_word, s.end_word)))),
           concat(a, array(s))))"""
     )
-    out = every.groupBy("key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), merged.alias("spans"))
+    # A row of the first block for each row of the documents: every block has as many.
+    out = every.groupBy("key").agg((F.count(F.lit(1)) / len(blocks)).cast("int").alias("copies"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), merged.alias("spans"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end_word"] - s["first_word"])
-    return out.select(F.col("key").alias(doc_col), "n_words", n_hit.alias("n_hit"), "items", "spans")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return out.select(F.col("key.id").alias(doc_col), "n_words", n_hit.alias("n_hit"), "items", "spans")
 
 
-def _remover(phrases: Phrases, at: int, shard_bytes: int):
+def _remover(blocks: list[Phrases], at: int, shard_bytes: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(at))
@@ -299,12 +300,15 @@ def _remover(phrases: Phrases, at: int, shard_bytes: int):
             for i, j in chunks(offsets, shard_bytes):
                 part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 h, lo, hi, first = word_hashes(part, off, ALNUM_WORDS)
-                who, word = search_shard(phrases, h, first)
                 edge = np.zeros(len(part) + 1, np.int64)
-                np.add.at(edge, lo[word], 1)
-                np.add.at(edge, hi[word + phrases.lengths[who] - 1], -1)
+                hit: set[int] = set()
+                for phrases in blocks:  # all on the text as it was
+                    who, word = search_shard(phrases, h, first)
+                    np.add.at(edge, lo[word], 1)
+                    np.add.at(edge, hi[word + phrases.lengths[who] - 1], -1)
+                    hit.update((np.searchsorted(first, word, side="right") - 1).tolist())
                 keep = np.cumsum(edge[:-1]) == 0
-                for r in np.unique(np.searchsorted(first, word, side="right") - 1):
+                for r in sorted(hit):
                     own = slice(off[r], off[r + 1])
                     texts[i + int(r)] = part[own][keep[own]].tobytes().decode()
             column = batch.column(at)
@@ -321,12 +325,10 @@ def _remover(phrases: Phrases, at: int, shard_bytes: int):
 def remove(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text_col: str = "text", length_col: str | None = "n_chars", item_col: str = "item_id", item_text_col: str = "text", block_items: int = BLOCK_ITEMS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with the removal spans cut out of the texts; no row goes.
 
-    Several blocks are cut one after the other; a word between two cuts of
-    different blocks that comes to stand beside other words is searched again.
+    What any block finds in the original text is cut, in one pass over the documents.
     """
-    out = docs
-    for block in _blocks(benchmark, item_col, item_text_col, block_items):
-        out = out.mapInArrow(_remover(Phrases(block, window), docs.columns.index(text_col), shard_bytes), docs.schema)
+    blocks = [Phrases(block, window) for block in _blocks(benchmark, item_col, item_text_col, block_items)]
+    out = docs.mapInArrow(_remover(blocks, docs.columns.index(text_col), shard_bytes), docs.schema) if blocks else docs
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType))
     return out.select(*docs.columns)

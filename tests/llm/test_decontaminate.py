@@ -94,3 +94,18 @@ def test_suffix_array_and_index(symbols):
     for k, row in enumerate(rows):
         p = row[row > 0].tolist()
         assert got[k] == {i for i in range(len(text) - len(p) + 1) if text[i : i + len(p)].tolist() == p}
+
+
+def test_blocks_change_nothing(spark):
+    w = [f"w{i}" for i in range(40)]
+    items = spark.createDataFrame([(1, " ".join(w[5:17])), (2, " ".join(w[12:24])), (3, " ".join(w[30:40]))], "item_id long, text string")
+    text = " ".join(w)
+    rows = [(1, text), (1, text), (1, "other"), (None, text), (None, None), (2, ""), (3, " ".join(w[:12]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: repr(r)
+    one = sorted(map(key, decontaminate.find(docs, items).collect()))
+    assert len(one) == len(rows)
+    assert sorted(map(key, decontaminate.find(docs, items, block_items=1).collect())) == one
+    cut = sorted(map(key, decontaminate.remove(docs, items, length_col=None).collect()))
+    assert sorted(map(key, decontaminate.remove(docs, items, length_col=None, block_items=1).collect())) == cut
+    assert any(" ".join(w[:5]) in x and "w17" not in x and "w23" not in x for x in cut)
