@@ -39,18 +39,21 @@ def let_workers_import(spark: SparkSession) -> None:
         own["PYTHONPATH"] = os.pathsep.join(x for x in (own.get("PYTHONPATH"), ROOT) if x)
 
 
+#: Bytes of a batch that goes to a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
 def prepare(spark: SparkSession) -> None:
     """What the operators want of a session: importable code and Arrow batches of some megabytes.
 
-    Texts are long, so the usual 10,000 rows a batch would take tens of megabytes
-    in each task; a number that was set by hand stays.
+    Texts are long, so batches are bounded in bytes; a bound that was set by hand stays.
     """
     let_workers_import(spark)
     for name, value in WORKER_MEMORY.items():
         spark.sparkContext.environment.setdefault(name, value)
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, "1000")
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "1b") == "1b":
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
