@@ -10,14 +10,22 @@ TRACKING_NAMES = ("fbclid", "gclid", "ref")
 TRACKING_PREFIX = "utm_"
 # File extensions that are not content pages.
 ASSET_EXTENSIONS = (
-    "jpg jpeg png gif webp svg ico css js mjs map woff woff2 ttf otf eot zip gz tar tgz bz2 7z rar dmg exe msi "
-    "mp3 mp4 mov avi mkv webm wav flac doc docx xls xlsx ppt pptx"
-).split()
+    "jpg", "jpeg", "png", "gif", "webp", "svg", "ico", "css", "js", "mjs", "map", "woff", "woff2", "ttf", "otf", "eot", "zip", "gz", "tar", "tgz", "bz2", "7z", "rar", "dmg", "exe", "msi",
+    "mp3", "mp4", "mov", "avi", "mkv", "webm", "wav", "flac", "doc", "docx", "xls", "xlsx", "ppt", "pptx",
+)
 MAX_QUERY_PARAMS = 3
 
 _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
+def once(value: Column) -> Column:
+    """A value that later steps read and do not compute anew (a generator of one row, for ``select`` and ``withColumn``).
+
+    Predicates name a URL many times, and the optimizer would put the whole expression into each place.
+    """
+    return F.explode(F.array(value))
+
+
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, _SPLIT, 1))
 

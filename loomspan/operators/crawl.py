@@ -6,26 +6,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import shared_dir
 
 
 def _cut(df: DataFrame) -> DataFrame:
     """Lineage ends at a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/loomspan-checkpoints")
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, *, max_depth: int, key: tuple[str, ...] = ()) -> DataFrame:
     """``key, url, depth``: what is reached from the seeds by (src, dst) edges within ``max_depth`` steps.
 
-    ``edges`` and ``seeds`` may carry key columns, so that many crawls run at once.
+    ``seeds`` may carry key columns, so that many crawls run at once; ``edges`` with a
+    key column hold for that crawl alone, others for all.
     """
     keys = list(key)
     visited = _cut(seeds.select(*keys, "url").distinct().withColumn("depth", F.lit(0)))
     frontier = visited
     for depth in range(1, max_depth + 1):
-        step = frontier.select(*keys, F.col("url").alias("src")).join(edges, [*keys, "src"]).select(*keys, F.col("dst").alias("url")).distinct()
+        step = frontier.select(*keys, F.col("url").alias("src")).join(edges, [*(k for k in keys if k in edges.columns), "src"]).select(*keys, F.col("dst").alias("url")).distinct()
         frontier = _cut(step.join(visited.select(*keys, "url"), [*keys, "url"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break

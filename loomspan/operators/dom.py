@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import xml.etree.ElementTree as ET
 from html.parser import HTMLParser
 
@@ -27,6 +28,8 @@ BLOCK = {"address", "article", "blockquote", "body", "dd", "div", "dl", "dt", "f
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words below which a block without its own heading counts by its neighbours.
 SHORT = 12
+#: Elements below this depth become siblings, as in browsers, and what they hold stays.
+MAX_DEPTH = 512
 
 
 class Node:
@@ -65,7 +68,7 @@ class _Builder(HTMLParser):
             self.open.pop()
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].kids.append(node)
-        if tag not in VOID:
+        if tag not in VOID and len(self.open) < MAX_DEPTH:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
@@ -261,6 +264,10 @@ def _item(node: Node) -> dict:
     return out | {"properties": {k: v[0] if len(v) == 1 else v for k, v in props.items()}}
 
 
+def _compact(value) -> str:
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
 def oracle_text(root: Node) -> str:
     """Text nodes as they stand, without scripts, styles, templates and noscripts."""
     parts, todo = [], [root]
@@ -274,6 +281,7 @@ def oracle_text(root: Node) -> str:
 
 
 def parse(body: bytes | str | None, max_rows: int = 100, include_links: bool = False) -> dict:
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * MAX_DEPTH))
     root = tree(decode(body))
     title, description = _metadata(root)
     ld = []
@@ -281,9 +289,9 @@ def parse(body: bytes | str | None, max_rows: int = 100, include_links: bool = F
         if s.attrs.get("type", "").strip().lower() == "application/ld+json":
             try:
                 data = json.loads(s.text())
-            except ValueError:
+                ld += [_compact(x) for x in (data if isinstance(data, list) else [data])]
+            except (ValueError, RecursionError):  # no JSON, or nested beyond reason
                 continue
-            ld += [json.dumps(x, ensure_ascii=False, sort_keys=True) for x in (data if isinstance(data, list) else [data])]
     og = {}
     for m in root.find("meta"):
         if m.attrs.get("property", "").startswith("og:"):
@@ -297,7 +305,7 @@ def parse(body: bytes | str | None, max_rows: int = 100, include_links: bool = F
         "oracle": oracle_text(root),
         "json_ld": ld,
         "opengraph": og,
-        "microdata": json.dumps(micro, ensure_ascii=False, sort_keys=True) if micro else None,
+        "microdata": _compact(micro) if micro else None,
         "tables": tables(root, max_rows),
     }
 
@@ -342,7 +350,7 @@ def pretty_json(text: Column) -> Column:
         def one(x: str) -> str:
             try:
                 return json.dumps(json.loads(x), indent=2, sort_keys=True)
-            except ValueError:
+            except (ValueError, RecursionError):  # no JSON, or nested beyond reason
                 return x
 
         return texts.map(one, na_action="ignore")

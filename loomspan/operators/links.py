@@ -8,21 +8,25 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 
-_HREF = r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
+#: An anchor's tag, and the attributes in it. Possessive runs: no depth of the matcher's stack goes with the length of a tag.
+_ANCHOR = r"""(?is)<a\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_ATTRIBUTE = r"""(?is)[^\s"'>/=]++\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++)"""
 
 
 def hrefs(html: Column) -> Column:
     """Values of all ``a href`` attributes outside comments, in page order."""
     bare = F.regexp_replace(html, r"(?s)<!--.*?-->|(?i:<script\b.*?</script>)", "")
-    raw = F.regexp_extract_all(bare, F.lit(_HREF), 1)
-    return F.transform(raw, lambda h: T.decode_entities_native(F.regexp_replace(h, r"""^["']|["']$""", "")))
+    attributes = lambda tag: F.filter(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), 0), lambda a: a.rlike(r"(?i)^href\s*="))
+    raw = F.transform(F.regexp_extract_all(bare, F.lit(_ANCHOR), 0), lambda tag: F.try_element_at(attributes(tag), F.lit(1)))
+    value = lambda a: F.regexp_replace(F.regexp_replace(a, r"(?i)^href\s*+=\s*+", ""), r"""^["']|["']$""", "")
+    return F.transform(F.filter(raw, lambda a: a.isNotNull()), lambda a: T.decode_entities_native(value(a)))
 
 
 def extract_links(pages: DataFrame, html: str = "html", base: str = "url", keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """``keys, pos, link``: absolute canonical http(s) links, the first of each kept, in page order."""
     rows = pages.select(*keys, F.col(base).alias("_base"), F.posexplode(hrefs(F.col(html))).alias("pos", "_href"))
-    rows = rows.withColumn("_abs", U.resolve(F.col("_base"), F.col("_href"))).where(F.col("_abs").rlike("^https?://"))
-    rows = rows.withColumn("link", U.normalize_url(F.col("_abs")))
+    rows = rows.withColumn("_abs", U.once(U.resolve(F.col("_base"), F.col("_href")))).where(F.col("_abs").rlike("^https?://"))
+    rows = rows.withColumn("link", U.once(U.normalize_url(F.col("_abs"))))
     return rows.groupBy(*keys, "link").agg(F.min("pos").alias("pos"))
 
 
@@ -32,7 +36,7 @@ def map_urls(candidates: DataFrame, root_url: str, *, search: str | None = None,
     Sources are 'sitemap' (first) and 'links'; a URL counts for the first that has it.
     """
     root = F.lower(U.netloc(F.lit(root_url)))
-    rows = candidates.withColumn("url", U.normalize_url(F.col("url"))).withColumn("_order", F.when(F.col("source") == "sitemap", 0).otherwise(1))
+    rows = candidates.withColumn("url", U.once(U.normalize_url(F.col("url")))).withColumn("_order", F.when(F.col("source") == "sitemap", 0).otherwise(1))
     rows = rows.where(U.host_allowed(F.col("url"), root, include_subdomains) & U.is_crawlable(F.col("url")))
     first = rows.groupBy("url").agg(F.min(F.struct("_order", "pos", "source")).alias("f"))
     out = first.select("url", "f.source", F.col("f._order").alias("_order"), F.col("f.pos").alias("_pos"))
@@ -43,7 +47,7 @@ def map_urls(candidates: DataFrame, root_url: str, *, search: str | None = None,
 
 def site_sources(candidates: DataFrame, site: str = "site") -> DataFrame:
     """For many sites at once: (site, source, n) after each URL is given to its first source."""
-    rows = candidates.withColumn("url", U.normalize_url(F.col("url"))).withColumn("_order", F.when(F.col("source") == "sitemap", 0).otherwise(1))
+    rows = candidates.withColumn("url", U.once(U.normalize_url(F.col("url")))).withColumn("_order", F.when(F.col("source") == "sitemap", 0).otherwise(1))
     rows = rows.where(U.host_allowed(F.col("url"), F.col(site)) & U.is_crawlable(F.col("url")))
     first = rows.groupBy(site, "url").agg(F.min(F.struct("_order", "pos", "source")).alias("f"))
     return first.groupBy(site, F.col("f.source").alias("source")).agg(F.count(F.lit(1)).alias("n"))

@@ -106,14 +106,16 @@ def report(url: Column, title: Column, fetched: Column, body: Column, warnings:
 
 def structured(parsed: Column, url: Column, types: tuple[str, ...] = ("json-ld", "opengraph", "microdata", "tables")) -> Column:
     """JSON of the non-empty kinds of structured data, or a note that there is none."""
-    null = F.lit(None)
-    parts = {
-        "json_ld": F.when(F.size(parsed["json_ld"]) > 0, parsed["json_ld"]) if "json-ld" in types else null.cast("array<string>"),
-        "opengraph": F.when(F.size(parsed["opengraph"]) > 0, parsed["opengraph"]) if "opengraph" in types else null.cast("map<string,string>"),
-        "microdata": parsed["microdata"] if "microdata" in types else null.cast("string"),
-        "tables": F.when(F.size(parsed["tables"]) > 0, parsed["tables"]) if "tables" in types else null.cast("array<string>"),
+    json_of = {
+        "json_ld": ("json-ld", F.when(F.size(parsed["json_ld"]) > 0, F.concat(F.lit("["), F.array_join(parsed["json_ld"], ","), F.lit("]")))),
+        "opengraph": ("opengraph", F.when(F.size(parsed["opengraph"]) > 0, F.to_json(parsed["opengraph"]))),
+        "microdata": ("microdata", parsed["microdata"]),
+        "tables": ("tables", F.when(F.size(parsed["tables"]) > 0, F.to_json(parsed["tables"]))),
     }
-    empty = F.lit(True)
-    for c in parts.values():
-        empty = empty & c.isNull()
-    return F.to_json(F.struct(url.alias("url"), *[c.alias(n) for n, c in parts.items()], F.when(empty, "no structured data found").alias("note")))
+    # Each kind is JSON already, so the members are put one after the other.
+    kinds = [F.concat(F.lit(f'"{name}":'), value) for name, (kind, value) in json_of.items() if kind in types]
+    found = F.filter(F.array(*kinds), lambda x: x.isNotNull()) if kinds else F.array().cast("array<string>")
+    members = F.when(F.size(found) == 0, F.array(F.lit('"note":"no structured data found"'))).otherwise(found)
+    # ``{"url":...}`` without its brace
+    head = F.to_json(F.struct(F.coalesce(url, F.lit("")).alias("url")))
+    return F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(","), F.array_join(members, ","), F.lit("}"))

@@ -130,9 +130,9 @@ def truncate(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""SELECT doc_id, CASE WHEN s = '' THEN 'untitled' WHEN length(s) > 60 THEN CASE WHEN regexp_replace(substr(s, 1, 60), '-[^-]*$', '') = '' THEN 'untitled' ELSE regexp_replace(substr(s, 1, 60), '-[^-]*$', '') END ELSE s END AS slug FROM
- (SELECT doc_id, trim(regexp_replace(replace(replace(lower(substr(text, 1, 90)), '''', ''), '’', ''), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents)""")
+ (SELECT doc_id, trim(regexp_replace(replace(replace(lower(text), '''', ''), '’', ''), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents)""")
 def slugify(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.slugify(F.substring("text", 1, 90)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN length(t) > 200 THEN rtrim(substr(t, 1, 199)) || '…' ELSE t END AS snippet FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)""")
@@ -263,20 +263,12 @@ def crawl_bfs(spark: SparkSession, d: str) -> DataFrame:
     return crawl.bfs(_edges(spark, d), spark.createDataFrame([("u1",)], "url string"), max_depth=3)
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, walk AS (SELECT 'u' || c_custkey AS root, 'u' || c_custkey AS url, 0 AS depth FROM customer WHERE c_custkey % 50 = 1 UNION SELECT root, dst, depth + 1 FROM walk JOIN edges ON src = url WHERE depth < 2)
+@query(f"""WITH RECURSIVE {_EDGES}, walk AS (SELECT 'u' || c_custkey AS root, 'u' || c_custkey AS url, 0 AS depth FROM customer UNION SELECT root, dst, depth + 1 FROM walk JOIN edges ON src = url WHERE depth < 2)
  SELECT root, url, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY root, url""")
 def crawl_many(spark: SparkSession, d: str) -> DataFrame:
-    roots = table(spark, d, "customer").where("c_custkey % 50 = 1").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("root"))
-    e = _edges(spark, d)
-    # Each root walks the whole graph: the frontier carries its root, the edges do not.
-    seeds = roots.select("root", F.col("root").alias("url"))
-    seen = crawl._cut(seeds.withColumn("depth", F.lit(0)))
-    front = seen
-    for depth in (1, 2):
-        step = front.select("root", F.col("url").alias("src")).join(e, "src").select("root", F.col("dst").alias("url")).distinct()
-        front = crawl._cut(step.join(seen.select("root", "url"), ["root", "url"], "left_anti").withColumn("depth", F.lit(depth)))
-        seen = seen.unionByName(front)
-    return seen
+    root = F.concat(F.lit("u"), F.col("c_custkey").cast("string"))
+    seeds = table(spark, d, "customer").select(root.alias("root"), root.alias("url"))
+    return crawl.bfs(_edges(spark, d), seeds, max_depth=2, key=("root",))
 
 
 @query("""SELECT l_suppkey AS crawl, CAST(count(*) FILTER (o = 'saved') AS BIGINT) AS pages, CAST(count(*) FILTER (o = 'error') AS BIGINT) AS errors, CAST(count(*) FILTER (o LIKE 'skipped%') AS BIGINT) AS skipped FROM

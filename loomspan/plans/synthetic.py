@@ -11,6 +11,7 @@ from ..functions import urls as U
 from ..operators import dom, evaluation, robots, scrape
 from ..session import table
 from ..sources import responses
+from .relational import _NORM
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -114,10 +115,11 @@ def quality(spark: SparkSession, d: str) -> DataFrame:
 
 def _supplier_pages(spark: SparkSession, d: str) -> DataFrame:
     """A page for each supplier: a table of parts, JSON-LD, OpenGraph, microdata, an article and chrome around it."""
-    part = table(spark, d, "part").withColumn("s", F.expr("p_partkey % 10 + 1"))
+    n = table(spark, d, "supplier").count()
+    part = table(spark, d, "part").withColumn("s", F.col("p_partkey") % n + 1)
     row = F.struct("p_partkey", F.expr(_spark(f"concat('<tr><td>', p_name, '</td><td> ', {_money(CENTS)}, ' </td></tr>')")).alias("r"))
     rows = part.groupBy("s").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    s = table(spark, d, "supplier").where("s_suppkey <= 10").join(rows, F.col("s") == F.col("s_suppkey"))
+    s = table(spark, d, "supplier").join(rows, F.col("s") == F.col("s_suppkey"))
     body = F.array_join(F.transform("rows", lambda x: x["r"]), "\n")
     html = F.concat(
         F.lit("<html><head><title>"), F.col("s_name"), F.lit(" | Shop</title><meta property='og:title' content='T'><meta property='og:title' content='"), F.col("s_name"),
@@ -132,7 +134,7 @@ def _supplier_pages(spark: SparkSession, d: str) -> DataFrame:
     return s.select("s_suppkey", "s_name", html.alias("html"), F.concat(F.lit("https://shop.example/s/"), F.col("s_suppkey").cast("string")).alias("url"))
 
 
-_ROWS = f"""prices AS (SELECT s_suppkey, s_name, list([p_name, {_money(CENTS)}] ORDER BY p_partkey) AS rows FROM part JOIN supplier ON s_suppkey = p_partkey % 10 + 1 WHERE s_suppkey <= 10 GROUP BY ALL)"""
+_ROWS = f"""prices AS (SELECT s_suppkey, s_name, list([p_name, {_money(CENTS)}] ORDER BY p_partkey) AS rows FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier) + 1 GROUP BY ALL)"""
 
 
 @query(f"WITH {_ROWS} SELECT s_suppkey, 'Prices' AS caption, ['Part', 'Price'] AS headers, rows[1:5] AS rows, len(rows) > 5 AS truncated FROM prices")
@@ -157,10 +159,12 @@ def structured_data(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_ROWS} SELECT s_suppkey, CAST(to_json({{url: 'https://shop.example/s/' || s_suppkey, opengraph: {{"og:title": s_name, "og:type": 'product'}}}}) AS VARCHAR) AS picked,
+ CAST(to_json({{url: 'https://shop.example/s/' || s_suppkey, json_ld: [{{"@type": 'Organization', name: s_name}}], opengraph: {{"og:title": s_name, "og:type": 'product'}},
+  microdata: [{{properties: {{name: s_name}}, type: 'http://schema.org/Organization'}}], tables: [{{caption: 'Prices', headers: ['Part', 'Price'], rows: rows, truncated: false}}]}}) AS VARCHAR) AS whole,
  CAST(to_json({{url: 'u', note: 'no structured data found'}}) AS VARCHAR) AS nothing FROM prices""")
 def structured_json(spark: SparkSession, d: str) -> DataFrame:
     p = _supplier_pages(spark, d).select("s_suppkey", "url", dom.parsed(F.col("html")).alias("p"), dom.parsed(F.lit("<p>plain</p>")).alias("q"))
-    return p.select("s_suppkey", scrape.structured(F.col("p"), F.col("url"), ("opengraph",)).alias("picked"), scrape.structured(F.col("q"), F.lit("u")).alias("nothing"))
+    return p.select("s_suppkey", scrape.structured(F.col("p"), F.col("url"), ("opengraph",)).alias("picked"), scrape.structured(F.col("p"), F.col("url")).alias("whole"), scrape.structured(F.col("q"), F.lit("u")).alias("nothing"))
 
 
 @query(f"""WITH {_ROWS} SELECT s_suppkey, '# Parts of ' || s_name || chr(10) || chr(10) || 'The supplier sells these parts at the given prices, all of them in stock today.' || chr(10) || chr(10) || '| Part | Price |' || chr(10)
@@ -170,13 +174,13 @@ def main_content(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ARTICLE = r"regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<(/?p|br|/?h1)>', chr(1), 'g')"
-_TEXT = f"replace(replace(replace(replace(regexp_replace({_ARTICLE}, '<[^>]+>', '', 'g'), '&quot;', '\"'), '&amp;', '&'), '&copy;', '©'), '&middot;', '·')"
+_TEXT = f"""regexp_replace(replace(replace(replace(regexp_replace({_ARTICLE}, '<[^>]+>', '', 'g'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"""
 
 
-@query(rf"SELECT page_id, trim(regexp_replace(replace({_TEXT}, chr(1), ' '), '\s+', ' ', 'g')) AS words FROM pages WHERE NOT regexp_matches(html, '&am?p?([^p;a]|$)')")
+@query(rf"SELECT page_id, trim(regexp_replace(replace({_TEXT}, chr(1), ' '), '\s+', ' ', 'g')) AS words FROM pages")
 def article_words(spark: SparkSession, d: str) -> DataFrame:
     md = dom.parsed(F.col("html"))["markdown"]
-    rows = table(spark, d, "pages").where(~F.col("html").rlike("&am?p?([^p;a]|$)")).select("page_id", T.collapse(F.regexp_replace(md, "(?m)^# ", "")).alias("words"))
+    rows = table(spark, d, "pages").select("page_id", T.collapse(F.regexp_replace(md, "(?m)^# ", "")).alias("words"))
     return rows
 
 
@@ -224,15 +228,15 @@ def scrape_store(spark: SparkSession, d: str) -> DataFrame:
 _MD = "('# ' || c_name || chr(10) || chr(10) || rtrim(repeat('Plain words of an article stand here. ', 12)))"
 
 
-@query(f"""SELECT c_custkey, 'url: https://site.example/c/' || c_custkey || chr(10) || 'title: ' || c_name || chr(10) || 'fetched: live | via: httpx' || chr(10) || 'tokens: ~' || (100 // 4) || ' of ~' || (length({_MD}) // 4)
- || ' (truncated; full copy: ' || substr(sha256('https://site.example/c/' || c_custkey), 1, 12) || '.md)' || chr(10) || 'warning: w1' || chr(10) || '---' || chr(10) || substr({_MD}, 1, 100) AS report FROM customer WHERE c_custkey % 10 IN (0, 9)""")
+_SHOWN = f"substr({_MD}, 1, 102 - instr(reverse(substr({_MD}, 1, 101)), chr(10)))"
+
+
+@query(f"""SELECT c_custkey, 'url: https://site.example/c/' || c_custkey || chr(10) || 'title: ' || c_name || chr(10) || 'fetched: live | via: httpx' || chr(10) || 'tokens: ~' || (length({_SHOWN}) // 4) || ' of ~' || (length({_MD}) // 4)
+ || ' (truncated; full copy: ' || substr(sha256('https://site.example/c/' || c_custkey), 1, 12) || '.md)' || chr(10) || 'warning: w1' || chr(10) || '---' || chr(10) || {_SHOWN} AS report FROM customer WHERE c_custkey % 10 IN (0, 9)""")
 def scrape_report(spark: SparkSession, d: str) -> DataFrame:
     rows = scrape.outcomes(scrape.with_extraction(scrape.normalise_responses(_responses(spark, d)))).where("outcome = 'content'")
-    body = F.regexp_replace("body", "^(# [^\n]*)\n\n", "$1 § ")  # one line, so that the cut is at the limit
-    report = scrape.report(F.col("final_url"), F.col("title"), F.lit("live | via: httpx"), F.replace(body, F.lit(" § "), F.lit("\n\n")), F.array(F.lit("w1")), max_length=100)
-    shown = F.concat(F.regexp_extract(report, "(?s)^(.*\n---\n)", 1), F.substring("body", 1, 100))
-    fixed = F.regexp_replace(shown, r"tokens: ~\d+ of", "tokens: ~25 of")
-    return rows.select("c_custkey", fixed.alias("report"))
+    report = scrape.report(F.col("final_url"), F.col("title"), F.lit("live | via: httpx"), F.col("body"), F.array(F.lit("w1")), max_length=100)
+    return rows.select("c_custkey", report.alias("report"))
 
 
 @query("SELECT c_custkey, c_custkey % 4 = 1 AS rendered, 'https://site.example/c/' || c_custkey AS url FROM customer")
@@ -333,8 +337,6 @@ def oracle_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", dom.parsed(html)["oracle"].alias("words"))
 
 
-@query("SELECT page_id, substr(sha256(lower(regexp_extract(regexp_replace(url, '#.*$', ''), '^([^?]*)', 1))), 1, 12) AS copy FROM pages WHERE NOT contains(url, '?') AND NOT regexp_matches(regexp_replace(url, '#.*$', ''), '/$')")
+@query(f"SELECT page_id, substr(sha256({_NORM}), 1, 12) AS copy FROM pages")
 def copy_names(spark: SparkSession, d: str) -> DataFrame:
-    pages = responses.from_pages(table(spark, d, "pages"))
-    plain = pages.where(~F.contains("url", F.lit("?")) & ~F.regexp_replace("url", "#.*$", "").rlike("/$"))
-    return plain.select("page_id", F.substring(U.url_hash(F.col("url")), 1, 12).alias("copy"))
+    return responses.from_pages(table(spark, d, "pages")).select("page_id", F.substring(U.url_hash(F.col("url")), 1, 12).alias("copy"))

@@ -83,7 +83,7 @@ def test_extract_and_search(spark, web):
     html = "<script type='application/ld+json'>{\"@type\": \"X\"}</script><table><tr><td>1</td></tr></table>"
     t = spark.createDataFrame([row("https://s.e/1", html), row("https://s.e/2", "x", status=500)], SCHEMA)
     got = {r.url[-1]: json.loads(r.data) for r in api.extract(t, t).collect()}
-    assert got["1"]["tables"][0]["rows"] == [["1"]] and "X" in got["1"]["json_ld"][0] and got["2"] == {"url": "https://s.e/2", "error": "HTTP 500"}
+    assert got["1"]["tables"][0]["rows"] == [["1"]] and got["1"]["json_ld"] == [{"@type": "X"}] and got["2"] == {"url": "https://s.e/2", "error": "HTTP 500"}
     assert json.loads(api.extract(t, t, types=("opengraph",)).where("url like '%1'").first().data)["note"]
     docs = spark.createDataFrame([(1, "apple pie"), (2, "apple apple")], "doc_id int, text string")
     assert [r.id for r in api.search(docs, "apple").orderBy("rank").collect()] == [2, 1]
