@@ -283,9 +283,10 @@ def _of_length(rows: DataFrame, d: int, *, is_query, k: int, cells: int, probe:
     for r in entries.groupBy("i", "j").count().collect():  # cells squared numbers at most
         counts[r.i, r.j] = r["count"]
     asked = rows.where(is_query(F.col("id"))).distinct()
-    parts = max(1, -(-asked.count() // query_block))
+    n = asked.count()
+    parts = max(1, -(-n // query_block))
     per_key = F.element_at(F.array(*[F.lit(max(1, -(-int(n) // block))) for n in counts.sum(axis=1)]), F.col("i") + 1)
-    asked = asked.repartition("id").mapInArrow(_router(MultiIndex(first, second, counts), int(np.ceil(share * total))), "id long, v binary, i int, wants binary")
+    asked = asked.repartition(min(20_000, max(1, -(-n // QUERY_BLOCK))), "id").mapInArrow(_router(MultiIndex(first, second, counts), int(np.ceil(share * total))), "id long, v binary, i int, wants binary")
     asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), per_key - 1)))
     entries = entries.withColumn("salt", F.pmod(F.xxhash64("v"), per_key).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     key = ["i", "salt", "part"]
