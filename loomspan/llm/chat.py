@@ -104,22 +104,39 @@ def format_conversations(rows: DataFrame, *, conv_col: str = "conv_id", turn_col
     return out.select("conv_id", "formatted", F.flatten(F.transform("turns", segments)).alias("mask"), "rounds")
 
 
-def digest(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """The columns of the contract, read back from the text and checked against the mask."""
+def under_loss(formatted: Column, mask: Column) -> Column:
+    """The text under the loss mask, unescaped: one string for each segment that is under loss, in order.
+
+    The text is cut into turns first, so that no segment is counted off from the begin of the
+    whole; a turn takes three segments of the mask, and their lengths must be the turn's.
+    """
+    parts = F.split(formatted, EOS, -1)
+    turns = F.slice(parts, 1, F.size(parts) - 1)
+
+    def cut(part: Column, i: Column) -> Column:
+        head, text, end = (F.try_element_at(mask, i * 3 + n) for n in (1, 2, 3))
+        fits = (F.length(part) == head["length"] + text["length"]) & (end["length"] == len(EOS)) & ~head["loss"] & ~end["loss"]
+        own = F.when(text["loss"], unescape(F.substr(part, head["length"].cast("int") + 1, text["length"].cast("int"))))
+        return F.when(fits, F.struct(own.alias("text"))).otherwise(F.raise_error(F.lit("a mask does not fit its text")))
+
+    cuts = F.transform(turns, cut)
+    whole = F.when(F.size(mask) == F.size(turns) * 3, cuts).otherwise(F.raise_error(F.lit("a mask does not fit its text")))
+    return F.transform(F.filter(whole, lambda x: x["text"].isNotNull()), lambda x: x["text"])
+
+
+def digest(formatted: DataFrame) -> DataFrame:
+    """The columns of the contract, read back from the text: turns by the parser, the loss by the mask."""
     turns = F.col("turns")
     lines = F.concat_ws("", F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
-    loss = F.concat_ws("", F.transform(F.filter(turns, lambda t: t["role"] == loss_role), lambda t: t["text"]))
-    masked = F.aggregate("mask", F.lit(0).cast("long"), lambda a, s: a + F.when(s["loss"], s["length"]).otherwise(F.lit(0).cast("long")))
     whole = F.aggregate("mask", F.lit(0).cast("long"), lambda a, s: a + s["length"])
-    out = formatted.withColumn("turns", parse(F.col("formatted")))
+    out = formatted.withColumn("turns", parse(F.col("formatted"))).withColumn("loss", F.concat_ws("", under_loss(F.col("formatted"), F.col("mask"))))
     return out.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(lines, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
-        masked.alias("masked_chars"),
         whole.alias("mask_chars"),
         F.col("rounds").cast("long").alias("rounds"),
     )

@@ -71,3 +71,15 @@ def test_main_path_runs_no_python(spark, sf_dir):
 @pytest.mark.parametrize("text", ["<s>[INST]user[/INST]hi", "x</s>", "<s>[INST]user</s>", "<s>[INST]a[/INST]b</s>tail"])
 def test_bad_grammar_is_null(spark, text):
     assert spark.createDataFrame([(text,)], "t string").select(chat.parse(F.col("t"))).first()[0] is None
+
+
+def test_the_loss_is_read_through_the_mask(spark):
+    rows = [(1, 0, "user", "ab"), (1, 1, "assistant", "</s>x"), (1, 2, "assistant", "yz")]
+    out = chat.format_conversations(spark.createDataFrame(rows, SCHEMA))
+    assert out.select(chat.under_loss(F.col("formatted"), F.col("mask")).alias("t")).first().t == ["</s>x", "yz"]
+    other = F.transform("mask", lambda s, i: F.struct(s["length"].alias("length"), (i == 1).alias("loss")))
+    got = chat.digest(out.withColumn("mask", other)).first()
+    assert (got.loss_chars, got.loss_sha256) == (2, hashlib.sha256(b"ab").hexdigest())
+    wrong = F.transform("mask", lambda s, i: F.struct((s["length"] + F.when(i == 1, 1).when(i == 2, -1).otherwise(0)).alias("length"), s["loss"].alias("loss")))
+    with pytest.raises(Exception, match="mask"):
+        chat.digest(out.withColumn("mask", wrong)).collect()
