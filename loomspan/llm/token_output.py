@@ -3,12 +3,12 @@
 A data set is a folder of shards. Shard ``s`` holds three files:
 
 * ``<s>.ids``   the ids of its documents, one after the other, little-endian,
-  two bytes each if every id fits, else four;
+  two bytes each if every id of the vocabulary fits, else four;
 * ``<s>.off``   one little-endian int64 more than documents: where, in ids from
   the shard's begin, each document starts, and the shard's length;
 * ``<s>.doc``   the documents' ids, int64.
 
-Shards are ranges of ``doc_id``; a manifest (one row a shard) gives each shard's
+Shards are ranges of ``doc_id`` of at most SHARD_TOKENS ids (but for a longer document); a manifest (one row a shard) gives each shard's
 base, the prefix sum of the lengths before it, so ``base + off[i]`` is a
 document's place in the whole data set. Readers map the files into memory where
 the folder is a file system's, and read them through pyarrow elsewhere.
@@ -28,15 +28,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import new_path
 from .subwords import encoder, tokenizer_path
 
-MANIFEST = "path string, first_doc long, n_docs long, n_tokens long, width int"
+MANIFEST = "path string, part int, shard int, n_docs long, n_tokens long, width int"
 NO_DOC = np.iinfo(np.int64).min
 READ_TOKENS = 4 << 20
+#: Ids of a shard; a task whose range has more writes several.
+SHARD_TOKENS = 1 << 26
 
 
 def _append_end(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,55 +51,78 @@ def _append_end(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarra
     return out, at
 
 
-def _writer(folder: str, path: str, end_id: int, width: int):
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out, offsets, docs, n, first = None, None, [], [], 0, None
-        filesystem, base = pafs.FileSystem.from_uri(folder)
+class _Shard:
+    """The files of one shard, written as documents come."""
+
+    def __init__(self, folder: str, part: int, number: int, width: int):
+        self.filesystem, base = pafs.FileSystem.from_uri(folder)
+        self.filesystem.create_dir(base, recursive=True)
         # Another name for each attempt: a task that runs twice never writes into the files of the first.
-        name = f"{base}/{uuid.uuid4().hex}"
+        self.name = f"{base}/{uuid.uuid4().hex}"
+        self.part, self.number, self.width = part, number, width
+        self.out = self.filesystem.open_output_stream(f"{self.name}.ids")
+        self.offsets, self.docs, self.n = [], [], 0
+
+    def add(self, docs: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >= 1 << 8 * self.width:
+            raise ValueError(f"id {int(ids.max())} does not fit {self.width} bytes")
+        self.out.write(ids.astype(f"<u{self.width}").tobytes())
+        self.docs.append(docs)
+        self.offsets.append(self.n + at[:-1])
+        self.n += int(at[-1])
+
+    def close(self) -> pa.RecordBatch:
+        self.out.close()
+        for end, parts in ((".off", [*self.offsets, [self.n]]), (".doc", self.docs)):
+            with self.filesystem.open_output_stream(self.name + end) as f:
+                f.write(np.concatenate(parts).astype("<i8").tobytes())
+        row = {"path": [self.name], "part": [self.part], "shard": [self.number], "n_docs": [sum(map(len, self.docs))], "n_tokens": [self.n], "width": [self.width]}
+        return pa.RecordBatch.from_pydict(row, schema=pa.schema([("path", pa.string()), ("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())]))
+
+
+def _writer(folder: str, path: str, end_id: int, width: int, shard_tokens: int):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, number = None, 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if out is None:
-                filesystem.create_dir(base, recursive=True)
-                enc, out = encoder(path), filesystem.open_output_stream(f"{name}.ids")
-            ids_of = batch.column(0).fill_null(NO_DOC).to_numpy(zero_copy_only=False)
-            first = int(ids_of[0]) if first is None else first
-            docs.append(ids_of)
-            for _, ids, at in enc.batches(batch.column(1)):
+            docs = batch.column(0).fill_null(NO_DOC).to_numpy(zero_copy_only=False)
+            for i, ids, at in encoder(path).batches(batch.column(1)):
                 ids, at = _append_end(ids, at, end_id)
-                out.write(ids.astype(f"<u{width}").tobytes())
-                offsets.append(n + at[:-1])
-                n += int(at[-1])
-        if out is None:
-            return
-        out.close()
-        with filesystem.open_output_stream(f"{name}.off") as f:
-            f.write(np.concatenate([*offsets, [n]]).astype("<i8").tobytes())
-        with filesystem.open_output_stream(f"{name}.doc") as f:
-            f.write(np.concatenate(docs).astype("<i8").tobytes())
-        row = {"path": [name], "first_doc": [first], "n_docs": [sum(map(len, docs))], "n_tokens": [n], "width": [width]}
-        yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("path", pa.string()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())]))
+                if shard is None:
+                    shard = _Shard(folder, TaskContext.get().partitionId(), number, width)
+                shard.add(docs[i : i + len(at) - 1], ids, at)
+                if shard.n >= shard_tokens:
+                    yield shard.close()
+                    shard, number = None, number + 1
+        if shard is not None:
+            yield shard.close()
 
     return write
 
 
-def write_token_files(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, folder: str | None = None, max_id: int = 65535) -> DataFrame:
+def largest_id(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0)
+
+
+def write_token_files(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, folder: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Write the shards and return the manifest, with each shard's ``base``.
 
-    The manifest has one row a shard (as many as shuffle partitions), so the
-    prefix sum over it is taken on the driver. ``max_id`` fixes the width.
+    The manifest has one row a shard, so the prefix sum over it is taken on the
+    driver. The tokenizer's largest id fixes the width; a larger one would fail the job.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
-    width = 2 if max_id <= 65535 else 4
+    path = tokenizer or tokenizer_path()
+    width = 2 if max(largest_id(path), end_id) < 1 << 16 else 4
     rows = (
         docs.select(F.col(doc_col).cast("long").alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
         .repartitionByRange("d")
         .sortWithinPartitions("d", "t")
-        .mapInArrow(_writer(folder, tokenizer or tokenizer_path(), end_id, width), MANIFEST)
+        .mapInArrow(_writer(folder, path, end_id, width, shard_tokens), MANIFEST)
     )
-    return manifest(spark, folder, sorted(rows.collect(), key=lambda r: r.first_doc))
+    # Ranges are in the order of the partitions, and a task's shards in theirs.
+    return manifest(spark, folder, sorted(rows.collect(), key=lambda r: (r.part, r.shard)))
 
 
 def manifest(spark: SparkSession, folder: str, rows: list) -> DataFrame:
