@@ -9,8 +9,8 @@ placing a length on part of a run splits it. Every placement is a slot: pieces
 of this length with ranks [r, r + n) go to sequences [s, s + n) at one offset.
 Pieces are joined back to slots by their rank among the pieces of their length.
 
-The rank needs no group of one length in one task: pieces are numbered within
-(length, chunk) for many chunks, and the counts of chunks give the bases.
+The rank needs no group of one length in one task: each task numbers its own pieces
+of each length as it writes them, and prefix sums over the tasks' counts give the bases.
 
 Defined cases: a null text is the empty text and is the end id alone; repeated
 rows are packed each on its own (equal pieces may swap places); an empty table
@@ -23,8 +23,8 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +33,8 @@ from .subwords import encoder, tokenizer_path
 from .token_output import _append_end
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
-#: Parts in which pieces of one length are numbered.
-CHUNKS = 32
+#: Columns that numbering adds; pieces must not have them.
+OWN = ("_pack_part", "_pack_local")
 
 
 def _cutter(path: str, end_id: int, seq_len: int):
@@ -91,43 +91,57 @@ def plan_slots(histogram: dict[int, int], seq_len: int = 2048) -> list[tuple[int
 def _placer(slots: list[tuple[int, int, int, int, int]]):
     table = np.array(slots, np.int64).reshape(-1, 5)
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = table[:, 0] * (1 << 44) + table[:, 1]  # ranks stay below 2**44
         order = np.argsort(key, kind="stable")
         own, key = table[order], key[order]
-        for f in frames:
-            at = np.searchsorted(key, f["length"].to_numpy() * (1 << 44) + f["rank"].to_numpy(), side="right") - 1
-            slot = own[at]
-            yield f.drop(columns="rank").assign(sequence_id=slot[:, 3] + f["rank"].to_numpy() - slot[:, 1], offset=slot[:, 4])
+        for batch in batches:
+            length, rank = (batch.column(n).to_numpy() for n in ("length", "_pack_rank"))
+            slot = own[np.searchsorted(key, length * (1 << 44) + rank, side="right") - 1]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(slot[:, 3] + rank - slot[:, 1]), pa.array(slot[:, 4])], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
     return place
 
 
-def pack(pieces: DataFrame, *, seq_len: int = 2048, order: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
+def _numberer(at: int, seq_len: int):
+    """Adds the task, and how many pieces of its length the task has written before."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), np.zeros(seq_len + 1, np.int64)
+        for batch in batches:
+            length = batch.column(at).to_numpy()
+            if len(length) and not 0 < length.min() <= length.max() <= seq_len:
+                raise ValueError(f"a piece of {length.max()} ids does not fit {seq_len}")
+            order = np.argsort(length, kind="stable")
+            ordered = length[order]
+            local = np.empty(len(length), np.int64)
+            local[order] = np.arange(len(length)) - np.searchsorted(ordered, ordered) + seen[ordered]
+            seen += np.bincount(length, minlength=seq_len + 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(local)], names=[*batch.schema.names, *OWN])
+
+    return number
+
+
+def pack(pieces: DataFrame, *, seq_len: int = 2048) -> DataFrame:
     """``pieces`` (with ``length``) and for each its ``sequence_id`` and ``offset``.
 
-    ``pieces`` is read three times, so it should be a written table. What goes to
-    the driver has at most ``seq_len`` x CHUNKS counts and as many slots as the
-    placements of ``seq_len`` lengths, whatever the number of documents.
+    The numbered pieces are written to the shared folder, so a task that is run again
+    changes no number. The driver gets the histogram, ``seq_len`` rows, and as many slots
+    as the placements of ``seq_len`` lengths, whatever the number of documents. Which of
+    several pieces of one length goes to which slot follows the order of the input.
     """
-    spark = pieces.sparkSession
-    keyed = pieces.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(CHUNKS)).cast("int"))
-    counts = keyed.groupBy("length", "_chunk").agg(F.count(F.lit(1)).alias("n")).collect()
-    histogram: dict[int, int] = {}
-    bases = []
-    for r in sorted(counts, key=lambda r: (r.length, r._chunk)):
-        bases.append((r.length, r._chunk, histogram.get(r.length, 0)))
-        histogram[r.length] = histogram.get(r.length, 0) + r.n
-    base = spark.createDataFrame(bases, "length long, _chunk int, _base long")
-    inner = Window.partitionBy("length", "_chunk").orderBy(*order)
-    ranked = (
-        keyed.withColumn("_in", F.row_number().over(inner) - 1)
-        .join(F.broadcast(base), ["length", "_chunk"])  # seq_len x CHUNKS rows at most
-        .withColumn("rank", F.col("_base") + F.col("_in"))
-        .select(*pieces.columns, "rank")
-    )
+    clash = {*OWN, "_pack_rank", "sequence_id", "offset"} & set(pieces.columns)
+    if clash:
+        raise ValueError(f"pieces have columns of packing's own: {sorted(clash)}")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInPandas(_placer(plan_slots(histogram, seq_len)), f"{schema}, sequence_id long, offset long")
+    numbered = materialise(pieces.mapInArrow(_numberer(pieces.columns.index("length"), seq_len), f"{schema}, _pack_part int, _pack_local long"), "pieces")
+    counts = materialise(numbered.groupBy("length", "_pack_part").agg(F.count(F.lit(1)).alias("_pack_n")), "counts")  # a row for each task and length
+    before = Window.partitionBy("length").orderBy("_pack_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = materialise(counts.select("length", "_pack_part", F.coalesce(F.sum("_pack_n").over(before), F.lit(0)).alias("_pack_base")), "bases")
+    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_pack_n")).collect()}
+    # Spark sees the size of ``base`` and sends it to the pieces where it is small.
+    ranked = numbered.join(base, ["length", "_pack_part"]).select(*pieces.columns, (F.col("_pack_base") + F.col("_pack_local")).alias("_pack_rank"))
+    return ranked.mapInArrow(_placer(plan_slots(histogram, seq_len)), f"{schema}, sequence_id long, offset long")
 
 
 def packed_documents(docs: DataFrame, *, seq_len: int = 2048, end_id: int = 1, tokenizer: str | None = None, doc_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -139,5 +153,4 @@ def packed_documents(docs: DataFrame, *, seq_len: int = 2048, end_id: int = 1, t
     """
     pieces = token_pieces(docs, seq_len=seq_len, end_id=end_id, tokenizer=tokenizer, doc_col=doc_col, text_col=text_col)
     columns = [F.col("doc_id"), F.col("start"), F.col("length"), F.crc32("ids").alias("ids_crc32"), F.col("doc_tokens")]
-    pieces = materialise(pieces.select(*columns, *(["ids"] if with_ids else [])), "pieces")
-    return pack(pieces, seq_len=seq_len, order=("doc_id", "start", "length", "ids_crc32"))
+    return pack(pieces.select(*columns, *(["ids"] if with_ids else [])), seq_len=seq_len)

@@ -116,3 +116,38 @@ def test_slots_cover_every_rank_once(histogram):
 
 def test_packing_of_nothing(spark, odd_docs):
     assert packing.packed_documents(odd_docs.limit(0)).count() == 0
+
+
+def test_small_shards_give_the_same_rows(spark, odd_docs):
+    whole = token_output.write_token_files(odd_docs)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        small = token_output.write_token_files(odd_docs, shard_tokens=1)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert small.count() > whole.count()
+    assert sorted(map(str, token_output.read_token_files(small).collect())) == sorted(map(str, token_output.read_token_files(whole).collect()))
+
+
+def test_width_follows_the_vocabulary(tmp_path):
+    assert token_output.largest_id(subwords.tokenizer_path()) < 1 << 16
+    shard = token_output._Shard(f"file://{tmp_path}", 0, 0, 2)
+    with pytest.raises(ValueError):
+        shard.add(np.array([1]), np.array([1 << 16], np.uint32), np.array([0, 1]))
+
+
+def test_numbering_over_many_tasks(spark):
+    pieces = spark.range(0, 4000, 1, 13).selectExpr("id as doc_id", "pmod(xxhash64(id), 7) + 1 as length", "'x' as rank", "id as _chunk")
+    rows = packing.pack(pieces, seq_len=16).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(rows) == 4000 and sorted(by) == list(range(len(by)))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 16
+    with pytest.raises(ValueError):
+        packing.pack(pieces.withColumn("offset", pieces.doc_id))
