@@ -18,7 +18,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learnable=lambda doc: toxicity.fold(doc) != 2)
-    held_out = (toxicity.fold(F.col("doc_id")) == 2).alias("held_out")
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
     return toxicity.score(docs, model, threshold=0.3).select("doc_id", held_out, "score", "predicted")
 
 
@@ -29,7 +29,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs, learnable=language.fold("doc_id", 3) != 1)
-    held_out = (language.fold("doc_id", 3) == 1).alias("held_out")
+    held_out = F.coalesce(language.fold("doc_id", 3) == 1, F.lit(False)).alias("held_out")
     return language.predict(docs, model).select("doc_id", held_out, "lang_pred", "score", "rejected")
 
 

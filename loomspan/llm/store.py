@@ -1,8 +1,8 @@
 """Tables and files in the folder that driver and executors share.
 
-The folder comes from ``spark.checkpoint.dir``. Where that setting is absent
-(tests), a folder of this machine is used. Written tables cut lineage: a lost
-executor never takes them along.
+The folder comes from ``spark.checkpoint.dir``; only a local session (tests) may do
+without that setting. Written tables cut lineage: a lost executor never takes them
+along. They stay until the folder is cleared, as a result may be read at any time.
 """
 
 from __future__ import annotations
@@ -11,12 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-LOCAL_ONLY = "file:///tmp/loomspan-shared"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_ONLY
-    return base.rstrip("/")
+from ..session import shared_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:
