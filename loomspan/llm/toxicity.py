@@ -4,12 +4,14 @@ The lexicon has three kinds of terms: a given list of abusive words, words
 learned from labelled documents, and learned beginnings of words (``STEM``
 letters). Learned terms are those whose share of toxic documents is too high to
 be chance. Exact hits are looked up by hash. Misspelled hits are found with the
-Levenshtein automata of the given and the surest learned words, all at once: the
-automata are intersected with the trie of these words, and the product is made
-deterministic over the letters of the trie, so that each word of a text takes
-one table step a letter and most words are dropped after a few. A near word that
-clean training documents use is no misspelling, and a learned word with more
-near words in clean documents than chance explains takes no misspellings.
+Levenshtein automata of all given and learned words of FUZZY_LETTERS and more, in
+any script: the trie of these words is walked with each distinct word of a worker
+(what a word is near to is kept for the next time), and a state of the walk is a
+node, a place in the word, and the edits so far. One edit is a letter too many, too
+few, another letter, or two letters in each other's place; digits that stand for
+letters (LOOKS_LIKE) cost none. A near word that clean training documents use is no
+misspelling, and a learned word with more near words in clean documents than
+chance explains takes no misspellings.
 
 Each hit is weighted by its term's log-odds and by its context window: a hit
 inside quotation marks, or after a word of reporting, counts as quoted, and
@@ -23,7 +25,9 @@ once. Scoring reads every text whole.
 
 Defined cases: null and empty texts get the score of a text without hits; if no
 labelled row can be learned from, the given words alone decide; repeated rows
-get a row each; rows with a null id are scored; further columns are ignored.
+get a row each; rows with a null id are scored; ids may be of any type that has a
+text; further columns are ignored; a text is scored whole in one task, with about 40
+bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
@@ -39,6 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import materialise
 from .textbuf import ALNUM_WORDS, chunks, mix, prefix_sums, range_hash, shingles, utf8, word_hashes
 
 #: Abusive words that are known before any label is seen.
@@ -47,12 +52,15 @@ STEM = 5
 #: Words that announce a quotation.
 REPORTING = frozenset("said says say saying wrote writes written quoted quote quotes called word term dit écrit sagte schrieb dijo escribió".split())
 WINDOW = 64  # bytes on either side of a hit
-MIN_FUZZY = 5
-MAX_TERMS = 4000
-MAX_FUZZY = 60
+#: Shorter words have too many neighbours that are words of their own.
+FUZZY_LETTERS = 5
+#: Digits that are read as letters.
+LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
+#: Distinct words whose nearness a worker keeps.
+KEPT_WORDS = 500_000
 QUOTES = {"“": '"', "”": '"', "„": '"', "«": '"', "»": '"', "‘": "'", "’": "'"}
 COUNTS = "term string, stem boolean, half int, toxic int, n long"
-FEATURES = "doc long, label int, half int, x array<double>"
+FEATURES = "doc string, label int, half int, x array<double>"
 
 
 def _folded(arr: pa.Array) -> pa.Array:
@@ -93,77 +101,64 @@ def word_hash(term: str) -> np.uint64:
 # ---- automata
 
 
-def levenshtein_dfa(terms: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """(letter classes, transitions, accepted term + 1 of each state) for one edit.
-
-    A state is the set of (trie node, edits) that a word's begin can stand for.
-    Class 0 is any letter that no term has; state 0 is the dead one, 1 the first.
-    """
-    children: list[dict[str, int]] = [{}]
-    final: list[int] = [0]
-    for i, t in enumerate(terms):
-        node = 0
-        for ch in t:
-            if ch not in children[node]:
-                children[node][ch] = len(children)
-                children.append({})
-                final.append(0)
-            node = children[node][ch]
-        final[node] = i + 1
-    classes = {ch: i + 1 for i, ch in enumerate(sorted({c for t in terms for c in t}))}
-
-    def closure(states: set[tuple[int, int]]) -> frozenset:
-        out = {}
-        for node, e in states:
-            out[node] = min(e, out.get(node, 2))
-        for node, e in list(out.items()):
-            if e == 0:
-                for nxt in children[node].values():  # a letter of the term is missing
-                    out[nxt] = min(1, out.get(nxt, 2))
-        return frozenset(out.items())
-
-    def step(states: frozenset, ch: str | None) -> frozenset:
-        out = set()
-        for node, e in states:
-            nxt = children[node].get(ch) if ch is not None else None
-            if nxt is not None:
-                out.add((nxt, e))
-            if e == 0:
-                out.add((node, 1))  # a letter too many
-                out.update((x, 1) for x in children[node].values())  # another letter
-        return closure(out)
-
-    begin = closure({(0, 0)})
-    number = {frozenset(): 0, begin: 1}
-    queue, table = [begin], [[0] * (len(classes) + 1)]
-    letters = [None, *sorted(classes, key=classes.get)]
-    while queue:
-        fresh = []
-        for state in queue:
-            row = []
-            for ch in letters:
-                to = step(state, ch)
-                if to not in number:
-                    number[to] = len(number)
-                    fresh.append(to)
-                row.append(number[to])
-            table.append(row)
-        queue = fresh
-    accept = np.zeros(len(number), np.int32)
-    for state, n in number.items():
-        got = [(e, final[node]) for node, e in state if final[node]]
-        accept[n] = min(got)[1] if got else 0
-    return classes, np.array(table, np.int32), accept
+class Trie:
+    def __init__(self, terms: list[str]):
+        self.children: list[dict[str, int]] = [{}]
+        self.final: list[int] = [-1]
+        for i, t in enumerate(terms):
+            node = 0
+            for ch in t:
+                if ch not in self.children[node]:
+                    self.children[node][ch] = len(self.children)
+                    self.children.append({})
+                    self.final.append(-1)
+                node = self.children[node][ch]
+            self.final[node] = i
+
+    def nearest(self, word: str) -> int:
+        """The term with the fewest edits from a word, 0 or 1; the earliest term of several; -1 for none."""
+        children, final, n = self.children, self.final, len(word)
+        best = (2, -1)
+        todo, seen = [(0, 0, 0)], set()
+        while todo:
+            state = todo.pop()
+            if state in seen:
+                continue
+            seen.add(state)
+            node, i, e = state
+            below = children[node]
+            if i == n and final[node] >= 0:
+                best = min(best, (e, final[node]))
+            if i < n:
+                ch = word[i]
+                for c in (ch, *LOOKS_LIKE.get(ch, "")):
+                    if c in below:
+                        todo.append((below[c], i + 1, e))
+            if e:
+                continue
+            for x in below.values():
+                todo.append((x, i, 1))  # a letter is missing
+                if i < n:
+                    todo.append((x, i + 1, 1))  # another letter
+            if i < n:
+                todo.append((node, i + 1, 1))  # a letter too many
+            if i + 1 < n and word[i + 1] in below and ch in children[below[word[i + 1]]]:
+                todo.append((children[below[word[i + 1]]][ch], i + 2, 1))  # two letters have changed places
+        return best[1]
+
+
+#: What words (by hash) are near to, for each list of terms that a worker has met.
+_near: dict[int, dict[int, int]] = {}
 
 
 class Fuzzy:
+    """The nearest term of each word, of those within one edit of any."""
+
     def __init__(self, terms: list[str]):
         self.terms = terms
-        classes, self.table, self.accept = levenshtein_dfa(terms)
-        self.classes = np.zeros(0x250, np.uint8)
-        for ch, c in classes.items():
-            if ord(ch) < len(self.classes):
-                self.classes[ord(ch)] = c
+        self.trie = Trie(terms)
+        hashes = np.array([word_hash(t) for t in terms], np.uint64) + np.arange(len(terms), dtype=np.uint64)
+        self.name = int(np.bitwise_xor.reduce(mix(hashes), initial=np.uint64(0)))
         self.lengths = (min(map(len, terms), default=0) - 1, max(map(len, terms), default=0) + 1)
 
     def matches(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -171,25 +166,21 @@ class Fuzzy:
         none = np.zeros(0, np.int64)
         if not self.terms or not len(words.hash):
             return none, none
-        points = np.frombuffer(words.data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        kind = np.where(points < len(self.classes), self.classes[np.minimum(points, len(self.classes) - 1)], 0)
-        lead = np.cumsum((words.data & 0xC0) != 0x80) - 1
-        start = lead[words.start]
-        length = lead[words.end - 1] + 1 - start
-        live = np.flatnonzero((length >= self.lengths[0]) & (length <= self.lengths[1]))
-        state, found, term = np.ones(len(live), np.int64), [none], [none]
-        for i in range(self.lengths[1] + 1):
-            done = length[live] == i
-            got = self.accept[state[done]]
-            found.append(live[done][got > 0])
-            term.append(got[got > 0] - 1)
-            live, state = live[~done], state[~done]
-            if not len(live):
-                break
-            state = self.table[state, kind[start[live] + i]]
-            alive = state > 0
-            live, state = live[alive], state[alive]
-        return np.concatenate(found), np.concatenate(term)
+        near = _near.setdefault(self.name, {})
+        if len(near) > KEPT_WORDS:
+            near.clear()
+        lead = np.cumsum((words.data & 0xC0) != 0x80)
+        length = lead[words.end - 1] - lead[words.start] + 1
+        may = np.flatnonzero((length >= self.lengths[0]) & (length <= self.lengths[1]))
+        distinct, first, at = np.unique(words.hash[may], return_index=True, return_inverse=True)
+        term = np.full(len(distinct), -1, np.int64)
+        for d, (h, w) in enumerate(zip(distinct.tolist(), may[first].tolist())):
+            got = near.get(h)
+            if got is None:
+                got = near[h] = self.trie.nearest(words.text(words.start[w], words.end[w]))
+            term[d] = got
+        found = np.flatnonzero(term[at] >= 0)
+        return may[found], term[at[found]]
 
 
 # ---- lexicon
@@ -228,7 +219,7 @@ class Lexicon:
         self.prepare()
 
 
-def learn(counts: pd.DataFrame, toxic: int, clean: int, max_terms: int = MAX_TERMS) -> Lexicon:
+def learn(counts: pd.DataFrame, toxic: int, clean: int) -> Lexicon:
     """Terms whose documents are toxic too often to be chance, with log-odds."""
     base = math.log(8.0)
     lexicon = Lexicon({t: base for t in BASE_TERMS})
@@ -242,17 +233,14 @@ def learn(counts: pd.DataFrame, toxic: int, clean: int, max_terms: int = MAX_TER
         p = np.clip(t / np.maximum(n, 1), 1e-9, 1 - 1e-9)
         surprise = n * (p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share)))
         sure = (odds > math.log(4)) & (surprise > math.log(max(100, len(both)))) & (t >= 3)
-        order = np.flatnonzero(sure)[np.argsort(-surprise[sure], kind="stable")][:max_terms]
+        order = np.flatnonzero(sure)[np.argsort(-surprise[sure], kind="stable")]
         for i in order:
             term, stem = both.index[i]
             if stem:
                 lexicon.stems[term] = float(odds[i])
             else:
                 lexicon.words[term] = max(float(odds[i]), base if term in BASE_TERMS else 0)
-        strong = [both.index[i][0] for i in order if not both.index[i][1] and c[i] == 0]
-    else:
-        strong = []
-    lexicon.fuzzy = [t for t in dict.fromkeys([*BASE_TERMS, *strong]) if len(t) >= MIN_FUZZY][:MAX_FUZZY]
+    lexicon.fuzzy = [t for t in lexicon.words if len(t) >= FUZZY_LETTERS]
     lexicon.prepare()
     return lexicon
 
@@ -404,12 +392,12 @@ def _minhasher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, words in _parts(batch, 1):
             s, at = shingles(words.hash, words.first, 3)
             row = np.searchsorted(words.first, at, side="right") - 1
-            ids = batch.column(0).slice(i, j - i).fill_null(-1).to_numpy(zero_copy_only=False)
+            ids = word_hashes(*utf8(batch.column(0).slice(i, j - i)), np.ones(256, bool))[0]  # an id has no separator
             full = np.unique(row)
             begin = np.searchsorted(row, full)
             cols = []
             for k in range(3):
-                own = mix(ids.astype(np.uint64) + np.uint64(k))  # a document without words is like no other
+                own = mix(ids + np.uint64(k))  # a document without words is like no other
                 if len(full):
                     own[full] = np.minimum.reduceat(mix(s + np.uint64(k * 77)), begin)
                 cols.append(pa.array(own.view(np.int64)))
@@ -455,13 +443,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, learnable, doc_col: str = "doc_id
     marks = marks.where(draw < (min(1.0, max_train / total) if total else 0.0))
     half = F.pmod(F.xxhash64(F.lit("half"), F.xxhash64(F.substring(text_col, 1, 200))), F.lit(2)).cast("int").alias("half")
     # The sample's ids are bounded by max_train, so the texts are not shuffled for them.
-    sample = docs.select(F.col(doc_col).alias("doc"), F.col(text_col)).join(F.broadcast(marks), "doc").select("doc", "label", half, F.coalesce(text_col, F.lit("")).alias("t")).withColumn("half", F.coalesce("half", F.lit(0)))
+    marks = marks.withColumn("doc", F.col("doc").cast("string"))
+    sample = docs.select(F.col(doc_col).cast("string").alias("doc"), F.col(text_col)).join(F.broadcast(marks), "doc").select("doc", "label", half, F.coalesce(text_col, F.lit("")).alias("t")).withColumn("half", F.coalesce("half", F.lit(0)))
+    sample = materialise(sample, "sample")
     # Copies and near copies would make their words look telling: one document of each set that shares a minhash counts.
-    left = sample.select("doc", "t").mapInArrow(_minhasher, "doc long, m0 long, m1 long, m2 long")
+    left = sample.select("doc", "t").mapInArrow(_minhasher, "doc string, m0 long, m1 long, m2 long")
     for m in ("m0", "m1", "m2"):
         left = left.groupBy(m).agg(F.min(F.struct("doc", "m0", "m1", "m2")).alias("r")).select("r.*")
-    left = spark.createDataFrame(left.select("doc").collect(), "doc long")  # max_train ids at most
-    sample = sample.join(F.broadcast(left), "doc")
+    left = spark.createDataFrame(left.select("doc").collect(), "doc string")  # max_train ids at most
+    sample = materialise(sample.join(F.broadcast(left), "doc"), "sample")
     stats = {(r.half, r.label): r.n for r in sample.groupBy("half", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = sample.mapInArrow(_counter, COUNTS).groupBy("term", "stem", "half", "toxic").agg(F.sum("n").alias("n"))
     # A term needs three toxic documents.
