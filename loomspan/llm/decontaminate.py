@@ -15,18 +15,23 @@ its range is empty. Occurrences are located by LF steps to a sampled suffix:
 every SAMPLE-th place and every run's begin. Removal spans are the union of the
 words covered by occurrences.
 
-The benchmark is a query set: it is read in blocks of ``block_items`` items (``find``
-makes one pass over the documents for each block), and spans of several blocks are merged.
-No document is shuffled for a single block.
+The benchmark is a query set: it is read in blocks of at most ``block_items`` items and
+about ``block_bytes`` of text, of which the driver holds one at a time, and each block
+makes one pass over the documents. With several blocks, all search the original
+texts; what they find is written (texts with hits only), merged by the text's two hashes,
+and given to each row with that text, so the number of blocks changes no result. No
+document is shuffled for a single block.
 
 Defined cases: null or empty texts have no words and no hit; items without
 words, or with a null id, are left out; repeated items count once by id; documents' rows
 that repeat give a row each; further columns are ignored (``find``) or kept
-(``remove``); an empty benchmark hits nothing.
+(``remove``), whatever their names; an empty benchmark hits nothing. A text is searched whole
+in one task, with about 60 bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import materialise
 from .textbuf import ALNUM_WORDS, chunks, ragged, utf8, word_hashes
 
 SAMPLE = 8
 SHARD_BYTES = 1 << 20
 BLOCK_ITEMS = 50_000
+BLOCK_BYTES = 32 << 20
 
 
 class Phrases:
@@ -248,51 +255,80 @@ def _rows(doc, phrases, data, offsets, lo, hi, first, who, word) -> pa.RecordBat
 FOUND = "n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long,first_word:long,end_word:long>>"
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, items: int, size: int) -> Iterator[list[tuple[int, str]]]:
+    """Blocks of the benchmark; none is empty."""
     rows = benchmark.select(F.col(id_col).cast("long"), text_col).where(f"`{id_col}` is not null and `{text_col}` is not null").dropDuplicates()
     block: list[tuple[int, str]] = []
-    for r in rows.coalesce(4).toLocalIterator():  # a job for each partition
-        block.append((r[0], r[1]))
-        if len(block) == size:
+    held = 0
+    for r in rows.toLocalIterator():  # a partition at a time
+        if block and (len(block) >= items or held + len(r[1]) > size):
             yield block
-            block = []
+            block, held = [], 0
+        block.append((r[0], r[1]))
+        held += len(r[1])
     if block:
         yield block
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_items: int = BLOCK_ITEMS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+#: A text, by its own hashes.
+TEXT_KEY = "struct<h1:long,h2:string>"
+MERGED = """aggregate(array_sort(flatten(collect_list(spans))), cast(array() as array<struct<start:long,end:long,first_word:long,end_word:long>>),
+ (a, s) -> if(size(a) > 0 and element_at(a, -1).end_word >= s.first_word,
+  concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end),
+   'first_word', element_at(a, -1).first_word, 'end_word', greatest(element_at(a, -1).end_word, s.end_word)))),
+  concat(a, array(s))))"""
+
+
+def _text_key(text: str):
+    return F.struct(F.xxhash64(text).alias("h1"), F.sha2(text, 256).alias("h2"))
+
+
+def _of_blocks(docs: DataFrame, text_col: str, first: list, second: list, blocks: Iterator[list], window: int, shard_bytes: int) -> DataFrame:
+    """``key, n_words, items, spans`` of every distinct text, from all blocks."""
+    rows = docs.select(_text_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    every = None
+    for n, block in enumerate(itertools.chain([first, second], blocks)):
+        part = rows.mapInArrow(_finder(Phrases(block, window), shard_bytes), f"key {TEXT_KEY}, {FOUND}")
+        # Each text's words are counted once, with the first block; of the others only hits matter.
+        part = part if n == 0 else part.where("n_hit > 0")
+        part = materialise(part.dropDuplicates(["key"]), "hits")
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy("key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.expr(MERGED).alias("spans"))
+
+
+def find(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``doc_id, n_words, n_hit, items, spans``: a row for each row of ``docs``.
 
     ``items`` are the ids of items with occurring phrases; ``spans`` are the
     merged removal spans, in code points (``start``, ``end``) and in words.
     """
-    kind = dict(docs.dtypes)[doc_col]
-    blocks = [*_blocks(benchmark, item_col, item_text_col, block_items)] or [[]]
-    if len(blocks) == 1:
-        found = docs.select(F.col(doc_col).alias("key"), F.col(text_col)).mapInArrow(_finder(Phrases(blocks[0], window), shard_bytes), f"key {kind}, {FOUND}")
+    blocks = _blocks(benchmark, item_col, item_text_col, block_items, block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        kind = dict(docs.dtypes)[doc_col]
+        found = docs.select(F.col(doc_col).alias("key"), F.col(text_col)).mapInArrow(_finder(Phrases(first, window), shard_bytes), f"key {kind}, {FOUND}")
         return found.withColumnRenamed("key", doc_col)
-    # Rows with equal ids and texts have equal spans, so what is found is merged by both and given to each row.
-    by = [F.col(doc_col).alias("id"), F.xxhash64(text_col).alias("h1"), F.sha2(text_col, 256).alias("h2")]
-    rows = docs.select(F.struct(*by).alias("key"), F.col(text_col).alias("text"))
-    every = None
-    for block in blocks:
-        part = rows.mapInArrow(_finder(Phrases(block, window), shard_bytes), f"key struct<id:{kind},h1:long,h2:string>, {FOUND}")
-        every = part if every is None else every.unionByName(part)
-    merged = F.expr(
-        """aggregate(array_sort(flatten(collect_list(spans))), cast(array() as array<struct<start:long,end:long,first_word:long,end_word:long>>),
-        (a, s) -> if(size(a) > 0 and element_at(a, -1).end_word >= s.first_word,
-          concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end),
-            'first_word', element_at(a, -1).first_word, 'end_word', greatest(element_at(a, -1).end_word, s.end_word)))),
-          concat(a, array(s))))"""
-    )
-    # A row of the first block for each row of the documents: every block has as many.
-    out = every.groupBy("key").agg((F.count(F.lit(1)) / len(blocks)).cast("int").alias("copies"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), merged.alias("spans"))
+    out = _of_blocks(docs, text_col, first, second, blocks, window, shard_bytes)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end_word"] - s["first_word"])
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return out.select(F.col("key.id").alias(doc_col), "n_words", n_hit.alias("n_hit"), "items", "spans")
+    # A null text has a null second hash; it joins as equal to itself.
+    rows = docs.select(F.col(doc_col).alias("id"), _text_key(text_col).alias("own"))
+    both = rows.join(out, F.col("own").eqNullSafe(F.col("key")))
+    return both.select(F.col("id").alias(doc_col), "n_words", n_hit.alias("n_hit"), "items", "spans")
 
 
-def _remover(blocks: list[Phrases], at: int, shard_bytes: int):
+def _replaced(batch: pa.RecordBatch, at: int, texts: dict[int, str]) -> pa.Array:
+    column = batch.column(at)
+    if not texts:
+        return column
+    values = column.to_pylist()
+    for r, t in texts.items():
+        values[r] = t
+    return pa.array(values, column.type)
+
+
+def _remover(phrases: Phrases, at: int, shard_bytes: int):
+    """Cuts what occurs of the phrases."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(at))
@@ -300,38 +336,57 @@ def _remover(blocks: list[Phrases], at: int, shard_bytes: int):
             for i, j in chunks(offsets, shard_bytes):
                 part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 h, lo, hi, first = word_hashes(part, off, ALNUM_WORDS)
+                who, word = search_shard(phrases, h, first)
                 edge = np.zeros(len(part) + 1, np.int64)
-                hit: set[int] = set()
-                for phrases in blocks:  # all on the text as it was
-                    who, word = search_shard(phrases, h, first)
-                    np.add.at(edge, lo[word], 1)
-                    np.add.at(edge, hi[word + phrases.lengths[who] - 1], -1)
-                    hit.update((np.searchsorted(first, word, side="right") - 1).tolist())
+                np.add.at(edge, lo[word], 1)
+                np.add.at(edge, hi[word + phrases.lengths[who] - 1], -1)
                 keep = np.cumsum(edge[:-1]) == 0
-                for r in sorted(hit):
+                for r in np.unique(np.searchsorted(first, word, side="right") - 1):
                     own = slice(off[r], off[r + 1])
                     texts[i + int(r)] = part[own][keep[own]].tobytes().decode()
-            column = batch.column(at)
-            if texts:
-                values = column.to_pylist()
-                for r, t in texts.items():
-                    values[r] = t
-                column = pa.array(values, column.type)
-            yield pa.RecordBatch.from_arrays([column if k == at else c for k, c in enumerate(batch.columns)], schema=batch.schema)
+            yield pa.RecordBatch.from_arrays([_replaced(batch, at, texts) if k == at else c for k, c in enumerate(batch.columns)], schema=batch.schema)
+
+    return cut
+
+
+def _span_remover(at: int):
+    """Cuts the spans of the last column, which goes."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = {}
+            for r, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if spans:
+                    t, end, parts = batch.column(at)[r].as_py(), 0, []
+                    for s in spans:
+                        parts.append(t[end : s["start"]])
+                        end = s["end"]
+                    texts[r] = "".join([*parts, t[end:]])
+            yield pa.RecordBatch.from_arrays([_replaced(batch, at, texts) if k == at else c for k, c in enumerate(batch.columns[:-1])], names=batch.schema.names[:-1])
 
     return cut
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text_col: str = "text", length_col: str | None = "n_chars", item_col: str = "item_id", item_text_col: str = "text", block_items: int = BLOCK_ITEMS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text_col: str = "text", length_col: str | None = "n_chars", item_col: str = "item_id", item_text_col: str = "text", block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with the removal spans cut out of the texts; no row goes.
 
-    What any block finds in the original text is cut, in one pass over the documents.
+    What any block finds in the original text is cut, all at once. A single block's cuts
+    are made where the text is read; with several, texts meet a table of those with hits.
     """
-    blocks = [Phrases(block, window) for block in _blocks(benchmark, item_col, item_text_col, block_items)]
-    out = docs.mapInArrow(_remover(blocks, docs.columns.index(text_col), shard_bytes), docs.schema) if blocks else docs
-    if length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType))
-    return out.select(*docs.columns)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # so that no column's name clashes
+    at = names.index(text_col)
+    blocks = _blocks(benchmark, item_col, item_text_col, block_items, block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        out = plain.mapInArrow(_remover(Phrases(first, window), at, shard_bytes), plain.schema) if first else plain
+    else:
+        hits = materialise(_of_blocks(plain, f"c{at}", first, second, blocks, window, shard_bytes).where("size(spans) > 0").select("key", "spans"), "cuts")
+        out = plain.join(hits, _text_key(f"c{at}") == F.col("key"), "left").select(*plain.columns, "spans").mapInArrow(_span_remover(at), plain.schema)
+    if length_col in names:
+        length = f"c{names.index(length_col)}"
+        out = out.withColumn(length, F.when(F.col(f"c{at}").isNull(), F.col(length)).otherwise(F.length(f"c{at}")).cast(docs.schema[length_col].dataType))
+    return out.toDF(*names)
 
 
 def digest(found: DataFrame, doc_col: str = "doc_id") -> DataFrame:

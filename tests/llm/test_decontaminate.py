@@ -55,10 +55,24 @@ def test_small_cases(spark, options):
     assert run(spark, DOCS, ITEMS, **options) == brute(DOCS, items)
 
 
-def test_blocks_of_items(spark):
-    docs = [(i, t) for i, (_, t) in enumerate(DOCS)]
+@pytest.mark.parametrize("options", [{"block_items": 1}, {"block_items": 2}, {"block_bytes": 40}])
+def test_blocks_of_items(spark, options):
+    """Repeated rows, equal ids and null ids and texts, whatever the blocks."""
     items = [x for x in ITEMS if x[0] is not None]
-    assert run(spark, docs, ITEMS, block_items=1) == brute(docs, items)
+    assert run(spark, DOCS, ITEMS, **options) == brute(DOCS, items)
+
+
+@pytest.mark.parametrize("options", [{}, {"block_items": 1}, {"block_items": 2}, {"block_bytes": 1}])
+def test_removal_is_the_same_for_any_blocks(spark, options):
+    letters = [chr(97 + i) for i in range(18)]
+    items = [(1, " ".join(letters[2:12])), (2, " ".join(letters[6:16])), (3, "zz yy")]
+    text = "é " + " ".join(letters) + ". zz yy é"
+    docs = spark.createDataFrame([(1, text, 3), (1, text, 3), (None, text, 3), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars long").withColumn("spans", F.lit("a")).withColumn("key", F.lit("b")).withColumn("c0", F.lit("c"))
+    out = decontaminate.remove(docs, spark.createDataFrame(items, "item_id long, text string"), **options)
+    want = "é a b  q r.  é"
+    assert out.columns == docs.columns
+    got = sorted((str(r.doc_id), str(r.text), str(r.n_chars), r.spans, r.key, r.c0) for r in out.collect())
+    assert got == sorted((i, t, n, "a", "b", "c") for i, t, n in [("1", want, str(len(want))), ("1", want, str(len(want))), ("None", want, str(len(want))), ("2", "None", "None"), ("3", "clean", "5")])
 
 
 def test_whole_table(spark, sf_dir):
