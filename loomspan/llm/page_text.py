@@ -4,24 +4,28 @@ A page becomes lines: the text of each block element, with character references
 decoded and white space as one space. Two pages of one host whose URL paths stand
 next to each other share their menus, notices and footers, so each page is
 aligned with its nearest page by the longest common subsequence of lines, and the
-lines that both have are deleted.
+lines that both have are deleted. All lines of all pages take part.
 
 Differencing alone can't give right results where a neighbour repeats part of
-an article, or where a footer is made anew for each page, so the markup has a say
-where it speaks clearly: text inside ``article`` or ``main`` is the article's and
-is kept, whatever the neighbour holds, and ``nav``, ``header``, ``footer``,
-``aside``, ``form`` and the like, comments, and elements whose class, id or role
-names them as such are dropped. All lines between go by the difference.
+an article, or where a footer or an advert is made anew for each page, so the
+markup is a weight where it speaks:
+
+* text inside ``article`` or ``main`` is the article's and stays, though a neighbour has it too;
+* ``nav``, ``header``, ``footer``, ``aside``, ``form`` and the like, and elements whose class,
+  id or role names them as chrome, go even where no neighbour has their lines;
+* elements inside an article whose names tell little (OPEN: a notice, a share box or the
+  author's own section) go by the difference, and without a partner as chrome;
+* all other lines go by the difference alone, and stay on a page without a partner.
 
 Pages are paired in one sort by (host, path, page id) of ids and paths alone; a
 page's partner is the one before it, or the one after it for a host's first. Sort
-partitions' borders (one row each) are exchanged through the driver. A page without
-lines in question is done where it is read; only the others travel.
+partitions' borders (one row each) are exchanged through the driver. For the alignment
+a page's lines travel as 64-bit hashes; its text meets the decisions once.
 
 Defined cases: null or empty HTML gives the empty text; a null URL has no host and
-no partner; a host's only page keeps the lines that markup does not drop; repeated
-rows with one page id give a row each, aligned with the same partner; other
-columns are ignored; an empty table gives no rows.
+no partner; repeated rows with one page id give a row each, aligned with the same
+partner; other columns, of whatever name, are ignored; an empty table gives no rows. A
+page is parsed whole in one task, without recursion.
 """
 
 from __future__ import annotations
@@ -32,11 +36,13 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import materialise
+from .textbuf import prefix_sums, range_hash, utf8
 
 BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
@@ -46,22 +52,26 @@ RAW = frozenset("script style template noscript textarea title iframe svg math x
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("nav header footer aside form head button select dialog menu label input fieldset".split())
 ROOTS = frozenset(("article", "main"))
+_NAMES = r"(?:^|[\s_-])(?:{})(?:$|[\s_-])"
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menu|breadcrumbs?|footer|sidebar|side-bar|ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|social|related|comments?|disqus|replies|reply|respond|widget|toolbar|pagination|pager|skip-link)(?:$|[\s_-])",
+    _NAMES.format(r"nav(?:bar|igation)?|menu|breadcrumbs?|footer|sidebar|side-bar|ads?|advert\w*|sponsor\w*|cookies?|consent|popup|modal|newsletter|subscribe|comments?|disqus|replies|reply|respond|toolbar|pagination|pager|skip-link"),
     re.I,
 )
+#: Names that an author's own sections have too.
+OPEN = re.compile(_NAMES.format(r"banner|promo\w*|notices?|share|social|related|widget"), re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: A start tag of the first closes an open one of the second.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-KEPT, ASKED = 1, 0
+#: What the markup says of a line: nothing, that it is the article's, that it is chrome, or that it may be chrome inside an article.
+ASKED, KEPT, MARKED, DOUBTED = 0, 1, 2, 3
 
 
 @dataclass
 class Line:
     text: str
-    state: int  # KEPT inside an article, ASKED where the neighbour decides
+    state: int
 
 
 @dataclass
@@ -69,33 +79,37 @@ class _Page:
     lines: list[Line] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
 
-    def end_block(self, state: int | None) -> None:
+    def end_block(self, state: int) -> None:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             self.parts.clear()
-            if text and state is not None:
+            if text:
                 self.lines.append(Line(text, state))
 
 
-def _is_chrome(tag: str, attributes: str, inside_root: bool) -> bool:
+def _state(tag: str, attributes: str, state: int) -> int:
+    """The state of an element's contents, from that of the element around it."""
+    if state == MARKED:
+        return MARKED
     if tag in ROOTS:
-        return False
-    if tag == "header" and inside_root:
-        return False  # an article's own heading
-    if tag in DROPPED:
-        return True
-    if attributes:
+        return KEPT
+    inside = state in (KEPT, DOUBTED)
+    if tag in DROPPED and not (tag == "header" and inside):  # an article's own heading
+        return MARKED
+    if attributes and tag not in ("body", "html"):
         for m in _ATTR.finditer(attributes):
             value = m[2] or m[3] or m[4] or ""
             if (value.lower() in ROLES) if m[1].lower() == "role" else NAMED.search(value):
-                return tag not in ("body", "html")
-    return False
+                return MARKED
+            if m[1].lower() != "role" and OPEN.search(value):
+                state = DOUBTED if inside else MARKED
+    return state
 
 
 def page_lines(source: str | None) -> list[Line]:
-    """The lines of a page that markup does not drop, in page order."""
-    page, stack = _Page(), []  # of (tag, state of its contents): None dropped
-    state: int | None = ASKED
+    """The lines of a page, in page order, with what the markup says of each."""
+    page, stack = _Page(), []  # of (tag, state around it)
+    state = ASKED
     at, n = 0, len(source or "")
     source = source or ""
     while at < n:
@@ -103,10 +117,9 @@ def page_lines(source: str | None) -> list[Line]:
         if m is None:
             rest = source[at:]
             cut = re.search(r"<[a-zA-Z/!?]", rest)  # a tag that never ends
-            if state is not None:
-                page.parts.append(rest[: cut.start()] if cut else rest)
+            page.parts.append(rest[: cut.start()] if cut else rest)
             break
-        if m.start() > at and state is not None:
+        if m.start() > at:
             page.parts.append(source[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
@@ -142,16 +155,12 @@ def page_lines(source: str | None) -> list[Line]:
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCKS:
             continue
         stack.append((tag, state))
-        if state is not None:
-            if _is_chrome(tag, m[3], state == KEPT):
-                state = None
-            elif tag in ROOTS:
-                state = KEPT
+        state = _state(tag, m[3], state)
     page.end_block(state)
     return page.lines
 
 
-def common(a: list[str], b: list[str]) -> set[int]:
+def common(a: list, b: list) -> set[int]:
     """Places in ``a`` of a longest common subsequence with ``b``."""
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
@@ -186,28 +195,39 @@ def common(a: list[str], b: list[str]) -> set[int]:
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages -> their text where no line is in question, else their lines."""
+    """Pages -> their lines, with state and hash."""
     for batch in batches:
-        texts, lines, states, asked = [], [], [], []
-        for h in batch.column(3).to_pylist():
-            own = page_lines(h)
-            ask = [x.text for x in own if x.state == ASKED]
-            texts.append(None if ask else " ".join(x.text for x in own))
-            lines.append([x.text for x in own] if ask else None)
-            states.append([x.state for x in own] if ask else None)
-            asked.append(ask or None)
-        cols = [pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(states, pa.list_(pa.int8())), pa.array(asked, pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], names=["row", "page_id", "url", "text", "lines", "states", "asked"])
+        pages = [page_lines(h) for h in batch.column(3).to_pylist()]
+        flat = pa.array([x.text for p in pages for x in p], pa.large_string())
+        data, offsets = utf8(flat)
+        h = range_hash(prefix_sums(data), offsets[:-1], offsets[1:]) if len(data) else np.zeros(0, np.uint64)
+        at = np.cumsum([0, *map(len, pages)])
+        hashes = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))
+        lines, states = pa.array([[x.text for x in p] for p in pages], pa.list_(pa.string())), pa.array([[x.state for x in p] for p in pages], pa.list_(pa.int8()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], lines, states, hashes], names=["row", "page_id", "url", "lines", "states", "hashes"])
 
 
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, states, hashes, the partner's hashes) -> which lines go, and by what."""
+    for batch in batches:
+        gone, shared, marked = [], [], []
+        for states, own, other in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            both = common(own, other) if other else set()
+            cut = [i for i, s in enumerate(states) if s != KEPT and (i in both or s == MARKED or s == DOUBTED and other is None)]
+            gone.append(cut)
+            shared.append(sum(i in both for i in cut))
+            marked.append(len(cut) - shared[-1])
+        cols = [pa.array(gone, pa.list_(pa.int32())), pa.array(shared, pa.int32()), pa.array(marked, pa.int32())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["row", "gone", "n_shared", "n_marked"])
+
+
+def _writer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for lines, states, other in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-            ask = [i for i, s in enumerate(states) if s == ASKED]
-            gone = {ask[k] for k in common([lines[i] for i in ask], other)} if other else set()
-            out.append(" ".join(t for i, t in enumerate(lines) if i not in gone))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+        for lines, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            cut = set(gone)
+            out.append(" ".join(t for i, t in enumerate(lines) if i not in cut))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), batch.column(4), batch.column(5)], names=["page_id", "url", "text", "n_shared", "n_marked"])
 
 
 def partners(keys: DataFrame) -> DataFrame:
@@ -232,7 +252,10 @@ def partners(keys: DataFrame) -> DataFrame:
 
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``page_id, url, text, n_chars`` for each row of ``pages``."""
+    """``page_id, url, text, n_chars, n_shared, n_marked`` for each row of ``pages``.
+
+    ``n_shared`` lines went because the partner has them, ``n_marked`` by markup alone.
+    """
     # Rows get a number of their own, so that repeated and null ids are pages like others.
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     rows = rows.withColumn("row", F.xxhash64("page_id", "url", F.xxhash64("html")))
@@ -242,13 +265,13 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     keys = rows.select("row", F.when(host != "", host).alias("host"), path.alias("path")).dropDuplicates(["row"])
     near = materialise(partners(keys), "partners")
     kind = dict(pages.dtypes)
-    schema = f"row long, page_id {kind[id_col]}, url {kind[url_col]}, text string, lines array<string>, states array<byte>, asked array<string>"
+    schema = f"row long, page_id {kind[id_col]}, url {kind[url_col]}, lines array<string>, states array<byte>, hashes array<long>"
     read = materialise(rows.select("row", "page_id", "url", "html").mapInArrow(_reader, schema), "pages")
-    # Only pages with lines that markup does not settle are shuffled.
-    open_pages = read.where("text is null")
-    asked = open_pages.select(F.col("row").alias("partner"), F.col("asked").alias("other")).dropDuplicates(["partner"])
-    both = open_pages.join(near, "row", "left").join(asked, "partner", "left")
-    both = both.select("page_id", "url", "lines", "states", F.coalesce("other", F.array().cast("array<string>")).alias("other"))
-    settled = both.mapInArrow(_differ, f"page_id {kind[id_col]}, url {kind[url_col]}, text string")
-    out = read.where("text is not null").select("page_id", "url", "text").unionByName(settled)
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    own = read.select("row", "states", "hashes").dropDuplicates(["row"])
+    other = own.select(F.col("row").alias("partner"), F.col("hashes").alias("other"))
+    both = own.join(near, "row", "left").join(other, "partner", "left").select("row", "states", "hashes", "other")
+    decided = materialise(both.mapInArrow(_differ, "row long, gone array<int>, n_shared int, n_marked int"), "decided")
+    # Some numbers a page; Spark sees their size and sends them to the texts where they are small.
+    out = read.select("row", "page_id", "url", "lines").join(decided, "row").select("page_id", "url", "lines", "gone", "n_shared", "n_marked")
+    out = out.mapInArrow(_writer, f"page_id {kind[id_col]}, url {kind[url_col]}, text string, n_shared int, n_marked int")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_marked")

@@ -55,7 +55,7 @@ def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_text.main_text(table(spark, sf_dir, "pages"))
+    return page_text.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,15 @@ from loomspan.llm import page_text
 
 
 def lines(source):
-    return [(x.text, x.state) for x in page_text.page_lines(source)]
+    """Lines that are not chrome by markup."""
+    return [(x.text, x.state) for x in page_text.page_lines(source) if x.state != page_text.MARKED]
+
+
+def test_what_markup_says():
+    got = [(x.text, x.state) for x in page_text.page_lines("<nav>a</nav>b<article>c<div class='related-work'>d</div><aside>e</aside><div class=comments>f</div><p class=notice>g</p></article><p class=notice>h</p>")]
+    assert got == [("a", 2), ("b", 0), ("c", 1), ("d", 3), ("e", 2), ("f", 2), ("g", 3), ("h", 2)]
+    deep = page_text.page_lines("<div>" * 50_000 + "x" + "</div>" * 50_000)
+    assert [x.text for x in deep] == ["x"]
 
 
 @pytest.mark.parametrize(
@@ -83,3 +91,32 @@ def test_article_text_of_the_table(spark, sf_dir):
         blocks = [" ".join(H.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br)>", body)]
         want = " ".join(b for b in blocks if b)
         assert got[r.page_id] == (r.url, want, len(want))
+
+
+def test_plain_markup_goes_by_the_difference(spark):
+    """No article, no telling names: menus, a notice, a footer with the page's own date."""
+
+    def page(i):
+        menu = "".join(f"<li>{x}</li>" for x in ("Home", "News", "About us"))
+        body = "".join(f"<p>Page {i} tells part {j} of its story, which no other page tells.</p>" for j in range(5))
+        return f"<div><ul>{menu}</ul></div><div>Read our terms before you go on.</div><div>{body}</div><div>Made with care</div>"
+
+    rows = [(i, f"http://plain.example/{i:03}", page(i), 0, "t", 0) for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long, text string, row int")
+    for r in page_text.main_text(df).collect():
+        assert r.text == " ".join(f"Page {r.page_id} tells part {j} of its story, which no other page tells." for j in range(5))
+        assert (r.n_shared, r.n_marked) == (5, 0)
+
+
+def test_sections_inside_an_article(spark):
+    """What the neighbour has too is a notice; the author's own section stays; so does a repeated line of the article."""
+    page = "<article><p>Same line.</p><p>Own {0}.</p><p class='notice'>Cookies!</p><section class='related-work'>Work like {0}.</section></article>"
+    rows = [(i, f"http://s.example/{i}", page.format(i), 0, "t", 0) for i in range(4)]
+    assert run(spark, rows) == [(i, f"Same line. Own {i}. Work like {i}.", 30) for i in range(4)]
+
+
+def test_the_difference_decides_on_the_table(spark, sf_dir):
+    rows = page_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()
+    shared, marked = sum(r.n_shared for r in rows), sum(r.n_marked for r in rows)
+    print("lines that went because the neighbour has them", shared, "by markup alone", marked)
+    assert shared > 0
