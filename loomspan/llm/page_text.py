@@ -4,7 +4,8 @@ A page becomes lines: the text of each block element, with character references
 decoded and white space as one space. Two pages of one host whose URL paths stand
 next to each other share their menus, notices and footers, so each page is
 aligned with its nearest page by the longest common subsequence of lines, and the
-lines that both have are deleted. All lines of all pages take part.
+lines that both have are deleted. All lines take part; a page is aligned where that can
+change its text, so not if markup has settled each of its lines.
 
 Differencing alone can't give right results where a neighbour repeats part of
 an article, or where a footer or an advert is made anew for each page, so the
@@ -195,39 +196,40 @@ def common(a: list, b: list) -> set[int]:
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages -> their lines, with state and hash."""
+    """Pages -> their text where markup settles every line, else their lines and states; and the lines' hashes."""
     for batch in batches:
         pages = [page_lines(h) for h in batch.column(3).to_pylist()]
-        flat = pa.array([x.text for p in pages for x in p], pa.large_string())
-        data, offsets = utf8(flat)
+        data, offsets = utf8(pa.array([x.text for p in pages for x in p], pa.large_string()))
         h = range_hash(prefix_sums(data), offsets[:-1], offsets[1:]) if len(data) else np.zeros(0, np.uint64)
         at = np.cumsum([0, *map(len, pages)])
         hashes = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))
-        lines, states = pa.array([[x.text for x in p] for p in pages], pa.list_(pa.string())), pa.array([[x.state for x in p] for p in pages], pa.list_(pa.int8()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], lines, states, hashes], names=["row", "page_id", "url", "lines", "states", "hashes"])
+        asks = [any(x.state in (ASKED, DOUBTED) for x in p) for p in pages]
+        texts = pa.array([None if a else " ".join(x.text for x in p if x.state == KEPT) for p, a in zip(pages, asks)], pa.string())
+        lines = pa.array([[x.text for x in p] if a else None for p, a in zip(pages, asks)], pa.list_(pa.string()))
+        states = pa.array([[x.state for x in p] for p in pages], pa.list_(pa.int8()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], texts, lines, states, hashes], names=["row", "page_id", "url", "text", "lines", "states", "hashes"])
+
+
+def _gone(states: list[int], own: list[int], other: list[int] | None) -> tuple[list[int], list[int]]:
+    """Lines that go because the partner has them, and those that go by markup alone."""
+    both = common(own, other) if other else set()
+    shared = [i for i, s in enumerate(states) if s != KEPT and i in both]
+    return shared, [i for i, s in enumerate(states) if i not in both and (s == MARKED or s == DOUBTED and other is None)]
 
 
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, states, hashes, the partner's hashes) -> which lines go, and by what."""
-    for batch in batches:
-        gone, shared, marked = [], [], []
-        for states, own, other in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-            both = common(own, other) if other else set()
-            cut = [i for i, s in enumerate(states) if s != KEPT and (i in both or s == MARKED or s == DOUBTED and other is None)]
-            gone.append(cut)
-            shared.append(sum(i in both for i in cut))
-            marked.append(len(cut) - shared[-1])
-        cols = [pa.array(gone, pa.list_(pa.int32())), pa.array(shared, pa.int32()), pa.array(marked, pa.int32())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["row", "gone", "n_shared", "n_marked"])
-
-
-def _writer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for lines, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            cut = set(gone)
-            out.append(" ".join(t for i, t in enumerate(lines) if i not in cut))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), batch.column(4), batch.column(5)], names=["page_id", "url", "text", "n_shared", "n_marked"])
+        for lines, states, own, other in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
+            gone = set().union(*_gone(states, own, other))
+            out.append(" ".join(t for i, t in enumerate(lines) if i not in gone))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+
+
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        gone = [_gone(*x) for x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([len(g[i]) for g in gone], pa.int64()) for i in (0, 1))], names=["page_id", "n_shared", "n_marked"])
 
 
 def partners(keys: DataFrame) -> DataFrame:
@@ -251,11 +253,8 @@ def partners(keys: DataFrame) -> DataFrame:
     return near.select("row", partner.alias("partner"))
 
 
-def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``page_id, url, text, n_chars, n_shared, n_marked`` for each row of ``pages``.
-
-    ``n_shared`` lines went because the partner has them, ``n_marked`` by markup alone.
-    """
+def _read(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> tuple[DataFrame, DataFrame]:
+    """(the pages as read, each row's partner)."""
     # Rows get a number of their own, so that repeated and null ids are pages like others.
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     rows = rows.withColumn("row", F.xxhash64("page_id", "url", F.xxhash64("html")))
@@ -265,13 +264,28 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     keys = rows.select("row", F.when(host != "", host).alias("host"), path.alias("path")).dropDuplicates(["row"])
     near = materialise(partners(keys), "partners")
     kind = dict(pages.dtypes)
-    schema = f"row long, page_id {kind[id_col]}, url {kind[url_col]}, lines array<string>, states array<byte>, hashes array<long>"
-    read = materialise(rows.select("row", "page_id", "url", "html").mapInArrow(_reader, schema), "pages")
-    own = read.select("row", "states", "hashes").dropDuplicates(["row"])
-    other = own.select(F.col("row").alias("partner"), F.col("hashes").alias("other"))
-    both = own.join(near, "row", "left").join(other, "partner", "left").select("row", "states", "hashes", "other")
-    decided = materialise(both.mapInArrow(_differ, "row long, gone array<int>, n_shared int, n_marked int"), "decided")
-    # Some numbers a page; Spark sees their size and sends them to the texts where they are small.
-    out = read.select("row", "page_id", "url", "lines").join(decided, "row").select("page_id", "url", "lines", "gone", "n_shared", "n_marked")
-    out = out.mapInArrow(_writer, f"page_id {kind[id_col]}, url {kind[url_col]}, text string, n_shared int, n_marked int")
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_marked")
+    schema = f"row long, page_id {kind[id_col]}, url {kind[url_col]}, text string, lines array<string>, states array<byte>, hashes array<long>"
+    return materialise(rows.select("row", "page_id", "url", "html").mapInArrow(_reader, schema), "pages"), near
+
+
+def _with_partner(rows: DataFrame, read: DataFrame, near: DataFrame) -> DataFrame:
+    other = read.select(F.col("row").alias("partner"), F.col("hashes").alias("other")).dropDuplicates(["partner"])
+    return rows.join(near, "row", "left").join(other, "partner", "left")
+
+
+def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``page_id, url, text, n_chars`` for each row of ``pages``."""
+    read, near = _read(pages, id_col, url_col, html_col)
+    # Only texts that the difference can change are shuffled.
+    both = _with_partner(read.where("text is null"), read, near).select("page_id", "url", "lines", "states", "hashes", "other")
+    kind = dict(pages.dtypes)
+    settled = both.mapInArrow(_differ, f"page_id {kind[id_col]}, url {kind[url_col]}, text string")
+    out = read.where("text is not null").select("page_id", "url", "text").unionByName(settled)
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def deleted_lines(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``page_id, n_shared, n_marked``: how many lines go because the partner has them, and by markup alone."""
+    read, near = _read(pages, id_col, url_col, html_col)
+    both = _with_partner(read, read, near).select("page_id", "states", "hashes", "other")
+    return both.mapInArrow(_counter, f"page_id {dict(pages.dtypes)[id_col]}, n_shared long, n_marked long")
