@@ -16,7 +16,7 @@ with one set are a class, known by a 64-bit fingerprint. Two classes link when
    whose nodes hold OR-combined bitmaps of shingles and a size range. Two nodes
    are taken apart while the largest overlap that their bitmaps allow could
    still reach the link limit; pairs of leaves left over join their members to a
-   candidate group. A bucket larger than a block is a group as it is.
+   candidate group. Members of a larger bucket meet in the trees of step 5 alone.
 4. *Groups* that share members are united; each class then lies in one group, and
    its exact set is computed once more and sent there.
 5. *Links*: within a group the trees of exact sets are traversed in the same
@@ -28,7 +28,10 @@ with one set are a class, known by a 64-bit fingerprint. Two classes link when
 
 Defined cases: null texts, empty texts and texts without words have an empty set,
 link with nothing and are a component of their own; repeated rows are exact
-copies and share a component; a null id is left out; other columns are ignored.
+copies and share a component; a null id is left out; other columns are ignored. An id
+with several texts is one node: its rows share a component and are kept or go together
+(``one_of_each``), and of rows with one id and text one is kept. A text is read whole
+in one task, with about 60 bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -114,8 +117,8 @@ def _profiler(k: int):
 def _levels(profile: DataFrame) -> np.ndarray:
     """A level for each cell: 0, or the logarithm of its count where that is heavy."""
     level = np.zeros(2 * CELLS, np.int8)
-    for r in profile.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        level[r.cell] = int(r.n).bit_length()
+    got = profile.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 2 * CELLS rows at most
+    level[got.column("cell").to_numpy()] = np.floor(np.log2(np.maximum(1, got.column("n").to_numpy()))).astype(np.int8) + 1
     return level
 
 
@@ -149,15 +152,16 @@ def _buckets(docs: DataFrame, percent: int, k: int, level: np.ndarray) -> DataFr
     shared = rows.groupBy("bucket").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("bucket")
     rows = rows.join(shared, "bucket", "left_semi").distinct()
     rows = materialise(rows, "members")
-    size = Window.partitionBy("bucket").orderBy("n", "cls")
-    lag, lead = F.lag("n").over(size), F.lead("n").over(size)
-    fits = (lag * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= lead * percent)
-    rows = materialise(rows.withColumn("fits", F.coalesce(fits, F.lit(False))).where("fits").drop("fits"), "members")
+    # Sizes that can link lie in one band or in two next to each other: a member without another there goes.
+    band = F.floor(F.log("n") / F.lit(math.log(100 / percent))).cast("int")
+    counts = rows.groupBy("bucket", band.alias("band")).agg(F.count(F.lit(1)).alias("c"))
+    near = counts.select("bucket", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "c")
+    near = near.groupBy("bucket", "band").agg(F.sum("c").alias("s")).where("s > 1").select("bucket", "band")
+    rows = materialise(rows.withColumn("band", band).join(near, ["bucket", "band"], "left_semi").drop("band"), "members")
     marks = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("s"), F.sum(F.xxhash64("cls", F.lit(7)).cast("decimal(20,0)")).alias("t"))
     kept = marks.where("c > 1").groupBy("c", "s", "t").agg(F.min("bucket").alias("bucket")).select("bucket", "c")
     rows = rows.join(kept, "bucket")
-    # Sizes that can link lie in one band or in two next to each other: a large bucket is taken apart by bands.
-    band = F.floor(F.log("n") / F.lit(math.log(100 / percent))).cast("int")
+    # A large bucket is taken apart by bands.
     large = rows.where(F.col("c") > BLOCK).withColumn("band", F.explode(F.array(band, band - 1)))
     large = large.select(F.xxhash64("bucket", "band").alias("bucket"), "cls", "n")
     sizes = large.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -479,9 +483,17 @@ def jaccard_components(docs: DataFrame, *, percent: int = 85, k: int = 4, doc_co
 def one_of_each(docs: DataFrame, *, percent: int = 80, k: int = 5, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the one that gives the component its id.
 
-    Documents without words are no copies of each other and stay; so do rows without an id.
+    Of rows with one id and one text one stays. Documents without words are no copies of
+    each other and stay; so do rows without an id.
     """
-    found = jaccard_components(docs, percent=percent, k=k, doc_col=doc_col, text_col=text_col)
-    gone = found.where(F.col("component_id") != F.col(doc_col)).select(F.col(doc_col).alias("_gone")).distinct()
-    kept = docs.join(gone, docs[doc_col] == gone["_gone"], "left_anti")
-    return kept.select(*docs.columns)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # so that no column's name clashes
+    doc, text = f"c{names.index(doc_col)}", f"c{names.index(text_col)}"
+    found = jaccard_components(plain, percent=percent, k=k, doc_col=doc, text_col=text)
+    gone = found.where(F.col("component_id") != F.col(doc)).select(F.col(doc).alias("gone")).distinct()
+    kept = plain.join(gone, plain[doc] == gone["gone"], "left_anti")
+    several = materialise(found.groupBy(F.col(doc).alias("id")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id"), "repeats")
+    if several.limit(1).count():
+        again = kept.join(several, kept[doc] == several["id"], "left_semi").dropDuplicates([doc, text])
+        kept = kept.join(several, kept[doc] == several["id"], "left_anti").unionByName(again)
+    return kept.toDF(*names)

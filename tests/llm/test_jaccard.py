@@ -129,3 +129,13 @@ def test_components(spark, monkeypatch, one_task):
     rows = [(i, i + 1) for i in range(0, 60)] + [(100, 90), (90, 95), (7, 7), (None, 3), (200, 201)]
     got = {r.node: r.label for r in components(spark.createDataFrame(rows, "a long, b long"), "a", "b").collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 90, 90: 90, 95: 90, 200: 200, 201: 200}
+
+
+def test_one_row_of_each_document_stays(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "a"), (1, text, "a"), (2, text, "b"), (3, "only this", "c"), (3, "only this", "c"), (4, None, "d"), (4, None, "d"), (None, text, "e"), (5, "", "f"), (6, "first text of six", "g"), (6, "second text of six", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone string").withColumn("gone", F.lit(1)).withColumn("id", F.lit(2))
+    out = jaccard.one_of_each(df)
+    assert out.columns == df.columns
+    got = sorted((str(r.doc_id), str(r.text)) for r in out.collect())
+    assert got == sorted([("1", text), ("3", "only this"), ("4", "None"), ("None", text), ("5", ""), ("6", "first text of six"), ("6", "second text of six")])
