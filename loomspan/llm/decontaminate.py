@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialise
-from .textbuf import ALNUM_WORDS, chunks, ragged, utf8, word_hashes
+from .textbuf import ALNUM_WORDS, chunks, ragged, release, utf8, word_hashes
 
 SAMPLE = 8
 SHARD_BYTES = 1 << 20
@@ -218,6 +218,7 @@ def search_shard(phrases: Phrases, h: np.ndarray, first: np.ndarray) -> tuple[np
 
 def _finder(phrases: Phrases, shard_bytes: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for i, j in chunks(offsets, shard_bytes):

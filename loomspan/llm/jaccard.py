@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import materialise
-from .textbuf import SPACE_WORDS, chunks, mix, ragged, shingles, utf8, word_hashes
+from .textbuf import SPACE_WORDS, chunks, mix, ragged, release, shingles, utf8, word_hashes
 
 CELLS = 1 << 20
 #: Members of one tree, and of one block of a large group.
@@ -99,6 +99,7 @@ def _cells(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _profiler(k: int):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sketch = np.zeros(2 * CELLS, np.int32)
         for batch in batches:
             for i, s, at in _sets(batch, k):
@@ -124,6 +125,7 @@ def _levels(profile: DataFrame) -> np.ndarray:
 
 def _prefix(percent: int, k: int, level: np.ndarray):
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: set[int] = set()
         for batch in batches:
             for _, s, at in _sets(batch, k):

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .textbuf import chunks, ragged, utf8
+from .textbuf import cache, chunks, ragged, release, utf8
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: The tokenizer always splits between a letter (here of Latin-1: lower-casing makes one letter of it) and one of these, so a space there changes nothing.
@@ -103,11 +103,12 @@ class Encoder:
             yield i, ids, at
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = cache("encoder")
 
 
 def encoder(path: str) -> Encoder:
     """One encoder a worker and file."""
+    release("encoder")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

@@ -36,7 +36,22 @@ SPACE_WORDS[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM_WORDS = np.zeros(256, dtype=bool)
 ALNUM_WORDS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-_powers: dict[str, np.ndarray] = {}
+_caches: dict[str, dict] = {}
+
+
+def cache(name: str) -> dict:
+    """What a worker keeps between tasks, by name."""
+    return _caches.setdefault(name, {})
+
+
+def release(but: str = "") -> None:
+    """Lets go of what the worker keeps, save under one name: workers live on into other operators' stages."""
+    for name, kept in _caches.items():
+        if name != but:
+            kept.clear()
+
+
+_powers: dict[str, np.ndarray] = cache("powers")
 
 
 def _pow(base: int, n: int, name: str) -> np.ndarray:

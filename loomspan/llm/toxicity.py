@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialise
-from .textbuf import ALNUM_WORDS, chunks, mix, prefix_sums, range_hash, shingles, utf8, word_hashes
+from .textbuf import ALNUM_WORDS, cache, chunks, mix, prefix_sums, range_hash, release, shingles, utf8, word_hashes
 
 #: Abusive words that are known before any label is seen.
 BASE_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting")
@@ -57,7 +57,7 @@ FUZZY_LETTERS = 5
 #: Digits that are read as letters.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
 #: Distinct words whose nearness a worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 150_000
 QUOTES = {"“": '"', "”": '"', "„": '"', "«": '"', "»": '"', "‘": "'", "’": "'"}
 COUNTS = "term string, stem boolean, half int, toxic int, n long"
 FEATURES = "doc string, label int, half int, x array<double>"
@@ -148,7 +148,7 @@ class Trie:
 
 
 #: What words (by hash) are near to, for each list of terms that a worker has met.
-_near: dict[int, dict[int, int]] = {}
+_near: dict[int, dict[int, int]] = cache("near")
 
 
 class Fuzzy:
@@ -358,6 +358,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 300
 
 
 def _parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, Words]]:
+    release("near")
     _, offsets = utf8(batch.column(column))
     for i, j in chunks(offsets):
         yield i, j, Words(batch.column(column).slice(i, j - i))
