@@ -40,11 +40,11 @@ def let_workers_import(spark: SparkSession) -> None:
 
 
 #: Bytes of a batch that goes to a Python worker; a longer row is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """What the operators want of a session: importable code and Arrow batches of some megabytes.
+    """What the operators want of a session: importable code and Arrow batches of about a megabyte.
 
     Texts are long, so batches are bounded in bytes; a bound that was set by hand stays.
     """
