@@ -481,8 +481,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, learnable, doc_col: str = "doc_id
     return Model(whole, w, b)
 
 
+def _keep_only(name: int) -> None:
+    """Lets go of what words were near to under other lexicons, as those of the training."""
+    for other in [n for n in _near if n != name]:
+        del _near[other]
+
+
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_only(model.lexicon.automaton.name)
         for batch in batches:
             for i, j, words in _parts(batch, 1):
                 score = model.score(document_features(model.lexicon, words))
@@ -500,6 +507,7 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.3, doc_col: str
 
 def _keeper(model: Model, column: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_only(model.lexicon.automaton.name)
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for i, j, words in _parts(batch, column):
