@@ -57,7 +57,7 @@ FUZZY_LETTERS = 5
 #: Digits that are read as letters.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
 #: Distinct words whose nearness a worker keeps.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 300_000
 QUOTES = {"“": '"', "”": '"', "„": '"', "«": '"', "»": '"', "‘": "'", "’": "'"}
 COUNTS = "term string, stem boolean, half int, toxic int, n long"
 FEATURES = "doc string, label int, half int, x array<double>"
