@@ -60,13 +60,20 @@ def scrape(
         good = judged.where(F.col("outcome").isin("content", "raw")).select("url_hash")
         hit = hit.join(good, "url_hash", "left_semi")
         rows = rows.join(good, "url_hash", "left_anti").unionByName(hit.select(*rows.columns))
+    if rendered is not None:
+        own = lambda name, kind: (F.col(name) if name in rendered.columns else F.lit(None)).cast(kind)
+        shots = rendered.withColumn("url_hash", U.url_hash(F.col("url"))).select("url_hash", F.col("html").alias("r_html"), F.col("final_url").alias("r_url"), F.coalesce(own("status", "int"), F.lit(200)).alias("r_status"), own("error", "string").alias("r_error")).dropDuplicates(["url_hash"])
+        # a challenge at 403 or 503 is for a browser to pass: its rendering stands in for the response
+        passed = ~F.col("from_cache") & F.col("status").isin(403, 503) & G.is_challenge(F.col("html")) & F.col("r_html").isNotNull() & F.col("r_error").isNull()
+        rows = rows.join(shots, "url_hash", "left").withColumn("passed", F.coalesce(passed, F.lit(False)))
+        instead = {"html": F.col("r_html"), "final_url": F.col("r_url"), "status": F.col("r_status"), "content_type": F.lit("text/html"), "via": F.lit(store.BROWSER)}
+        rows = rows.withColumns({c: F.when(F.col("passed"), v).otherwise(F.col(c)) for c, v in instead.items()})
     missing = F.col("status").isNull() & F.col("error").isNull()
     rows = rows.withColumn("error", F.when(missing, "no response").otherwise(F.col("error"))).withColumn("status", F.coalesce("status", F.lit(0))).withColumn("final_url", F.coalesce("final_url", "url"))
     rows = S.with_extraction(S.normalise_responses(rows, settings.max_body_bytes), include_links)
     if rendered is not None and not raw:
-        shots = rendered.withColumn("url_hash", U.url_hash(F.col("url"))).select("url_hash", F.col("html").alias("r_html"), F.col("final_url").alias("r_url")).dropDuplicates(["url_hash"])
-        rows = rows.join(shots, "url_hash", "left").withColumn("r_parsed", dom.parsed(F.col("r_html"), include_links=include_links))
-        more = ~F.col("from_cache") & F.col("error").isNull() & (F.coalesce(F.length("r_parsed.markdown"), F.lit(-1)) > F.coalesce(F.length("parsed.markdown"), F.lit(-1)))
+        rows = rows.withColumn("r_parsed", dom.parsed(F.col("r_html"), include_links=include_links))
+        more = ~F.col("from_cache") & ~F.col("passed") & F.col("error").isNull() & (F.coalesce(F.length("r_parsed.markdown"), F.lit(-1)) > F.coalesce(F.length("parsed.markdown"), F.lit(-1)))
         more = more & (G.needs_render(F.col("html"), F.col("parsed.markdown")) | F.col("parsed.markdown").isNull() | (F.length("parsed.markdown") < G.SHELL_TEXT_FLOOR))
         more = F.coalesce(more, F.lit(False))
         rows = rows.withColumn("more", more)
@@ -108,6 +115,16 @@ def extract(requests: DataFrame, responses: DataFrame, *, types: tuple[str, ...]
 
 def map_site(responses: DataFrame, url: str, *, max_urls: int = 200, search: str | None = None, use_sitemap: bool = True, include_subdomains: bool = False) -> DataFrame:
     """``url, source, display`` of a site: its sitemap's locations, then the links of the page."""
+    return links.map_urls(_candidates(responses, url, max_urls, use_sitemap), url, search=search, max_urls=max_urls, include_subdomains=include_subdomains)
+
+
+def map_summary(responses: DataFrame, url: str, *, max_urls: int = 200, search: str | None = None, use_sitemap: bool = True, include_subdomains: bool = False) -> DataFrame:
+    """One row ``line``: what ``map_site`` found, by source."""
+    return links.map_summary(_candidates(responses, url, max_urls, use_sitemap), url, search=search, max_urls=max_urls, include_subdomains=include_subdomains)
+
+
+def _candidates(responses: DataFrame, url: str, max_urls: int, use_sitemap: bool) -> DataFrame:
+    """``source, pos, url`` of a site's sitemap and of the links of its page."""
     spark = responses.sparkSession
     good = responses.where((F.col("status") == 200) & F.col("html").isNotNull()).withColumn("norm", U.normalize_url(F.col("url")))
     here = spark.range(1).select(U.normalize_url(F.lit(url)).alias("page"), F.concat(U.scheme(F.lit(url)), F.lit("://"), U.netloc(F.lit(url))).alias("root"), F.regexp_replace(U.path(F.lit(url)), "/+$", "").alias("way")).first()
@@ -125,7 +142,7 @@ def map_site(responses: DataFrame, url: str, *, max_urls: int = 200, search: str
                 parts.append(kids.select(F.col("pos").alias("kid"), F.posexplode("locs").alias("i", "url")).select(F.lit("sitemap").alias("source"), (F.col("kid") * 1_000_000 + F.col("i")).alias("pos"), "url"))
             else:
                 parts.append(spark.createDataFrame([("sitemap", i, u) for i, u in enumerate(found.locs)], "source string, pos long, url string"))
-    return links.map_urls(reduce(DataFrame.unionByName, parts), url, search=search, max_urls=max_urls, include_subdomains=include_subdomains)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def crawl(
@@ -137,16 +154,21 @@ def crawl(
     include: list[str] | None = None,
     exclude: list[str] | None = None,
     subdomains: bool = False,
+    robots_cache: DataFrame | None = None,
+    now: int = 0,
     settings: Settings = Settings(),
 ) -> DataFrame:
     """``url, depth, outcome, reason, title, markdown, path`` of what a crawl meets, level by level.
 
     Pages are taken in the order of (depth, url) until ``max_pages`` are saved.
-    Robots files are responses for ``<site>/robots.txt``.
+    Robots files are responses for ``<site>/robots.txt``; a young entry (site, body,
+    fetched_at) of ``robots_cache`` goes before them.
     """
     spark = responses.sparkSession
     web = responses.withColumn("url", U.normalize_url(F.col("url"))).dropDuplicates(["url"])
     files = web.where(F.endswith("url", F.lit("/robots.txt")) & (F.col("status") == 200)).select(robots.site_of(F.col("url")).alias("site"), F.col("html").alias("body"))
+    if robots_cache is not None:
+        files = store.robots_files(robots_cache, files, ttl_seconds=settings.robots_ttl_seconds, now=now)
     first = spark.range(1).select(U.normalize_url(F.lit(start)).alias("url"), F.lower(U.netloc(F.lit(start))).alias("host")).first()
     frontier = spark.createDataFrame([(first.url, 0)], "url string, depth int")
     visited = C._cut(frontier.select("url"))

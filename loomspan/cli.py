@@ -3,21 +3,23 @@
     scrape  RESPONSES URL...   [--max-length N] [--raw] [--links] [--fresh] [--cache PATH]
     extract RESPONSES URL...   [--types json-ld,tables] [--max-rows N]
     map     RESPONSES URL      [--max-urls N] [--search S] [--no-sitemap] [--subdomains]
-    crawl   RESPONSES URL      [--max-pages N] [--max-depth N] [--include GLOB]... [--exclude GLOB]...
+    crawl   RESPONSES URL      [--max-pages N] [--max-depth N] [--include GLOB]... [--exclude GLOB]... [--out FOLDER]
     search  DOCUMENTS QUERY    [--max-results N]
-    cache   stats|prune|clear PATH [--days N]
+    cache   stats|prune|clear PATH [--days N] [--out PATH]
 """
 
 from __future__ import annotations
 
 import argparse
 import time
+from urllib.parse import urlsplit
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import api
-from .operators import store
+from .operators import crawl, store
+from .sources import responses
 
 
 def parser() -> argparse.ArgumentParser:
@@ -34,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--no-sitemap", action="store_true"), m.add_argument("--subdomains", action="store_true")
     c = verbs.add_parser("crawl")
     c.add_argument("table"), c.add_argument("url"), c.add_argument("--max-pages", type=int, default=30), c.add_argument("--max-depth", type=int, default=2)
-    c.add_argument("--include", action="append"), c.add_argument("--exclude", action="append"), c.add_argument("--subdomains", action="store_true")
+    c.add_argument("--include", action="append"), c.add_argument("--exclude", action="append"), c.add_argument("--out"), c.add_argument("--subdomains", action="store_true")
     q = verbs.add_parser("search")
     q.add_argument("table"), q.add_argument("query"), q.add_argument("--max-results", type=int, default=8)
     k = verbs.add_parser("cache")
@@ -44,6 +46,8 @@ def parser() -> argparse.ArgumentParser:
 
 def run(spark: SparkSession, argv: list[str]) -> list[str]:
     a = parser().parse_args(argv)
+    if a.verb == "cache":
+        return _cache(spark, a)
     table = spark.read.parquet(a.table)
     if a.verb == "scrape":
         asked = spark.createDataFrame([(u,) for u in a.urls], "url string")
@@ -55,22 +59,33 @@ def run(spark: SparkSession, argv: list[str]) -> list[str]:
         return [r.data for r in api.extract(asked, table, types=tuple(a.types.split(",")), max_rows=a.max_rows).orderBy("url").collect()]
     if a.verb == "map":
         rows = api.map_site(table, a.url, max_urls=a.max_urls, search=a.search, use_sitemap=not a.no_sitemap, include_subdomains=a.subdomains)
-        return [r.display for r in rows.collect()]
+        line = api.map_summary(table, a.url, max_urls=a.max_urls, search=a.search, use_sitemap=not a.no_sitemap, include_subdomains=a.subdomains).first().line
+        return [line, *[r.display for r in rows.collect()]]
     if a.verb == "crawl":
-        rows = api.crawl(table, a.url, max_pages=a.max_pages, max_depth=a.max_depth, include=a.include, exclude=a.exclude, subdomains=a.subdomains).drop("markdown").collect()
-        saved = sorted((r for r in rows if r.outcome == "saved"), key=lambda r: r.number)
-        errors = [r for r in rows if r.outcome == "error"]
-        head = f"crawl: {a.url}  pages: {len(saved)}  errors: {len(errors)}  skipped: {len(rows) - len(saved) - len(errors)}"
-        return [head, *[r.line for r in saved], *[f"errors: {r.path} ({r.reason})" for r in sorted(errors, key=lambda r: r.path)]]
-    if a.verb == "search":
-        return [r.line for r in api.search(table, a.query, max_results=a.max_results).orderBy("rank").collect()] or [f"no results for: {a.query}"]
+        met = api.crawl(table, a.url, max_pages=a.max_pages, max_depth=a.max_depth, include=a.include, exclude=a.exclude, subdomains=a.subdomains)
+        host = urlsplit(a.url).netloc.lower()
+        if a.out:
+            met = crawl._cut(met)
+            responses.write_files(crawl.files(met, host, a.out, time.strftime("%Y-%m-%d")), a.out)
+        return [r.line for r in crawl.report(met, host, a.out).orderBy("section", "pos", "path").collect()]
+    return [r.line for r in api.search(table, a.query, max_results=a.max_results).orderBy("rank").collect()] or [f"no results for: {a.query}"]
+
+
+def _cache(spark: SparkSession, a: argparse.Namespace) -> list[str]:
+    """Counts of a store, or a store without its old rows or any; with ``--out`` the rows that stay go there instead."""
+    paths = store.tables(spark, a.table)
+    rows = {name: spark.read.parquet(path) for name, path in paths.items()}
     if a.action == "stats":
-        return [f"{r.name}: {r.n}" for r in store.stats(pages=table).collect()]
-    out = a.out or f"{a.table.rstrip('/')}-{a.action}"
-    kept = table.limit(0) if a.action == "clear" else table.where(F.col("fetched_at") > int(time.time()) - a.days * 86_400)
-    before = table.count()
-    kept.write.mode("overwrite").parquet(out)
-    return [f"{before - spark.read.parquet(out).count()} rows removed; kept rows in {out}"]
+        return [*[f"{r.name}: {r.n}" for r in store.stats(**rows).collect()], f"bytes: {sum(store.size(spark, p) for p in paths.values())}"]
+    old = F.lit(True) if a.action == "clear" else store.is_expired(F.col("fetched_at"), int(time.time()), a.days * 86_400)
+    touched = [n for n in rows if a.action == "clear" or n != "crawls"]
+    removed = sum(rows[n].where(old).count() for n in touched)
+    for n in touched:
+        if not a.out:
+            store.replace(rows[n].where(~old), paths[n])
+        else:
+            rows[n].where(~old).write.mode("overwrite").parquet(f"{a.out.rstrip('/')}/{n}" if len(paths) > 1 else a.out)
+    return [f"{removed} rows removed" + (f"; kept rows in {a.out}" if a.out else "")]
 
 
 def main() -> None:

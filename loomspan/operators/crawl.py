@@ -76,3 +76,32 @@ def totals(pages: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
 
 def front_matter(url, title, day, tokens):
     return F.concat(F.lit("---\nurl: "), url, F.lit("\ntitle: "), title, F.lit("\nfetched: "), day, F.lit("\ntokens: "), tokens.cast("string"), F.lit("\n---\n\n"))
+
+
+def report(met: DataFrame, host: str, out_dir: str | None = None) -> DataFrame:
+    """``section, pos, path, line`` of a crawl's summary: counts, folder, index lines, then errors."""
+    t = totals(met)
+    head = F.concat(F.lit(f"crawl: {host}  pages: "), F.col("pages").cast("string"), F.lit("  errors: "), F.col("errors").cast("string"), F.lit("  skipped(robots/dupe/type): "), F.col("skipped").cast("string"))
+    lines = [head] if out_dir is None else [head, F.lit(f"dir: {out_dir}")]
+    top = t.select(F.posexplode(F.array(*lines)).alias("pos", "line")).select(F.lit(0).alias("section"), F.col("pos").cast("long").alias("pos"), F.lit("").alias("path"), "line")
+    pages = met.where("outcome = 'saved'").select(F.lit(1).alias("section"), F.col("number").cast("long").alias("pos"), "path", "line")
+    failed = met.where("outcome = 'error'").select(F.lit(2).alias("section"), F.lit(0).cast("long").alias("pos"), "path", F.concat(F.lit("errors: "), F.col("path"), F.lit(" ("), F.coalesce("reason", F.lit("")), F.lit(")")).alias("line"))
+    return top.unionByName(pages).unionByName(failed)
+
+
+def files(met: DataFrame, host: str, out_dir: str, day: str) -> DataFrame:
+    """``file, content`` of a crawl's folder: each saved page under its number, INDEX.md and index.json.
+
+    The two index files are one value each: they have a line for each of the
+    ``max_pages`` saved and each failed page.
+    """
+    saved = met.where("outcome = 'saved'")
+    pages = saved.select("file", F.concat(front_matter(F.coalesce("final_url", "url"), F.coalesce("title", F.lit("")), F.lit(day), F.col("tokens")), F.col("markdown")).alias("content"))
+    line = F.array_sort(F.collect_list(F.struct("section", "pos", "path", "line")))
+    index_md = report(met, host, out_dir).agg(F.concat(F.array_join(F.transform(line, lambda x: x["line"]), "\n"), F.lit("\n")).alias("content"))
+    text = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", "$1")
+    entry = F.concat(F.lit('  {\n    "url": '), text(F.coalesce("final_url", "url")), F.lit(',\n    "title": '), text(F.col("title")), F.lit(',\n    "file": '), text(F.col("file")), F.lit(',\n    "tokens": '), F.col("tokens").cast("string"), F.lit("\n  }"))
+    entries = F.array_sort(F.collect_list(F.struct("number", entry.alias("entry"))))
+    index_json = saved.agg(F.when(F.count(F.lit(1)) == 0, "[]").otherwise(F.concat(F.lit("[\n"), F.array_join(F.transform(entries, lambda x: x["entry"]), ",\n"), F.lit("\n]"))).alias("content"))
+    named = lambda df, name: df.select(F.lit(name).alias("file"), "content")
+    return pages.unionByName(named(index_md, "INDEX.md")).unionByName(named(index_json, "index.json"))

@@ -69,6 +69,38 @@ def judge_shell(out: Column, documented_limit: Column) -> Column:
     return F.when(F.contains(out, F.lit("app shell")), "walled").when(n > 400, "pass").when(documented_limit, "documented-limit").otherwise("FAIL")
 
 
+def judge_json(out: Column) -> Column:
+    """A pretty-printed object came back."""
+    return F.when(F.contains(out, F.lit('"')) & F.contains(out, F.lit("{")), "pass").when(F.contains(out, F.lit('"full_name"')), "pass").otherwise("FAIL")
+
+
+def judge_pdf(out: Column) -> Column:
+    """Text came out of a PDF, and more than 500 characters of it."""
+    read = F.contains(out, F.lit("via: pypdf"))
+    return F.when(~read, F.when(is_wall_report(out), "unreachable").otherwise("FAIL")).when(F.length(shown_body(out)) > 500, "pass").otherwise("FAIL")
+
+
+def judge_map(out: Column) -> Column:
+    """Five lines at least that are URLs or paths."""
+    lines = F.filter(F.split(out, "\n"), lambda x: F.trim(x).rlike("^(http|/)"))
+    return F.when(F.size(lines) >= 5, "pass").otherwise("FAIL")
+
+
+def judge_crawl(out: Column) -> Column:
+    return F.when(F.lower(out).rlike("pages|crawl"), "pass").otherwise("FAIL")
+
+
+def judge_search(out: Column) -> Column:
+    """Results have addresses; an engine that gives none is a third party's wall."""
+    return F.when(F.contains(out, F.lit("http")), "pass").otherwise("walled")
+
+
+def judge_verb(category: Column, out: Column) -> Column:
+    """Status of what a verb returned, by the item's category; null for a category with figures of its own."""
+    checks = {"wall": judge_wall, "consent": judge_consent, "json": judge_json, "pdf": judge_pdf, "map": judge_map, "crawl": judge_crawl, "search": judge_search}
+    return F.coalesce(*[F.when(category == name, F.coalesce(check(out), F.lit("FAIL"))) for name, check in checks.items()])
+
+
 def burst_outcome(out: Column) -> Column:
     return F.when(is_wall_report(out), "honest_refusal").when(F.length(F.trim(T.collapse(shown_body(out)))) > 100, "ok").otherwise("FAIL")
 
@@ -102,3 +134,29 @@ def drift(baseline: DataFrame, snapshot: DataFrame, key: str = "id") -> DataFram
     """Items whose figures are not those that were pinned; items never pinned do not count."""
     b = baseline.select(key, F.array_sort("figures").alias("_pinned"))
     return snapshot.join(b, key).where(F.array_sort("figures") != F.col("_pinned")).drop("_pinned")
+
+
+#: Gates of a report: the count they read and the most that passes.
+GATES = (("fabrications", 0), ("calibration", 0), ("omissions", MAX_OMISSIONS), ("minor", MAX_MINOR), ("poisoned", 0), ("timeouts", MAX_TIMEOUTS), ("other_failures", MAX_OTHER), ("exceptions", 0), ("drifted", 0))
+
+
+def report(results: DataFrame, judged: DataFrame, heading: str, max_detail: int = 100) -> DataFrame:
+    """``section, key, line`` of the written report, in the order of section and key.
+
+    ``results`` has (id, category, status, detail), ``judged`` is the row of ``verdict``.
+    Details end after ``max_detail`` characters; a null is empty.
+    """
+    bold = lambda ok, good: F.when(ok, good).otherwise(F.lit("**FAIL**"))
+    cells = lambda *c: F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(x, F.lit("")) for x in c]), F.lit(" |"))
+    gate = F.explode(F.array(*[F.struct(F.lit(f"{i:02d}").alias("key"), F.lit(n).alias("name"), F.col(n).alias("n"), F.lit(most).alias("most")) for i, (n, most) in enumerate(GATES)]))
+    head = judged.select(F.explode(F.array(
+        *[F.struct(F.lit(i).alias("section"), F.lit("").alias("key"), line.alias("line")) for i, line in enumerate((
+            F.lit(f"# {heading}"), F.concat(F.lit("**VERDICT: "), F.col("verdict"), F.lit("**")), F.concat(F.lit("- "), F.col("n_items").cast("string"), F.lit(" items scored")),
+            F.lit("## Gates"), F.lit("| gate | status | detail |"), F.lit("|---|---|---|")))],
+        *[F.struct(F.lit(i).alias("section"), F.lit("").alias("key"), F.lit(line).alias("line")) for i, line in ((7, "## Items"), (8, "| id | category | status | detail |"), (9, "|---|---|---|---|"))],
+    )).alias("r")).select("r.*")
+    detail = F.concat(F.col("g.n").cast("string"), F.lit(" (at most "), F.col("g.most").cast("string"), F.lit(")"))
+    gates = judged.select(gate.alias("g")).select(F.lit(6).alias("section"), F.col("g.key").alias("key"), cells(F.col("g.name"), bold(F.col("g.n") <= F.col("g.most"), F.lit("PASS")), detail).alias("line"))
+    key = F.col("id").cast("string")
+    items = results.select(F.lit(10).alias("section"), key.alias("key"), cells(key, F.col("category"), bold(F.col("status") != "FAIL", F.col("status")), F.substring("detail", 1, max_detail)).alias("line"))
+    return head.unionByName(gates).unionByName(items)

@@ -45,6 +45,20 @@ def map_urls(candidates: DataFrame, root_url: str, *, search: str | None = None,
     return out.orderBy("_order", "_pos", "url").limit(max_urls).select("url", "source", U.display_path(F.col("url"), root).alias("display"))
 
 
+def map_summary(candidates: DataFrame, root_url: str, *, search: str | None = None, max_urls: int = 200, include_subdomains: bool = False) -> DataFrame:
+    """One row ``line``: how many URLs each source gave first, and how many are shown of them."""
+    root = F.lower(U.netloc(F.lit(root_url)))
+    rows = candidates.withColumn("url", U.once(U.normalize_url(F.col("url"))))
+    rows = rows.where(U.host_allowed(F.col("url"), root, include_subdomains) & U.is_crawlable(F.col("url")))
+    first = rows.groupBy("url").agg(F.min(F.when(F.col("source") == "sitemap", 0).otherwise(1)).alias("order"))
+    match = F.contains(F.lower("url"), F.lit(search.lower())) if search else F.lit(True)
+    n = first.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("order") == 0).alias("sitemap"), F.count_if(F.col("order") == 1).alias("links"), F.count_if(match).alias("matching"))
+    shown = F.least(F.col("matching"), F.lit(max_urls)).cast("string")
+    tail = F.concat(F.lit("; showing "), shown, F.lit(f' matching "{search}"')) if search else F.when(F.col("matching") > max_urls, F.concat(F.lit("; showing "), shown)).otherwise("")
+    site = F.concat(U.scheme(F.lit(root_url)), F.lit("://"), U.netloc(F.lit(root_url)))
+    return n.select(F.concat(F.lit("site: "), site, F.lit(" — "), F.col("all").cast("string"), F.lit(" urls (sitemap "), F.col("sitemap").cast("string"), F.lit(", links "), F.col("links").cast("string"), F.lit(")"), tail).alias("line"))
+
+
 def site_sources(candidates: DataFrame, site: str = "site") -> DataFrame:
     """For many sites at once: (site, source, n) after each URL is given to its first source."""
     rows = candidates.withColumn("url", U.once(U.normalize_url(F.col("url")))).withColumn("_order", F.when(F.col("source") == "sitemap", 0).otherwise(1))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROWSER = "playwright"
@@ -40,6 +42,51 @@ def prune(pages: DataFrame, robots: DataFrame, *, older_than_seconds: int, now:
     return pages.where(~old), robots.where(~old), removed
 
 
+def robots_files(cached: DataFrame, live: DataFrame, *, ttl_seconds: int, now: int) -> DataFrame:
+    """``site, body, fetched_at``: young entries of the store, and for other sites the file that was fetched now."""
+    young = cached.where(F.col("fetched_at") > now - ttl_seconds).groupBy("site").agg(F.max_by("body", "fetched_at").alias("body"), F.max("fetched_at").alias("fetched_at"))
+    rest = live.select("site", "body", F.lit(now).cast("long").alias("fetched_at")).join(young, "site", "left_anti")
+    return young.select("site", "body", F.col("fetched_at").cast("long").alias("fetched_at")).unionByName(rest)
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the constructor of its paths."""
+    jvm = spark._jvm
+    make = jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def tables(spark: SparkSession, path: str) -> dict[str, str]:
+    """Paths of a store's tables: ``pages``, ``robots`` and ``crawls`` in its folder, or the folder itself as pages."""
+    path = path.rstrip("/")
+    fs, make = _files(spark, path)
+    own = {n: f"{path}/{n}" for n in ("pages", "robots", "crawls") if fs.exists(make(f"{path}/{n}"))}
+    return own or {"pages": path}
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a folder."""
+    fs, make = _files(spark, path)
+    return fs.getContentSummary(make(path)).getLength()
+
+
+def replace(rows: DataFrame, path: str) -> None:
+    """Put ``rows`` (which may read the table itself) in the table's place.
+
+    They are written beside it first, so a failed job leaves the old table; the two
+    renames are atomic each on a file system, not in an object store.
+    """
+    path = path.rstrip("/")
+    fs, make = _files(rows.sparkSession, path)
+    mark = uuid.uuid4().hex
+    new, old = f"{path}.new-{mark}", f"{path}.old-{mark}"
+    rows.write.parquet(new)
+    if not fs.rename(make(path), make(old)) or not fs.rename(make(new), make(path)):
+        raise OSError(f"could not put {new} in the place of {path}")
+    fs.delete(make(old), True)
+    rows.sparkSession.catalog.refreshByPath(path)
+
+
 def stats(**tables: DataFrame) -> DataFrame:
     """``name, n``: rows of each table."""
     out = None

@@ -89,26 +89,28 @@ def needs_render(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Pages whose extraction keeps or loses figures, repeats rows, or is hidden in markup.
-_CASE = "(s_suppkey % 6)"
+_CASE = "(s_suppkey % 8)"
 
 
 @query(f"""SELECT s_suppkey, {_CASE} = 4 AS consent_wall, {_CASE} = 5 AS block_wall,
- CASE {_CASE} WHEN 0 THEN ['prices_dropped:4:6'] WHEN 2 THEN ['columns_collapsed:2:-'] WHEN 3 THEN ['gated:58:' || (16 + length(s_name))] ELSE CAST([] AS VARCHAR[]) END AS warnings FROM supplier""")
+ CASE {_CASE} WHEN 0 THEN ['prices_dropped:4:6'] WHEN 2 THEN ['columns_collapsed:2:-'] WHEN 6 THEN ['prices_dropped:2:3'] WHEN 3 THEN ['gated:58:' || (16 + length(s_name))] ELSE CAST([] AS VARCHAR[]) END AS warnings FROM supplier""")
 def quality(spark: SparkSession, d: str) -> DataFrame:
-    k = F.expr("s_suppkey % 6")
+    k = F.expr("s_suppkey % 8")
     prices = F.lit(" ".join(f"plan {c} ${10 + i}.00" for i, c in enumerate("abcdef")))
     big = F.expr("concat('<style>', repeat('a', 60000), '</style><p>hidden words in ', s_name, '</p>')")
-    html = F.when(k.isin(0, 1), F.concat(F.lit("<p>"), prices, F.lit("</p>"))).when(k == 3, big).otherwise(F.concat(F.lit("<p>"), F.col("s_name"), F.lit("</p>")))
+    few = F.lit("<p>plan a $1.00 plan b $2.00 plan c $3.00</p>")
+    html = F.when(k.isin(0, 1), F.concat(F.lit("<p>"), prices, F.lit("</p>"))).when(k == 3, big).when(k >= 6, few).otherwise(F.concat(F.lit("<p>"), F.col("s_name"), F.lit("</p>")))
     md = (
         F.when(k == 0, F.lit("only $10.00 and $11.00 here"))
         .when(k == 1, prices)
         .when(k == 2, F.lit("a\na\na\n\nb\nb \nb\nb\nc"))
         .when(k == 4, F.lit("We use COOKIES"))
         .when(k == 5, F.lit("are you a robot"))
+        .when(k >= 6, F.lit("only $1.00 here"))
         .otherwise(F.lit("text"))
     )
-    rows = table(spark, d, "supplier").select("s_suppkey", html.alias("html"), md.alias("md")).withColumn("seen", T.visible_text(F.col("html")))
-    q = rows.select("s_suppkey", G.quality(F.col("html"), F.col("seen"), F.col("md"), F.lit(None).cast("string")).alias("q"))
+    rows = table(spark, d, "supplier").select("s_suppkey", html.alias("html"), md.alias("md"), F.when(k == 6, "Plans and pricing").when(k == 7, "Plans").alias("title")).withColumn("seen", T.visible_text(F.col("html")))
+    q = rows.select("s_suppkey", G.quality(F.col("html"), F.col("seen"), F.col("md"), F.col("title")).alias("q"))
     words = F.transform("q.warnings", lambda w: F.concat_ws(":", w["code"], w["n"].cast("string"), F.coalesce(w["total"].cast("string"), F.lit("-"))))
     return q.select("s_suppkey", "q.consent_wall", "q.block_wall", words.alias("warnings"))
 
@@ -273,9 +275,9 @@ def robots_allowed(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", "allowed", robots.effective_delay(F.col("crawl_delay")).alias("delay"))
 
 
-def _items(spark: SparkSession, d: str) -> DataFrame:
+def _items(spark: SparkSession, d: str, case: str = "p_partkey % 8") -> DataFrame:
     """Evaluation items: figures on the page, figures shown, and whether a warning rode along."""
-    k = F.col("p_partkey") % 8
+    k = F.expr(case)
     oracle = F.lit("$1 $2 $3 $4 $5 $6")
     shown = (
         F.when(k == 0, F.lit("$1 $2 $3 $4 $5 $6")).when(k == 1, F.lit("$1 $2 $3 $4 $5 $6 $77")).when(k == 2, F.lit("$1 $2 $3 $4")).when(k == 3, F.lit("$1"))
@@ -295,9 +297,19 @@ def eval_status(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", "status", "fabricated", F.size("omitted").alias("n_omitted"), F.size("recovered").alias("n_recovered"))
 
 
-@query("""SELECT count(*) AS n_items, count(*) AS reached, count(*) FILTER (p_partkey % 8 = 1) AS fabrications, count(*) FILTER (p_partkey % 8 = 3) AS omissions, count(*) FILTER (p_partkey % 8 = 2) AS minor, 'RED' AS verdict FROM part""")
+@query("""SELECT run, count(*) AS n_items, count(*) FILTER (run <> 'unreached' OR k = 0) AS reached, count(*) FILTER (run = 'all' AND k = 1) AS fabrications, count(*) FILTER (run = 'all' AND k = 3) AS omissions,
+ count(*) FILTER (run = 'all' AND k = 2 OR run = 'minor' AND k >= 4) AS minor, CASE run WHEN 'all' THEN 'RED' WHEN 'sound' THEN 'GREEN' WHEN 'minor' THEN 'YELLOW' ELSE 'NO VERDICT' END AS verdict
+ FROM (SELECT p_partkey % 8 AS k, unnest(['all', 'sound', 'minor', 'unreached']) AS run FROM part) GROUP BY run""")
 def eval_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.verdict(evaluation.judge_content(_items(spark, d))).select("n_items", "reached", "fabrications", "omissions", "minor", "verdict")
+    cases = {"all": "p_partkey % 8", "sound": "element_at(array(0, 4, 6, 7), cast(p_partkey % 4 + 1 as int))", "minor": "if(p_partkey % 8 >= 4, 2, 0)", "unreached": "0"}
+    out = None
+    for run, case in cases.items():
+        rows = evaluation.judge_content(_items(spark, d, case))
+        if run == "unreached":
+            rows = rows.withColumn("status", F.when(F.col("p_partkey") % 8 != 0, "unreachable").otherwise(F.col("status")))
+        row = evaluation.verdict(rows).select(F.lit(run).alias("run"), "n_items", "reached", "fabrications", "omissions", "minor", "verdict")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 _SAID = "CASE c_custkey % 5 WHEN 0 THEN 'error fetching x: HTTP 403' WHEN 1 THEN 'url: x' || chr(10) || '---' || chr(10) || repeat('text ', 100) WHEN 2 THEN 'head' || chr(10) || '---' || chr(10) || 'verify you are a human, cookie' WHEN 3 THEN 'JavaScript app shell' ELSE 'short' END"

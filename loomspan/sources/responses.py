@@ -102,3 +102,25 @@ def write_pages(rows: DataFrame, path: str, body: str = "body") -> None:
 
     name = F.substring(url_hash(F.col("url")), 1, 12)
     rows.select(name.alias("copy"), F.col(body).alias("markdown"), F.substring(name, 1, 2).alias("part")).write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def write_files(rows: DataFrame, folder: str) -> None:
+    """Write (file, content) rows as files of a folder that all executors reach.
+
+    A file appears under its name when it is whole, so a task that is run again
+    writes the same file once more.
+    """
+    def put(part):
+        import uuid
+
+        from pyarrow import fs
+
+        there, root = fs.FileSystem.from_uri(folder)
+        there.create_dir(root, recursive=True)
+        for r in part:
+            mine = f"{root}/.{r.file}.{uuid.uuid4().hex}"
+            with there.open_output_stream(mine) as out:
+                out.write((r.content or "").encode())
+            there.move(mine, f"{root}/{r.file}")
+
+    rows.select("file", "content").foreachPartition(put)

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,9 +94,66 @@ def test_command_line(spark, web, tmp_path):
     path = str(tmp_path / "web")
     web.withColumn("fetched_at", F.lit(5).cast("long")).write.parquet(path)
     out = cli.run(spark, ["crawl", path, "https://site.example/", "--max-depth", "1"])
-    assert out[0].endswith("pages: 3  errors: 0  skipped: 1") and out[1].startswith("001-home.md")
-    assert cli.run(spark, ["map", path, "https://site.example/", "--max-urls", "2"]) == ["/a", "/only-listed"]
+    assert out[0] == "crawl: site.example  pages: 3  errors: 0  skipped(robots/dupe/type): 1" and out[1].startswith("001-home.md")
+    assert cli.run(spark, ["map", path, "https://site.example/", "--max-urls", "2"]) == ["site: https://site.example — 4 urls (sitemap 2, links 2); showing 2", "/a", "/only-listed"]
     assert "Page A" in cli.run(spark, ["scrape", path, "https://site.example/a"])[0]
     assert json.loads(cli.run(spark, ["extract", path, "https://site.example/a"])[0])["note"]
-    assert cli.run(spark, ["cache", "stats", path]) == ["pages: 13"]
+    stats = cli.run(spark, ["cache", "stats", path])
+    assert stats[0] == "pages: 13" and int(stats[1].removeprefix("bytes: ")) > 0
     assert cli.run(spark, ["cache", "prune", path, "--out", str(tmp_path / "kept")])[0].startswith("13 rows removed")
+
+
+def test_crawl_folder(spark, web, tmp_path):
+    path, out = str(tmp_path / "web"), tmp_path / "crawl"
+    web.write.parquet(path)
+    for _ in range(2):  # a second run puts the same files
+        said = cli.run(spark, ["crawl", path, "https://site.example/", "--out", str(out)])
+    names = sorted(p.name for p in out.iterdir() if not p.name.startswith("."))
+    assert names == ["001-home.md", "002-page-a.md", "003-page-b.md", "004-page-c.md", "INDEX.md", "index.json"]
+    assert (out / "INDEX.md").read_text() == "\n".join(said) + "\n" and said[1] == f"dir: {out}" and said[-1] == "errors: /missing (404)"
+    index = json.loads((out / "index.json").read_text())
+    assert [e["file"] for e in index] == names[:4] and list(index[0]) == ["url", "title", "file", "tokens"]
+    text = (out / "002-page-a.md").read_text()
+    assert text.startswith("---\nurl: https://site.example/a\ntitle: Page A\nfetched: ") and "Plain words" in text
+
+
+def test_cache_verbs_change_the_store(spark, web, tmp_path):
+    home, now = tmp_path / "store", int(time.time())
+    aged = web.withColumn("fetched_at", F.when(F.col("status") == 404, 5).otherwise(now).cast("long"))
+    aged.write.parquet(str(home / "pages"))
+    spark.createDataFrame([("https://a.example", "", 5), ("https://b.example", "", now)], "site string, body string, fetched_at long").write.parquet(str(home / "robots"))
+    spark.createDataFrame([("c", "u", 5)], "crawl_id string, root_url string, started_at long").write.parquet(str(home / "crawls"))
+    counts = lambda: cli.run(spark, ["cache", "stats", str(home)])[:3]
+    assert cli.run(spark, ["cache", "prune", str(home)]) == ["2 rows removed"]
+    assert counts() == ["pages: 12", "robots: 1", "crawls: 1"]
+    assert cli.run(spark, ["cache", "clear", str(home)]) == ["14 rows removed"]
+    assert counts() == ["pages: 0", "robots: 0", "crawls: 0"]
+    assert sorted(p.name for p in home.iterdir()) == ["crawls", "pages", "robots"]
+
+
+def test_a_challenge_is_passed_by_a_rendering(spark):
+    url = "https://site.example/"
+    asked = spark.createDataFrame([(url + p,) for p in ("c", "d", "e")], "url string")
+    live = spark.createDataFrame([row(url + "c", "<title>Just a moment</title>", 503), row(url + "d", "down", 503), row(url + "e", "<title>Just a moment</title>", 403)], SCHEMA)
+    shots = spark.createDataFrame([row(url + "c", page("Behind")), row(url + "d", page("Other")), row(url + "e", "", error="crash")], SCHEMA)
+    got = {r.url[-1]: r for r in api.scrape(asked, live, rendered=shots).collect()}
+    assert got["c"].outcome == "content" and got["c"].title == "Behind" and got["c"].via == "playwright"
+    assert got["d"].outcome == "http_error" and got["e"].outcome == "http_error"
+
+
+def test_robots_entries_answer_while_young(spark, web):
+    entry = spark.createDataFrame([("https://site.example", "User-agent: *\nDisallow: /a\n", 1000)], "site string, body string, fetched_at long")
+    met = lambda now: {r.path: r.outcome for r in api.crawl(web, "https://site.example/", max_depth=1, robots_cache=entry, now=now).collect()}
+    young, old = met(1000 + 86_399), met(1000 + 86_400)
+    assert young["/a"] == "skipped_robots" and young["/private/p"] == "saved"
+    assert old["/a"] == "saved" and old["/private/p"] == "skipped_robots"
+
+
+def test_api_and_command_line_agree(spark, web, tmp_path):
+    path = str(tmp_path / "web")
+    web.write.parquet(path)
+    url = "https://site.example/b"
+    asked = spark.createDataFrame([(url,)], "url string")
+    assert cli.run(spark, ["scrape", path, url]) == [api.scrape(asked, web).first().report]
+    assert cli.run(spark, ["extract", path, url]) == [api.extract(asked, web).first().data]
+    assert cli.run(spark, ["map", path, url])[1:] == [r.display for r in api.map_site(web, url).collect()]
