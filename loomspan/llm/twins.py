@@ -52,5 +52,23 @@ FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)), lambda h, b: list_reduce(list_prepend(xor(h, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+
+_WINDOW = "OVER (PARTITION BY source ORDER BY event_s RANGE BETWEEN {0} PRECEDING AND 1 PRECEDING)"
+
+
+def _rolling(width: int) -> str:
+    w = _WINDOW.format(width)
+    return f"""SELECT doc_id, CAST({width} AS BIGINT) AS window_s, event_s, count(*) {w} AS n_events, CAST(coalesce(sum(chars) {w}, 0) AS BIGINT) AS sum_chars,
+ count(DISTINCT lang) {w} AS n_langs, list_sort(list(chars) FILTER (chars IS NOT NULL) {w}) AS l FROM timed"""
+
+
+ROLLING = f"""
+WITH timed AS (SELECT doc_id, source, lang, length(text) AS chars, CAST(60 * floor((doc_id + {_CRC32} % 4000) / 6) AS BIGINT) AS event_s FROM documents),
+found AS ({_rolling(3600)} UNION ALL {_rolling(21600)})
+SELECT doc_id, window_s, event_s, n_events, sum_chars, n_langs, CAST(l[(len(l) + 1) // 2] AS BIGINT) AS median_chars, CAST(l[(75 * len(l) + 99) // 100] AS BIGINT) AS high_chars FROM found
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard_join": JACCARD, "op6_chat_format": CHAT, "op8_page_text": PAGES, "op10_decontamination": BENCHMARK}
+    return {"op5_jaccard_join": JACCARD, "op6_chat_format": CHAT, "op8_page_text": PAGES, "op10_decontamination": BENCHMARK, "op12_rolling_features": ROLLING}
