@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, decontaminate, jaccard, language, packing, page_text, passages, rolling, token_output, toxicity, twins, vector_search
+from . import chat, decontaminate, jaccard, language, packing, page_text, passages, rolling, sharding, token_output, toxicity, twins, vector_search
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +77,12 @@ def op12_rolling_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.document_features(table(spark, sf_dir, "documents"), event_seconds(F.col("doc_id")), widths=(3600, 21600))
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.shard_rows(table(spark, sf_dir, "documents"), shards=40))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_toxicity": op2_toxicity, "op3_packing": op3_packing, "op4_language_id": op4_language_id, "op5_jaccard_join": op5_jaccard_join, "op6_chat_format": op6_chat_format, "op7_vector_search": op7_vector_search, "op8_page_text": op8_page_text, "op9_token_output": op9_token_output, "op10_decontamination": op10_decontamination, "op12_rolling_features": op12_rolling_features}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_toxicity": op2_toxicity, "op3_packing": op3_packing, "op4_language_id": op4_language_id, "op5_jaccard_join": op5_jaccard_join, "op6_chat_format": op6_chat_format, "op7_vector_search": op7_vector_search, "op8_page_text": op8_page_text, "op9_token_output": op9_token_output, "op10_decontamination": op10_decontamination, "op12_rolling_features": op12_rolling_features, "op13_sharding": op13_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
