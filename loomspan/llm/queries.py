@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, decontaminate, jaccard, language, packing, page_text, passages, rolling, sharding, token_output, toxicity, twins, vector_search
+from . import alignment, chat, decontaminate, jaccard, language, packing, page_text, passages, rolling, sharding, token_output, toxicity, twins, vector_search
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"))
+
+
 def event_seconds(doc_id):
     """The time that the rolling features give a document."""
     h = F.crc32(doc_id.cast("string")) % 4000
@@ -82,7 +86,7 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_toxicity": op2_toxicity, "op3_packing": op3_packing, "op4_language_id": op4_language_id, "op5_jaccard_join": op5_jaccard_join, "op6_chat_format": op6_chat_format, "op7_vector_search": op7_vector_search, "op8_page_text": op8_page_text, "op9_token_output": op9_token_output, "op10_decontamination": op10_decontamination, "op12_rolling_features": op12_rolling_features, "op13_sharding": op13_sharding}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_toxicity": op2_toxicity, "op3_packing": op3_packing, "op4_language_id": op4_language_id, "op5_jaccard_join": op5_jaccard_join, "op6_chat_format": op6_chat_format, "op7_vector_search": op7_vector_search, "op8_page_text": op8_page_text, "op9_token_output": op9_token_output, "op10_decontamination": op10_decontamination, "op11_token_alignment": op11_token_alignment, "op12_rolling_features": op12_rolling_features, "op13_sharding": op13_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
