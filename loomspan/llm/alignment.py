@@ -31,13 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialise
 from .subwords import tokenizer_path
-from .textbuf import cache, ragged, release
+from .textbuf import cache, chunks, ragged, release, utf8
 
 #: Bytes of text in a block, but for a longer document.
 BLOCK_BYTES = 8 << 20
@@ -48,6 +49,12 @@ CACHE_BYTES = 16 << 20
 KEPT_UNIT = 64
 #: A single space between two characters that are neither white space nor U+2581.
 CUT = re.compile(r"(?<=[^\s▁])(?= [^\s▁])")
+#: First bytes of characters among which white space and U+2581 are, besides ASCII.
+_LEADS2, _LEADS3 = 0xC2, (0xE1, 0xE2, 0xE3)
+_WHITE = np.zeros(256, bool)
+_WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+#: Units that are encoded in one call, as the text that they make.
+TOGETHER = 500
 BLOCK = (
     "block long, doc_id array<long>, n_a array<int>, n_b array<int>, n_groups array<int>, n_links array<int>, groups_sha256 array<string>, "
     "units binary, n_units array<int>, unit_pairs binary, n_unit_pairs array<int>, pair_a array<int>, pair_b array<int>, pair_n array<long>"
@@ -93,6 +100,21 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def uneven(texts: pa.Array) -> np.ndarray:
+    """Which texts have a space at an end or beside what may be white space or U+2581; in others each space is a cut."""
+    data, offsets = utf8(texts)
+    size = len(data)
+    at = np.flatnonzero(data == 0x20)
+    byte = lambda i: np.where((i >= 0) & (i < size), data[np.clip(i, 0, max(size - 1, 0))], 0x20)
+    after, before = byte(at + 1), byte(at - 1)
+    odd = _WHITE[after] | _WHITE[before] | np.isin(after, (_LEADS2, *_LEADS3)) | (byte(at - 2) == _LEADS2) | np.isin(byte(at - 3), _LEADS3)
+    row = np.searchsorted(offsets, at, side="right") - 1
+    odd |= (at == offsets[row]) | (at + 1 == offsets[row + 1])
+    out = np.zeros(len(texts), bool)
+    out[row[odd]] = True
+    return out
+
+
 class Aligner:
     """Encodes and aligns the distinct units of texts."""
 
@@ -128,22 +150,40 @@ class Aligner:
         self.first = np.zeros(1025, np.int64)
 
     def units(self, text: str) -> list[str]:
-        return CUT.split(" " + text) if self.cuts else [" " + text]
-
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        ids_a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        return ids_a, self.b.encode([u[1:] for u in units], num_threads=1)
+        """Units of a text, without the space that each begins with."""
+        return [u[1:] for u in CUT.split(" " + text)] if self.cuts else [text]
+
+    def encode(self, units: list[str]) -> tuple[list[np.ndarray], ...]:
+        """Of units: whether both sides give the bytes back; ids of A and of B laid end to end, and how many each unit has."""
+        raw = [b" " + u.encode() for u in units]
+        even = np.fromiter((u != "" and u[0] not in " ▁" and not u[0].isspace() and u[-1] != "▁" and not u[-1].isspace() for u in units), bool, len(units))
+        flat, counts, good = [], [], np.ones(len(units), bool)
+        # Even units, one after the other, make a text whose units they are.
+        if self.cuts and even.all():
+            ids_a = np.array(self.a.encode(b"".join(raw).decode(), add_special_tokens=False).ids, np.int32)
+            ids_b = np.array(self.b.encode(" ".join(units), num_threads=1), np.int32)
+            ends = np.cumsum([len(r) for r in raw])
+            whole = True
+            for ids, table, size in ((ids_a, self.bytes_a, self.len_a), (ids_b, self.bytes_b, self.len_b)):
+                whole &= b"".join(map(table.__getitem__, ids.tolist())) == b"".join(raw)
+                after = np.searchsorted(np.cumsum(size[ids]), ends, side="right")
+                flat.append(ids)
+                counts.append(np.diff(after, prepend=0))
+            if whole:
+                return good, *flat, *counts
+        if len(units) > 1:
+            half = len(units) // 2
+            return tuple(np.concatenate(x) for x in zip(self.encode(units[:half]), self.encode(units[half:])))
+        ids_a, ids_b = self.a.encode(" " + units[0], add_special_tokens=False).ids, self.b.encode(units[0], num_threads=1)
+        good = [b"".join(map(t.__getitem__, ids)) == raw[0] for t, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))]
+        ids_a, ids_b = (ids_a, ids_b) if all(good) else ([], [])
+        return np.array([all(good)]), np.array(ids_a, np.int32), np.array(ids_b, np.int32), np.array([len(ids_a)]), np.array([len(ids_b)])
 
     def aligned(self, units: list[str]):
-        """Of each unit: whether both sides give its bytes back, ids of A and B laid end to end, their counts, links and groups."""
-        raw = [u.encode() for u in units]
-        ids_a, ids_b = self.encode(units)
-        good = np.array([b"".join(map(self.bytes_a.__getitem__, a)) == r == b"".join(map(self.bytes_b.__getitem__, b)) for a, b, r in zip(ids_a, ids_b, raw)], bool)
-        ids_a, ids_b = ([x if g else [] for x, g in zip(ids, good.tolist())] for ids in (ids_a, ids_b))
-        flat = lambda rows: np.fromiter((x for r in rows for x in r), np.int32, sum(map(len, rows)))
-        a, b = flat(ids_a), flat(ids_b)
-        i, j, group = align(np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b]))
-        return good, a, b, np.array([len(x) for x in ids_a], np.int64), np.array([len(x) for x in ids_b], np.int64), i, j, group
+        """What ``encode`` gives, links between the ids and each link's group."""
+        parts = [self.encode(units[k : k + TOGETHER]) for k in range(0, len(units), TOGETHER)]
+        good, a, b, n_a, n_b = (np.concatenate(x) for x in zip(*parts))
+        return good, a, b, n_a, n_b, *align(np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b]))
 
     def learn(self, units: list[str]) -> None:
         """Add units: their sizes, linked pairs and texts of groups."""
@@ -165,34 +205,42 @@ class Aligner:
         # A group's tokens are consecutive on either side, from those of its first link to those of its last.
         last = np.append(begins[1:], len(i)) - 1 if len(begins) else begins
         names_a, names_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        spans = zip(i[begins].tolist(), (i[last] + 1).tolist(), j[begins].tolist(), (j[last] + 1).tolist())
-        groups = [",".join(names_a[p:q]) + "|" + ",".join(names_b[r:s]) for p, q, r, s in spans]
+        spans = zip(i[begins].tolist(), i[last].tolist(), j[begins].tolist(), j[last].tolist())
+        groups = [f"{names_a[p]}|{names_b[r]}" if p == q and r == s else f"{','.join(names_a[p : q + 1])}|{','.join(names_b[r : s + 1])}" for p, q, r, s in spans]
         ends = np.cumsum(n_groups).tolist()
-        for u, p, q in zip(units, [0, *ends], ends):
-            text = ";".join(groups[p:q])
-            self.known[u] = len(self.texts)
-            self.texts.append(text)
-            self.bytes += len(u) + len(text)
+        texts = [";".join(groups[p:q]) for p, q in zip([0, *ends], ends)]
+        self.known.update(zip(units, range(at, at + len(units))))
+        self.texts += texts
+        self.bytes += sum(map(len, units)) + sum(map(len, texts))
 
-    def forget_if_full(self) -> None:
-        if len(self.texts) > CACHE_UNITS or self.bytes > CACHE_BYTES:
-            self.reset()
+    @property
+    def full(self) -> bool:
+        return len(self.texts) > CACHE_UNITS or self.bytes > CACHE_BYTES
 
-    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the units of all texts, and how many each text has."""
-        split = [self.units(t) for t in texts]
-        new = list(dict.fromkeys(u for us in split for u in us if u not in self.known))
+        apart = uneven(texts) if self.cuts else np.ones(len(texts), bool)
+        lists = pc.split_pattern(pc.if_else(pa.array(apart), "", texts) if apart.any() else texts, " ")
+        counts, words = pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten().dictionary_encode()
+        names, place = words.dictionary.to_pylist(), words.indices.to_numpy()
+        rest = np.flatnonzero(apart)
+        split = [self.units(t) for t in texts.take(pa.array(rest)).to_pylist()]
+        known = self.known
+        new = [u for u in dict.fromkeys([*names, *(u for us in split for u in us)]) if u not in known]
         for k in range(0, len(new), 20_000):
             self.learn(new[k : k + 20_000])
-        known = self.known
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter((known[u] for us in split for u in us), np.int64, int(counts.sum()))
+        at = np.fromiter(map(known.__getitem__, names), np.int64, len(names))[place]
+        if len(rest):
+            parts = np.split(at, np.cumsum(counts)[:-1])
+            for r, us in zip(rest.tolist(), split):
+                parts[r] = np.fromiter(map(known.__getitem__, us), np.int64, len(us))
+                counts[r] = len(us)
+            at = np.concatenate(parts)
         for u in new:  # long ones are not asked for again
             if len(u) > KEPT_UNIT:
                 del known[u]
         return at, counts
 
-
 _aligners: dict[tuple[str, str], Aligner] = cache("aligner")
 
 
@@ -217,33 +265,38 @@ class _Block:
     def __init__(self, own: Aligner):
         self.own, self.docs, self.parts, self.counts, self.scalars, self.digests, self.bytes = own, [], [], [], [], [], 0
 
-    def add(self, docs: list, texts: list[str]) -> None:
+    def add(self, docs: pa.Array, texts: pa.Array) -> None:
         at, counts = self.own.numbers(texts)
         sizes = self.own.sizes[at]
-        whole = (_sums((sizes[:, 3] < 0).astype(np.int64), counts) == 0) & np.fromiter(map(bool, texts), bool, len(texts))
-        keep = np.repeat(whole, counts)
-        at, counts, sizes = at[keep], np.where(whole, counts, 0), sizes[keep]
+        length = pc.binary_length(texts).to_numpy().astype(np.int64)
+        whole = (_sums((sizes[:, 3] < 0).astype(np.int64), counts) == 0) & (length > 0)
+        if not whole.all():
+            keep = np.repeat(whole, counts)
+            at, counts, sizes = at[keep], np.where(whole, counts, 0), sizes[keep]
         self.scalars.append(np.stack([_sums(sizes[:, k], counts) for k in range(4)], axis=1))
         names, ends = self.own.texts, np.cumsum(counts).tolist()
-        numbers = at.tolist()
+        texts_of = list(map(names.__getitem__, at.tolist()))
         for p, q in zip([0, *ends], ends):
-            self.digests.append(hashlib.sha256(";".join([names[x] for x in numbers[p:q]]).encode()).hexdigest() if q > p else "")
-        self.docs += docs
-        self.parts.append(at)
+            self.digests.append(hashlib.sha256(";".join(texts_of[p:q]).encode()).hexdigest() if q > p else "")
+        self.docs.append(docs)
+        self.parts.append(at.astype(np.uint32))
         self.counts.append(counts)
-        self.bytes += sum(map(len, texts))
+        self.bytes += int(length.sum())
 
     def row(self, number: int) -> pa.RecordBatch:
         units, counts = np.concatenate(self.parts), np.concatenate(self.counts)
         scalars = np.concatenate(self.scalars)
-        used, inverse, often = np.unique(units, return_inverse=True, return_counts=True)
+        often = np.bincount(units, minlength=1)
+        used = np.flatnonzero(often)
+        number_of = np.cumsum(often > 0) - 1
+        inverse, often = number_of[units], often[used]
         n_pairs = self.own.first[used + 1] - self.own.first[used]
         pairs = self.own.pairs[ragged(self.own.first[used], n_pairs)].astype(np.int64)
         code, place = np.unique(pairs[:, 0] << 32 | pairs[:, 1], return_inverse=True)
         n = np.bincount(place, np.repeat(often, n_pairs), minlength=len(code)).astype(np.int64)
         one = lambda x, t: pa.array([x], pa.list_(t))
         cols = [
-            pa.array([number]), one(self.docs, pa.int64()), *(one(scalars[:, k].astype(np.int32), pa.int32()) for k in range(4)), one(self.digests, pa.string()),
+            pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.concat_arrays(self.docs)), *(one(scalars[:, k].astype(np.int32), pa.int32()) for k in range(4)), one(self.digests, pa.string()),
             pa.array([inverse.astype("<u4").tobytes()], pa.binary()), one(counts.astype(np.int32), pa.int32()),
             pa.array([place.astype("<u4").tobytes()], pa.binary()), one(n_pairs.astype(np.int32), pa.int32()),
             one((code >> 32).astype(np.int32), pa.int32()), one((code & 0xFFFFFFFF).astype(np.int32), pa.int32()), one(n, pa.int64()),
@@ -258,25 +311,20 @@ def _paths(a: str | None, b: str | None) -> tuple[str, str]:
 def _blocks(path_a: str, path_b: str, block_bytes: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(path_a, path_b)
-        number = TaskContext.get().partitionId() << 40
-        own.forget_if_full()
-        block = _Block(own)
+        number, block = TaskContext.get().partitionId() << 40, None
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist()
-            done = 0
-            while done < len(texts):
-                size, end = 0, done
-                while end < len(texts) and (end == done or size + len(texts[end]) <= 1 << 19):
-                    size += len(texts[end])
-                    end += 1
-                block.add(docs[done:end], texts[done:end])
-                done = end
-                if block.bytes >= block_bytes or len(own.texts) > CACHE_UNITS or own.bytes > CACHE_BYTES:
-                    yield block.row(number)
-                    number += 1
-                    own.forget_if_full()
+            docs, texts = batch.column(0), batch.column(1).fill_null("")
+            _, offsets = utf8(texts)
+            for i, j in chunks(offsets, 1 << 20):
+                if block is None:
+                    if own.full:
+                        own.reset()
                     block = _Block(own)
-        if block.docs:
+                block.add(docs.slice(i, j - i), texts.slice(i, j - i))
+                if block.bytes >= block_bytes or own.full:
+                    yield block.row(number)
+                    number, block = number + 1, None
+        if block is not None:
             yield block.row(number)
 
     return work

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomspan.llm import alignment, queries
@@ -131,6 +132,7 @@ def test_the_cache_starts_anew(spark, own, monkeypatch):
     monkeypatch.setattr(alignment, "CACHE_UNITS", 5)
     aligner = alignment.Aligner(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
     for text in [t for t in odd_texts() if "▁" not in t][:60]:
-        aligner.forget_if_full()
-        at, _ = aligner.numbers([text])
+        if aligner.full:
+            aligner.reset()
+        at, _ = aligner.numbers(pa.array([text]))
         assert ";".join(aligner.texts[k] for k in at) == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in by_hand(own, text))
