@@ -78,9 +78,18 @@ def test_a_vector_that_many_share(spark):
     assert len(got) == 1505 and [i for i, _ in got[0]] == [1, 2, 3, 4] and [i for i, _ in got[2000]] == [0, 1, 2, 3] and [i for i, _ in got[2]] == [0, 1, 3, 4]
 
 
-@pytest.mark.parametrize("name", ["sf0.01", "sf0.1", "check_s"])
+def many_near_vectors():
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(300, 1, 16)) + 0.3 * rng.normal(size=(300, 30, 16))).reshape(-1, 16)
+    return [(i, v) for i, v in enumerate(x.astype(np.float32).tolist())]
+
+
+@pytest.mark.parametrize("name", ["sf0.01", "sf0.1", "made"])
 def test_recall_with_the_defaults(spark, name):
-    df = spark.read.parquet(f"/root/testdata/{name}/embeddings.parquet")
+    if name == "made":
+        df = spark.createDataFrame(many_near_vectors(), "vec_id long, embedding array<float>")
+    else:
+        df = spark.read.parquet(f"/root/testdata/{name}/embeddings.parquet")
     rows = df.collect()
     x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
     got = {}
