@@ -65,15 +65,22 @@ def is_block_wall(markdown: Column) -> Column:
 
 
 def has_price_cluster(page_text: Column) -> Column:
-    """Whether some window of the text holds CLUSTER_SIZE different figures."""
-    hits = T.figure_positions(page_text)
-    enough = F.size(F.array_distinct(T.figures(page_text))) >= CLUSTER_SIZE
+    """Whether some window of the text holds CLUSTER_SIZE different figures.
 
-    def full(h: Column) -> Column:
-        near = F.filter(hits, lambda x: (x["pos"] <= h["pos"]) & (h["pos"] - x["pos"] <= CLUSTER_WINDOW))
-        return F.size(F.array_distinct(F.transform(near, lambda x: x["fig"]))) >= CLUSTER_SIZE
+    One pass: of the figures met so far, the latest CLUSTER_SIZE different ones are kept with
+    where each stood last, so the oldest of them says whether a window that ends here holds all.
+    """
+    recent = "array<struct<fig:string,pos:int>>"
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(recent).alias("recent"), F.lit(False).alias("found"))
+
+    def step(a: Column, z: Column) -> Column:
+        pos = a["at"] + z["gap"]
+        others = F.slice(F.filter(a["recent"], lambda r: r["fig"] != z["fig"]), 1, CLUSTER_SIZE - 1)
+        oldest = F.try_element_at(others, F.lit(CLUSTER_SIZE - 1))["pos"]
+        found = a["found"] | F.coalesce(pos - oldest <= CLUSTER_WINDOW, F.lit(False))
+        return F.struct((pos + F.length(z["fig"])).alias("at"), F.concat(F.array(F.struct(z["fig"].alias("fig"), pos.alias("pos"))), others).alias("recent"), found.alias("found"))
 
-    return F.when(enough, F.exists(hits, full)).otherwise(False)
+    return F.coalesce(F.aggregate(T.figure_gaps(page_text), begin, step)["found"], F.lit(False))
 
 
 def run_count(markdown: Column) -> Column:

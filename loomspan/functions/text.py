@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 SPACE = r"[\s\x1c-\x1f]"
-#: A currency sign, digits with commas, and cents.
+#: Fixed value: a currency sign, digits with commas, and cents.
 MONEY = r"[$€£][0-9][0-9,]*(?:\.[0-9]{2})?"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 #: References that need no table: the rest goes through an Arrow UDF.
@@ -84,14 +84,18 @@ def figures(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({MONEY})"), 1)
 
 
+def figure_gaps(text: Column) -> Column:
+    """(gap, fig) of all money figures: code points since the figure before, and the figure."""
+    between = F.transform(F.split(text, MONEY, -1), F.length)
+    pairs = F.arrays_zip(between.alias("gap"), figures(text).alias("fig"))
+    return F.filter(pairs, lambda z: z["fig"].isNotNull())  # the last gap has no figure after it
+
+
 def figure_positions(text: Column) -> Column:
     """(pos, fig) of all money figures, in code points."""
-    rest = F.split(text, MONEY, -1)
-    figs = figures(text)
-    zipped = F.zip_with(F.slice(rest, F.lit(1), F.size(figs)), figs, lambda r, f: F.struct(F.length(r).alias("gap"), f.alias("fig")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,fig:string>>").alias("out"))
     step = lambda a, z: F.struct((a["at"] + z["gap"] + F.length(z["fig"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + z["gap"]).alias("pos"), z["fig"].alias("fig")))).alias("out"))
-    return F.aggregate(zipped, start, step)["out"]
+    return F.aggregate(figure_gaps(text), start, step)["out"]
 
 
 def lines(text: Column) -> Column:
