@@ -16,6 +16,7 @@ from .functions import guards as G
 from .functions import text as T
 from .functions import urls as U
 from .operators import crawl as C
+from .operators.frontier import Visited, Web
 from .operators import dom, links, robots, scrape as S, search as Q, store
 
 
@@ -146,7 +147,7 @@ def _candidates(responses: DataFrame, url: str, max_urls: int, use_sitemap: bool
 
 
 def crawl(
-    responses: DataFrame,
+    responses: DataFrame | Web,
     start: str,
     *,
     max_pages: int = 30,
@@ -158,39 +159,59 @@ def crawl(
     now: int = 0,
     settings: Settings = Settings(),
 ) -> DataFrame:
-    """``url, depth, outcome, reason, title, markdown, path`` of what a crawl meets, level by level.
+    """``url, depth, outcome, reason, title, markdown, html, path`` of what a crawl meets, level by level.
 
-    Pages are taken in the order of (depth, url) until ``max_pages`` are saved.
+    ``responses`` are dealt out by URL once; a ``Web`` that was written before serves many crawls. A level
+    reads the buckets that hold its frontier, and shuffles no responses. Pages are taken in the order of (depth, url) until ``max_pages`` are saved.
     Robots files are responses for ``<site>/robots.txt``; a young entry (site, body,
     fetched_at) of ``robots_cache`` goes before them.
     """
-    spark = responses.sparkSession
-    web = responses.withColumn("url", U.normalize_url(F.col("url"))).dropDuplicates(["url"])
-    files = web.where(F.endswith("url", F.lit("/robots.txt")) & (F.col("status") == 200)).select(robots.site_of(F.col("url")).alias("site"), F.col("html").alias("body"))
-    if robots_cache is not None:
-        files = store.robots_files(robots_cache, files, ttl_seconds=settings.robots_ttl_seconds, now=now)
+    own = not isinstance(responses, Web)
+    web = Web.write(responses) if own else responses
+    spark = web.spark
+    visited = Visited(spark, ["url"], web.buckets, "visited")
+    try:
+        return _crawl(spark, web, visited, start, max_pages, max_depth, include, exclude, subdomains, robots_cache, now, settings)
+    finally:
+        visited.drop()
+        if own:
+            web.drop()
+
+
+def _robots_files(web: Web, frontier: DataFrame, robots_cache: DataFrame | None, now: int, settings: Settings) -> DataFrame:
+    """``site, body, fetched_at`` of the frontier's sites: young entries of the cache, else the files in the web."""
+    sites = frontier.select(robots.site_of(F.col("url")).alias("site")).distinct()
+    asked = C._cut(sites.withColumn("url", F.concat("site", F.lit("/robots.txt"))))
+    # No file, or one that could not be fetched, allows all; it is remembered as empty.
+    files = web.lookup(asked, asked.count()).select("site", F.when(F.col("status") == 200, F.coalesce("html", F.lit(""))).otherwise("").alias("body"))
+    if robots_cache is None:
+        return files.withColumn("fetched_at", F.lit(now).cast("long"))
+    return store.robots_files(robots_cache.join(sites, "site", "left_semi"), files, ttl_seconds=settings.robots_ttl_seconds, now=now)
+
+
+def _crawl(spark, web, visited, start, max_pages, max_depth, include, exclude, subdomains, robots_cache, now, settings) -> DataFrame:
     first = spark.range(1).select(U.normalize_url(F.lit(start)).alias("url"), F.lower(U.netloc(F.lit(start))).alias("host")).first()
-    frontier = spark.createDataFrame([(first.url, 0)], "url string, depth int")
-    visited = C._cut(frontier.select("url"))
+    frontier = visited.add_new(spark.createDataFrame([(first.url,)], "url string"), 0)
     met, saved = None, 0
     for depth in range(max_depth + 1):
-        got = frontier.join(web, "url", "left").withColumn("error", F.when(F.col("status").isNull(), "no response").otherwise(F.col("error"))).withColumn("status", F.coalesce("status", F.lit(0)))
+        n = frontier.count()
+        if not n:
+            break
+        files = C._cut(_robots_files(web, frontier, robots_cache, now, settings))
+        got = web.lookup(frontier, n).withColumn("error", F.when(F.col("status").isNull(), "no response").otherwise(F.col("error"))).withColumn("status", F.coalesce("status", F.lit(0)))
         got = robots.allowed(S.normalise_responses(got, settings.max_body_bytes), files, settings.user_agent)
         got = got.withColumn("parsed", dom.parsed(F.when(F.col("allowed") & F.col("error").isNull() & (F.col("status") < 400), F.col("html"))))
         got = got.withColumn("markdown", F.col("parsed.markdown")).withColumn("shell", G.needs_render(F.col("html"), F.col("markdown")))
-        got = C._cut(C.outcome(got).withColumn("title", F.coalesce("parsed.title", F.when(U.path(F.col("url")) == "", "/").otherwise(U.path(F.col("url"))))).select("url", "depth", "final_url", "outcome", "reason", "title", "markdown", "html"))
+        got = C._cut(C.outcome(got).withColumn("title", F.coalesce("parsed.title", F.when(U.path(F.col("url")) == "", "/").otherwise(U.path(F.col("url"))))).select("url", "depth", "final_url", "status", "content_type", "via", "outcome", "reason", "title", "markdown", "html"))
         met = got if met is None else met.unionByName(got)
         saved += got.where("outcome = 'saved'").count()
         if depth == max_depth or saved >= max_pages:
             break
         found = links.extract_links(got.where("outcome = 'saved'").withColumn("base", F.coalesce("final_url", "url")), base="base", keys=("url",))
-        step = found.select(F.col("link").alias("url")).distinct().where(U.frontier_ok(F.col("url"), F.lit(first.host), include, exclude, subdomains))
-        frontier = C._cut(step.join(visited, "url", "left_anti").withColumn("depth", F.lit(depth + 1)))
-        if frontier.isEmpty():
-            break
-        visited = visited.unionByName(frontier.select("url"))
+        step = found.select(F.col("link").alias("url")).where(U.frontier_ok(F.col("url"), F.lit(first.host), include, exclude, subdomains))
+        frontier = visited.add_new(step, depth + 1)
     way = F.when(U.path(F.col("url")) == "", "/").otherwise(U.path(F.col("url")))
-    met = met.withColumn("path", way).drop("html")
+    met = met.withColumn("path", way)
     kept = C.index(met.where("outcome = 'saved'"), max_pages=max_pages)
     rest = met.where("outcome <> 'saved'").withColumns({"number": F.lit(None).cast("int"), "file": F.lit(None).cast("string"), "tokens": F.lit(None).cast("long"), "line": F.lit(None).cast("string")})
     return kept.unionByName(rest)

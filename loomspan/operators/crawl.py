@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import shared_dir
+from .frontier import Bucketed, Visited
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -17,22 +18,33 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, *, max_depth: int, key: tuple[str, ...] = ()) -> DataFrame:
+def bfs(edges: DataFrame, seeds: DataFrame, *, max_depth: int, key: tuple[str, ...] = (), buckets: int | None = None) -> DataFrame:
     """``key, url, depth``: what is reached from the seeds by (src, dst) edges within ``max_depth`` steps.
 
     ``seeds`` may carry key columns, so that many crawls run at once; ``edges`` with a
     key column hold for that crawl alone, others for all.
+
+    Edges are dealt out by their source once; a level then shuffles its frontier and what
+    that leads to, never edges or visited rows.
     """
-    keys = list(key)
-    visited = _cut(seeds.select(*keys, "url").distinct().withColumn("depth", F.lit(0)))
-    frontier = visited
-    for depth in range(1, max_depth + 1):
-        step = frontier.select(*keys, F.col("url").alias("src")).join(edges, [*(k for k in keys if k in edges.columns), "src"]).select(*keys, F.col("dst").alias("url")).distinct()
-        frontier = _cut(step.join(visited.select(*keys, "url"), [*keys, "url"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        visited = visited.unionByName(frontier)
-    return visited
+    keys = [*key, "url"]
+    own = [k for k in key if k in edges.columns]
+    spark = seeds.sparkSession
+    ways = Bucketed(spark, [*own, "src"], buckets, "edges")
+    visited = Visited(spark, keys, buckets, "visited")
+    try:
+        ways.append(edges.select(*own, "src", "dst"))
+        frontier = visited.add_new(seeds, 0)
+        for depth in range(1, max_depth + 1):
+            step = frontier.select(*key, F.col("url").alias("src")).join(ways.rows(), [*own, "src"]).select(*key, F.col("dst").alias("url"))
+            frontier = visited.add_new(step, depth)
+            if frontier.isEmpty():
+                break
+        # Read by its path: the result outlives the table's name.
+        return spark.read.schema(visited.rows().schema).parquet(visited.path).select(*keys, "depth")
+    finally:
+        ways.drop()
+        visited.drop()
 
 
 def outcome(pages: DataFrame) -> DataFrame:
@@ -56,6 +68,8 @@ def index(saved: DataFrame, *, max_pages: int, key: tuple[str, ...] = ()) -> Dat
     Where the number of pages is bounded, the first in this order stay, whatever
     the order in which they were fetched.
     """
+    if not key:  # no more than these rows meet in one task
+        saved = saved.orderBy("depth", "url").limit(max_pages)
     w = Window.partitionBy(*key).orderBy("depth", "url")
     rows = saved.withColumn("number", F.row_number().over(w)).where(F.col("number") <= max_pages)
     digits = F.greatest(F.lit(3), F.length(F.col("number").cast("string")))
