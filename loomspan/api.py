@@ -6,6 +6,8 @@ stands for the web: a corpus of fetched pages, a stream, or the live source.
 
 from __future__ import annotations
 
+import os
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,7 +19,8 @@ from .functions import text as T
 from .functions import urls as U
 from .operators import crawl as C
 from .operators.frontier import Visited, Web
-from .operators import dom, links, robots, scrape as S, search as Q, store
+from .operators import dom, links, page_store, robots, scrape as S, search as Q, store
+from .operators.page_store import Home
 
 
 @dataclass(frozen=True)
@@ -29,6 +32,18 @@ class Settings:
     robots_ttl_seconds: int = 86_400
     max_body_bytes: int = S.MAX_BODY_BYTES
     delay_seconds: float = 1.0
+    timeout_seconds: float = 20.0
+
+    @classmethod
+    def from_environment(cls) -> Settings:
+        """LOOMSPAN_UA, LOOMSPAN_TTL (of pages, in seconds) and LOOMSPAN_DELAY, read on each call."""
+        given = {"user_agent": ("LOOMSPAN_UA", str), "page_ttl_seconds": ("LOOMSPAN_TTL", int), "delay_seconds": ("LOOMSPAN_DELAY", float)}
+        return cls(**{field: kind(os.environ[name]) for field, (name, kind) in given.items() if name in os.environ})
+
+
+def home_folder() -> str | None:
+    """The folder of the verbs' tables, where the environment names one (LOOMSPAN_HOME)."""
+    return os.environ.get("LOOMSPAN_HOME")
 
 
 def scrape(
@@ -59,8 +74,12 @@ def scrape(
         hit = store.ttl_read(asked, kept, ttl_seconds=settings.page_ttl_seconds, now=now).withColumn("error", F.lit(None).cast("string")).withColumn("from_cache", F.lit(True))
         judged = S.outcomes(S.with_extraction(hit, include_links), raw=raw)
         good = judged.where(F.col("outcome").isin("content", "raw")).select("url_hash")
+        walled = judged.where(F.col("quality.consent_wall") | F.col("quality.block_wall")).select("url_hash", F.lit(True).alias("replaces"))
         hit = hit.join(good, "url_hash", "left_semi")
-        rows = rows.join(good, "url_hash", "left_anti").unionByName(hit.select(*rows.columns))
+        rows = rows.join(good, "url_hash", "left_anti").unionByName(hit.select(*rows.columns)).join(walled, "url_hash", "left")
+    else:
+        rows = rows.withColumn("replaces", F.lit(False))
+    rows = rows.withColumn("replaces", F.coalesce("replaces", F.lit(False)))
     if rendered is not None:
         own = lambda name, kind: (F.col(name) if name in rendered.columns else F.lit(None)).cast(kind)
         shots = rendered.withColumn("url_hash", U.url_hash(F.col("url"))).select("url_hash", F.col("html").alias("r_html"), F.col("final_url").alias("r_url"), F.coalesce(own("status", "int"), F.lit(200)).alias("r_status"), own("error", "string").alias("r_error")).dropDuplicates(["url_hash"])
@@ -86,7 +105,21 @@ def scrape(
     body = F.when(F.col("outcome") == "json", dom.pretty_json(F.when(F.col("outcome") == "json", F.col("html")))).otherwise(F.col("body"))
     out = out.withColumn("body", body)
     report = F.when(F.col("body").isNotNull(), S.report(F.col("final_url"), F.col("title"), label, F.col("body"), words, max_length)).otherwise(refusal(F.col("outcome"), F.col("url"), F.col("final_url"), F.col("status"), F.col("error"), F.col("content_type")))
-    return out.withColumn("report", report).select("url", "url_hash", "outcome", "from_cache", "report", "body", "title", "html", "final_url", "status", "content_type", "via", "quality")
+    return out.withColumn("report", report).select("url", "url_hash", "outcome", "from_cache", "report", "body", "title", "html", "final_url", "status", "content_type", "via", "quality", "replaces")
+
+
+def scrape_and_store(requests: DataFrame, responses: DataFrame, home: Home, *, now: int, settings: Settings = Settings(), **how) -> DataFrame:
+    """``scrape`` on the store: young pages answer from it, and pages that had to be fetched go into it.
+
+    Walls, shells, errors and raw texts are never stored. A stored wall that made a page be fetched again is
+    replaced whatever its source.
+    """
+    asked = requests.select(U.url_hash(F.col("url")).alias("url_hash"))
+    cache = home.pages.lookup(asked, settings.page_ttl_seconds, now)
+    rows = C._cut(scrape(requests, responses, cache=cache, now=now, settings=settings, **how))
+    fetched = rows.where(~F.col("from_cache") & F.col("outcome").isin("content", "pdf"))
+    home.put_pages(fetched.withColumn("markdown", F.col("body")), now, force="replaces")
+    return rows
 
 
 def refusal(outcome: Column, url: Column, final_url: Column, status: Column, error: Column, content_type: Column) -> Column:
@@ -104,14 +137,37 @@ def refusal(outcome: Column, url: Column, final_url: Column, status: Column, err
     )
 
 
-def extract(requests: DataFrame, responses: DataFrame, *, types: tuple[str, ...] = ("json-ld", "opengraph", "microdata", "tables"), max_rows: int = 100) -> DataFrame:
-    """``url, data``: JSON of the structured data of each requested page, or of its error."""
+KINDS = ("json-ld", "opengraph", "microdata", "tables")
+
+
+def extract(requests: DataFrame, responses: DataFrame, *, cache: DataFrame | None = None, now: int = 0, types: tuple[str, ...] = KINDS, max_rows: int = 100, settings: Settings = Settings()) -> DataFrame:
+    """``url, data``: JSON of the structured data of each requested page, or of its error; young cache entries answer first."""
+    return _extracted(requests, responses, cache, now, types, max_rows, settings).select("url", "data")
+
+
+def _extracted(requests, responses, cache, now, types, max_rows, settings) -> DataFrame:
+    asked = requests.select("url").distinct().withColumn("url_hash", U.url_hash(F.col("url")))
     live = responses.withColumn("url_hash", U.url_hash(F.col("url"))).drop("url").dropDuplicates(["url_hash"])
-    rows = requests.select("url").distinct().withColumn("url_hash", U.url_hash(F.col("url"))).join(live, "url_hash", "left")
-    bad = F.when(F.col("status").isNull(), F.lit("no response")).when(F.col("error").isNotNull(), F.col("error")).when(F.col("status") >= 400, F.concat(F.lit("HTTP "), F.col("status").cast("string")))
+    columns = ["final_url", "status", "content_type", "html", "via", "error"]
+    rows = asked.join(live.select("url_hash", *columns), "url_hash", "left").withColumn("from_cache", F.lit(False))
+    if cache is not None:
+        kept = cache.where("html IS NOT NULL").withColumn("error", F.lit(None).cast("string")).select("url_hash", "fetched_at", *columns)
+        hit = store.ttl_read(asked, kept, ttl_seconds=settings.page_ttl_seconds, now=now).withColumn("from_cache", F.lit(True))
+        rows = rows.join(hit.select("url_hash"), "url_hash", "left_anti").unionByName(hit.select(*rows.columns))
+    bad = F.when(F.col("status").isNull(), F.lit("no response")).when(F.col("error").isNotNull(), F.col("error")).when(~F.col("from_cache") & (F.col("status") >= 400), F.concat(F.lit("HTTP "), F.col("status").cast("string")))
     rows = rows.withColumn("bad", bad).withColumn("parsed", dom.parsed(F.when(F.col("bad").isNull(), F.col("html")), max_rows))
     data = F.when(F.col("bad").isNotNull(), F.to_json(F.struct("url", F.col("bad").alias("error")))).otherwise(S.structured(F.col("parsed"), F.coalesce("final_url", "url"), types))
-    return rows.select("url", data.alias("data"))
+    return rows.withColumn("data", data)
+
+
+def extract_and_store(requests: DataFrame, responses: DataFrame, home: Home, *, now: int, types: tuple[str, ...] = KINDS, max_rows: int = 100, settings: Settings = Settings()) -> DataFrame:
+    """``extract`` on the store: pages that had to be fetched go into it, without a main text, as none was judged."""
+    asked = requests.select(U.url_hash(F.col("url")).alias("url_hash"))
+    cache = home.pages.lookup(asked, settings.page_ttl_seconds, now)
+    rows = C._cut(_extracted(requests, responses, cache, now, types, max_rows, settings).drop("parsed"))
+    none = F.lit(None).cast("string")
+    home.put_pages(rows.where("bad IS NULL AND NOT from_cache").withColumns({"markdown": none, "title": none}), now)
+    return rows.select("url", "data")
 
 
 def map_site(responses: DataFrame, url: str, *, max_urls: int = 200, search: str | None = None, use_sitemap: bool = True, include_subdomains: bool = False) -> DataFrame:
@@ -178,6 +234,21 @@ def crawl(
             web.drop()
 
 
+def crawl_and_store(responses: DataFrame | Web, start: str, home: Home, *, now: int, out_dir: str | None = None, settings: Settings = Settings(), **limits) -> DataFrame:
+    """``crawl`` on the store: young robots entries answer, and the pages saved, robots files read and the crawl itself go into it."""
+    web = responses if isinstance(responses, Web) else Web.write(responses)
+    met = C._cut(crawl(web, start, robots_cache=home.robots.read(), now=now, settings=settings, **limits))
+    saved = met.where("outcome = 'saved'")
+    home.put_pages(saved, now)
+    files = _robots_files(web, met.select("url"), home.robots.read(), now, settings)
+    home.robots.put(files.where(F.col("fetched_at") == now))
+    row = (uuid.uuid4().hex[:16], start, now, saved.count(), out_dir)
+    home.crawls.put(web.spark.createDataFrame([row], page_store.CRAWLS))
+    if web is not responses:
+        web.drop()
+    return met
+
+
 def _robots_files(web: Web, frontier: DataFrame, robots_cache: DataFrame | None, now: int, settings: Settings) -> DataFrame:
     """``site, body, fetched_at`` of the frontier's sites: young entries of the cache, else the files in the web."""
     sites = frontier.select(robots.site_of(F.col("url")).alias("site")).distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROWSER = "playwright"
@@ -21,14 +21,17 @@ def upsert(log: DataFrame, *, key: str = "url_hash", seq: str = "seq", via: str
 
     A write replaces the entry, unless the entry came from a browser, the write
     does not, and it is not forced. So from the last forced write on, the last
-    browser write wins if there is one, else the last write.
+    browser write wins if there is one, else the last write: which it is shows from three
+    maxima, so writes of one key are combined before they meet.
     """
-    w = Window.partitionBy(key)
-    forced = F.when(F.col(force), F.col(seq))
-    ranked = log.withColumn("_begin", F.max(forced).over(w))
-    live = ranked.where(F.col("_begin").isNull() | (F.col(seq) >= F.col("_begin"))).drop("_begin")
-    best = live.groupBy(key).agg(F.max_by(F.struct(*log.columns), F.struct((F.col(via) == BROWSER), F.col(seq))).alias("_row"))
-    return best.select("_row.*")
+    row, browser = F.struct(*log.columns), F.col(via) == BROWSER
+    best = log.groupBy(key).agg(
+        F.max(F.when(F.col(force), F.col(seq))).alias("_forced"),
+        F.max_by(row, F.col(seq)).alias("_last"),
+        F.max_by(row, F.when(browser, F.col(seq))).alias("_browser"),
+    )
+    stands = F.col("_browser").isNotNull() & (F.col("_forced").isNull() | (F.col(f"_browser.{seq}") >= F.col("_forced")))
+    return best.select(F.when(stands, F.col("_browser")).otherwise(F.col("_last")).alias("_row")).select("_row.*")
 
 
 def is_expired(fetched_at: Column, now: int, older_than_seconds: int) -> Column:
