@@ -288,9 +288,13 @@ def _crawl(spark, web, visited, start, max_pages, max_depth, include, exclude, s
     return kept.unionByName(rest)
 
 
-def search(docs: DataFrame, query: str, *, max_results: int = 8, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None, url_col: str | None = None) -> DataFrame:
-    """``rank, id, line``: hits of a query's words over a corpus."""
-    top = Q.search(docs, query.split(), id_col=id_col, text_col=text_col, max_results=max_results)
+def search(docs: DataFrame, query: str, *, max_results: int = 8, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None, url_col: str | None = None, index: Q.Index | None = None) -> DataFrame:
+    """``rank, id, line``: the best documents for a query's words by BM25.
+
+    An ``index`` of the corpus that was written before spares reading texts but those of the hits.
+    """
+    index = index or Q.Index.write(docs, id_col=id_col, text_col=text_col)
+    top = index.search(query, max_results)
     none = F.lit(None).cast("string")
     both = docs.join(F.broadcast(top), docs[id_col] == top["id"])  # max_results rows
     line = Q.result_line(F.col("rank"), F.col(title_col) if title_col else none, F.col(url_col) if url_col else none, none, F.col(text_col))

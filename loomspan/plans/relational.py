@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import guards as G
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import crawl, links, search, store
-from ..session import table
+from ..operators import crawl, links, page_store, search, store
+from ..session import shared_dir, table
 from ..sources import responses
 
 QUERIES: dict = {}
@@ -215,6 +217,18 @@ def store_upsert(spark: SparkSession, d: str) -> DataFrame:
     return store.upsert(_log(spark, d), key="key").select("key", "seq", "via", "kind")
 
 
+@query(f"WITH {_STORE} SELECT key, seq, via, kind FROM held")
+def store_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The same writes in four batches, each changing the buckets of its keys."""
+    log = _log(spark, d)
+    schema = "key long, seq long, via string, kind string"
+    held = page_store.KeyedStore(spark, f"{shared_dir(spark)}/loomspan/store-{uuid.uuid4().hex}", schema, "key", order="seq", fold=page_store.browser_first, buckets=16)
+    last = log.agg(F.max("seq")).first()[0] or 0
+    for k in range(4):
+        held.put(log.where((F.col("seq") > last * k // 4 - (k == 0)) & (F.col("seq") <= last * (k + 1) // 4)), force="force", stream=("log", k))
+    return held.read()
+
+
 def _now(log: DataFrame) -> int:
     return log.agg(F.max("fetched_at")).first()[0]
 
@@ -307,6 +321,23 @@ def corpus_search(spark: SparkSession, d: str) -> DataFrame:
     return search.search(table(spark, d, "documents"), ["tion", "IDIOT"]).withColumn("rank", F.col("rank").cast("long"))
 
 
+_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+
+
+@query(rf"""WITH places AS (SELECT doc_id AS id, unnest({_WORDS}) AS term FROM documents), counts AS (SELECT id, term, count(*) AS tf FROM places GROUP BY ALL),
+ lengths AS (SELECT doc_id AS id, len({_WORDS}) AS n FROM documents), corpus AS (SELECT count(*) AS docs, sum(n) / count(*) AS mean FROM lengths),
+ weights AS (SELECT term, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS w FROM counts, corpus GROUP BY term, docs),
+ asked AS (SELECT DISTINCT item_id AS query_id, unnest({_WORDS}[1:6]) AS term FROM benchmark),
+ scored AS (SELECT query_id, id, round(sum(w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 9) AS score FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN lengths USING (id), corpus GROUP BY query_id, id)
+ SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 5""")
+def search_index(spark: SparkSession, d: str) -> DataFrame:
+    """The best five documents for the first six words of each benchmark item."""
+    index = search.Index.write(table(spark, d, "documents"))
+    first = F.array_join(F.slice(search.words(F.col("text")), 1, 6), " ")
+    found = index.search_many(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), first.alias("text")), max_results=5)
+    return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 @query(r"""SELECT doc_id, '3. ' || CASE WHEN doc_id % 4 = 0 THEN '(untitled)' ELSE source END || ' — ' || CASE WHEN doc_id % 3 = 0 THEN 'https://b.example/' ELSE 'https://a.example/' END
  || CASE WHEN t = '' THEN '' ELSE chr(10) || '   ' || CASE WHEN length(t) > 200 THEN rtrim(substr(t, 1, 199)) || '…' ELSE t END END AS line FROM (SELECT doc_id, source, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)""")
 def search_lines(spark: SparkSession, d: str) -> DataFrame:
