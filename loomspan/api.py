@@ -180,25 +180,34 @@ def map_summary(responses: DataFrame, url: str, *, max_urls: int = 200, search:
     return links.map_summary(_candidates(responses, url, max_urls, use_sitemap), url, search=search, max_urls=max_urls, include_subdomains=include_subdomains)
 
 
+def map_sites(responses: DataFrame, starts: DataFrame, *, max_urls: int = 200, use_sitemap: bool = True, include_subdomains: bool = False) -> DataFrame:
+    """``site, rank, url, source``: the maps of all sites whose ``url`` is in ``starts``, at once."""
+    return links.map_sites(_site_candidates(responses, starts, max_urls, use_sitemap), max_urls=max_urls, include_subdomains=include_subdomains)
+
+
 def _candidates(responses: DataFrame, url: str, max_urls: int, use_sitemap: bool) -> DataFrame:
     """``source, pos, url`` of a site's sitemap and of the links of its page."""
-    spark = responses.sparkSession
-    good = responses.where((F.col("status") == 200) & F.col("html").isNotNull()).withColumn("norm", U.normalize_url(F.col("url")))
-    here = spark.range(1).select(U.normalize_url(F.lit(url)).alias("page"), F.concat(U.scheme(F.lit(url)), F.lit("://"), U.netloc(F.lit(url))).alias("root"), F.regexp_replace(U.path(F.lit(url)), "/+$", "").alias("way")).first()
-    page = good.where(F.col("norm") == here.page)
-    parts = [links.extract_links(page.withColumn("base", F.coalesce("final_url", "url")), base="base", keys=("norm",)).select(F.lit("links").alias("source"), F.col("pos").cast("long").alias("pos"), F.col("link").alias("url"))]
+    return _site_candidates(responses, responses.sparkSession.createDataFrame([(url,)], "url string"), max_urls, use_sitemap).drop("site")
+
+
+def _site_candidates(responses: DataFrame, starts: DataFrame, max_urls: int, use_sitemap: bool) -> DataFrame:
+    """``site, source, pos, url``; a site is the start's URL as it was given."""
+    good = responses.where((F.col("status") == 200) & F.col("html").isNotNull())
+    url = F.col("url")
+    root = F.concat(U.scheme(url), F.lit("://"), U.netloc(url))
+    here = starts.where(url.isNotNull()).select("url").distinct().select(url.alias("site"), U.normalize_url(url).alias("page"), root.alias("root"), F.regexp_replace(U.path(url), "/+$", "").alias("way"))
+    pages = good.withColumn("page", U.normalize_url(url)).join(here.select("site", "page"), "page").withColumn("base", F.coalesce("final_url", "url"))
+    parts = [links.extract_links(pages, base="base", keys=("site",)).select("site", F.lit("links").alias("source"), F.col("pos").cast("long").alias("pos"), F.col("link").alias("url"))]
     if use_sitemap:
-        places = [f"{here.root}/sitemap.xml", *([f"{here.root}{here.way}/sitemap.xml"] if here.way else [])]
-        maps = good.where(F.col("url").isin(places)).select("url", dom.sitemap_locs(F.col("html")).alias("m")).where(F.size("m.locs") > 0).collect()  # two at most
-        found = next((r.m for p in places for r in maps if r.url == p), None)
-        if found is not None:
-            if found.is_index:
-                order = spark.createDataFrame(list(enumerate(found.locs[:20])), "pos long, url string")
-                kids = good.select("url", "html").join(F.broadcast(order), "url").select("pos", dom.sitemap_locs(F.col("html"))["locs"].alias("locs"))
-                kids = links.child_sitemaps(kids, max_urls)
-                parts.append(kids.select(F.col("pos").alias("kid"), F.posexplode("locs").alias("i", "url")).select(F.lit("sitemap").alias("source"), (F.col("kid") * 1_000_000 + F.col("i")).alias("pos"), "url"))
-            else:
-                parts.append(spark.createDataFrame([("sitemap", i, u) for i, u in enumerate(found.locs)], "source string, pos long, url string"))
+        # The root's sitemap, then that of the start's path: the first with a location counts.
+        places = F.array(F.struct(F.lit(0).alias("nth"), F.concat("root", F.lit("/sitemap.xml")).alias("url")), F.struct(F.lit(1).alias("nth"), F.concat("root", "way", F.lit("/sitemap.xml")).alias("url")))
+        asked = here.select("site", "way", F.explode(places).alias("p")).where("p.nth = 0 OR way <> ''").select("site", "p.nth", "p.url")
+        maps = good.select("url", "html").join(asked, "url").select("site", "nth", dom.sitemap_locs(F.col("html")).alias("m")).where(F.size("m.locs") > 0)
+        locs = maps.groupBy("site").agg(F.min_by("m", "nth").alias("m")).select("site", "m.is_index", F.posexplode("m.locs").alias("pos", "url"))
+        parts.append(locs.where("NOT is_index").select("site", F.lit("sitemap").alias("source"), F.col("pos").cast("long").alias("pos"), "url"))
+        kids = good.select("url", "html").join(locs.where("is_index AND pos < 20").select("site", "pos", "url"), "url").select("site", "pos", dom.sitemap_locs(F.col("html"))["locs"].alias("locs"))
+        kids = links.child_sitemaps(kids, max_urls, key=("site",))
+        parts.append(kids.select("site", F.col("pos").alias("kid"), F.posexplode("locs").alias("i", "url")).select("site", F.lit("sitemap").alias("source"), (F.col("kid").cast("long") * 1_000_000 + F.col("i")).alias("pos"), "url"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import api
 from .operators import crawl, page_store, store
-from .sources import responses
+from .sources import sink
 
 
 def parser() -> argparse.ArgumentParser:
@@ -75,7 +75,7 @@ def run(spark: SparkSession, argv: list[str]) -> list[str]:
         host = urlsplit(a.url).netloc.lower()
         if a.out:
             met = crawl._cut(met)
-            responses.write_files(crawl.files(met, host, a.out, time.strftime("%Y-%m-%d")), a.out)
+            sink.write_files(crawl.files(met, host, a.out, time.strftime("%Y-%m-%d")), a.out)
         return [r.line for r in crawl.report(met, host, a.out).orderBy("section", "pos", "path").collect()]
     return [r.line for r in api.search(table, a.query, max_results=a.max_results).orderBy("rank").collect()] or [f"no results for: {a.query}"]
 

@@ -131,7 +131,8 @@ def resolve(base: Column, href: Column) -> Column:
     merged = F.when(F.startswith(way, F.lit("/")), way).otherwise(F.concat(F.when(path(base) == "", "/").otherwise(F.regexp_replace(path(base), "[^/]*$", "")), way))
     base_query = F.when(query(base) != "", F.concat(F.lit("?"), query(base))).otherwise("")
     return (
-        F.when(scheme(ref) != "", ref)
+        F.when((scheme(ref) != "") & (scheme(ref) == scheme(base)), F.concat(scheme(ref), F.regexp_replace(ref, "^[^:]+", "")))
+        .when(scheme(ref) != "", ref)
         .when(F.startswith(ref, F.lit("//")), F.concat(scheme(base), F.lit(":"), ref))
         .when(ref == "", F.regexp_replace(base, "#.*$", ""))
         .when(F.startswith(ref, F.lit("#")), F.concat(root, path(base), base_query, ref))

@@ -320,6 +320,15 @@ def parsed(html: Column, max_rows: int = 100, include_links: bool = False) -> Co
     return F.from_json(run(html), PARSED)
 
 
+def hrefs(body: bytes | str | None) -> list[str]:
+    """Values of all ``a href`` attributes in page order."""
+    return [a.attrs["href"].strip() for a in tree(decode(body)).find("a") if "href" in a.attrs]
+
+
+def html_tables(body: bytes | str | None, max_rows: int = 100) -> list[dict]:
+    return tables(tree(decode(body)), max_rows)
+
+
 def sitemap(body: bytes | str | None) -> dict:
     """Locations of a sitemap and whether it is an index; nothing for malformed or entity-defining XML."""
     raw = body.encode() if isinstance(body, str) else bytes(body or b"")

@@ -197,6 +197,28 @@ def child_sitemaps(spark: SparkSession, d: str) -> DataFrame:
     return links.child_sitemaps(kids, max_urls=200).select("pos", F.size("locs").cast("long").alias("n_locs"))
 
 
+_HOST = r"regexp_extract(url, '^https?://([^/?#]+)', 1)"
+
+
+@query(f"""WITH kids AS (SELECT {_HOST} AS h, page_id, page_id % 7 + 1 AS n, row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) AS nth FROM pages),
+ read AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY h ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM kids WHERE nth <= 20),
+ locs AS (SELECT h, nth, unnest(range(n)) AS i, page_id FROM read WHERE before < 24)
+ SELECT * FROM (SELECT 'https://' || h || '/' AS site, CAST(row_number() OVER (PARTITION BY h ORDER BY nth, i) AS INTEGER) AS rank, 'https://' || h || '/p' || page_id || '/' || i AS url, 'sitemap' AS source FROM locs) WHERE rank <= 12""")
+def map_sites(spark: SparkSession, d: str) -> DataFrame:
+    """Every host of the pages has an index of sitemaps with a child for each of its pages."""
+    from .. import api
+
+    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
+    kids = table(spark, d, "pages").select(host.alias("h"), "page_id")
+    root, name = F.concat(F.lit("https://"), F.col("h")), F.concat(F.lit("https://"), F.col("h"), F.lit("/s"), F.col("page_id").cast("string"), F.lit(".xml"))
+    loc = lambda i: F.concat(F.lit("<url><loc>"), root, F.lit("/p"), F.col("page_id").cast("string"), F.lit("/"), i.cast("string"), F.lit("</loc></url>"))
+    child = F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("page_id") % 7), loc), ""), F.lit("</urlset>"))
+    entries = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", name.alias("n")))), lambda x: F.concat(F.lit("<sitemap><loc>"), x["n"], F.lit("</loc></sitemap>"))), "")
+    index = kids.groupBy("h").agg(F.concat(F.lit("<sitemapindex>"), entries, F.lit("</sitemapindex>")).alias("html")).select(F.concat(root, F.lit("/sitemap.xml")).alias("url"), "html")
+    web = kids.select(name.alias("url"), child.alias("html")).unionByName(index).withColumns({"status": F.lit(200), "final_url": F.col("url")})
+    return api.map_sites(web, kids.select(F.concat(root, F.lit("/")).alias("url")), max_urls=12)
+
+
 # ---- the store
 
 _LOG = "SELECT event_id AS seq, user_id AS key, event_type AS kind, CASE WHEN event_id % 5 = 0 THEN 'playwright' ELSE 'httpx' END AS via, event_id % 17 = 0 AS force, CAST(floor(epoch(ts)) AS BIGINT) AS fetched_at FROM events"

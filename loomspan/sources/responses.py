@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import time
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions import urls as U
+from ..operators.robots import effective_delay
+
 SCHEMA = "url string, final_url string, status int, content_type string, html string, via string, error string"
 
 
@@ -43,21 +48,54 @@ class _HttpReader(DataSourceReader):
         return [_Url(us) for us in hosts.values()]
 
     def read(self, partition):
-        import urllib.error
-        import urllib.request
-
         for u in partition.urls:
-            request = urllib.request.Request(u, headers={"User-Agent": self.agent})
-            try:
-                with urllib.request.urlopen(request, timeout=self.timeout) as r:
-                    body = r.read(self.cap + 1)
-                    kind = r.headers.get("content-type", "").split(";")[0].strip().lower()
-                    big = len(body) > self.cap
-                    yield (u, r.url, r.status, kind, None if big else body.decode("utf-8", "replace"), "http", f"response too large (>{self.cap} bytes)" if big else None)
-            except urllib.error.HTTPError as e:
-                yield (u, u, e.code, "", None, "http", None)
-            except Exception as e:  # a source reports its failures as rows
-                yield (u, u, 0, "", None, "http", f"{type(e).__name__}: {e}")
+            yield get(u, self.agent, self.timeout, self.cap)
+
+
+def get(url: str, agent: str, timeout: float, cap: int) -> tuple:
+    """One response as a row; failures are rows too, and reading stops as soon as a body is over the cap."""
+    import urllib.error
+    import urllib.request
+
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": agent}), timeout=timeout) as r:
+            kind = r.headers.get("content-type", "").split(";")[0].strip().lower()
+            parts, size = [], 0
+            while size <= cap and (part := r.read(min(1 << 16, cap + 1 - size))):
+                parts.append(part)
+                size += len(part)
+            big = size > cap
+            return (url, r.url, r.status, kind, None if big else b"".join(parts).decode("utf-8", "replace"), "http", f"response too large (>{cap} bytes)" if big else None)
+    except urllib.error.HTTPError as e:
+        return (url, url, e.code, "", None, "http", None)
+    except Exception as e:  # a source reports its failures as rows
+        return (url, url, 0, "", None, "http", f"{type(e).__name__}: {e}")
+
+
+def fetch(urls: DataFrame, *, agent: str = "loomspan/1.0", delay_seconds: float = 1.0, timeout_seconds: float = 20.0, max_bytes: int = 5 * 1024 * 1024, tasks: int | None = None) -> DataFrame:
+    """Fetch the ``url`` of each row, as responses; a ``crawl_delay`` column holds what robots files ask for.
+
+    All URLs of a host go to one task, which waits between two requests to it for the longer of ``delay_seconds``
+    and the host's own delay (10 seconds at most); other hosts of the task are asked meanwhile, a URL each in turn.
+    """
+    delay = F.col("crawl_delay") if "crawl_delay" in urls.columns else F.lit(None)
+    wait = effective_delay(delay.cast("double"), delay_seconds)
+    rows = urls.where(F.col("url").isNotNull()).select("url", F.lower(U.netloc(F.col("url"))).alias("host"), wait.alias("wait"))
+    # The n-th URL of each host before any n+1-th, so that the waits of hosts overlap.
+    turn = F.row_number().over(Window.partitionBy("host").orderBy("url"))
+    dealt = rows.withColumn("turn", turn).repartition(tasks or 64, "host").sortWithinPartitions("turn", "host")
+
+    def run(batches):
+        last: dict[str, float] = {}
+        for batch in batches:
+            for url, host, pause in zip(batch["url"], batch["host"], batch["wait"]):
+                if host in last:
+                    time.sleep(max(0.0, last[host] + pause - time.monotonic()))
+                row = get(url, agent, timeout_seconds, max_bytes)
+                last[host] = time.monotonic()
+                yield pd.DataFrame([row], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    return dealt.mapInPandas(run, SCHEMA)
 
 
 class HttpSource(DataSource):
@@ -102,25 +140,3 @@ def write_pages(rows: DataFrame, path: str, body: str = "body") -> None:
 
     name = F.substring(url_hash(F.col("url")), 1, 12)
     rows.select(name.alias("copy"), F.col(body).alias("markdown"), F.substring(name, 1, 2).alias("part")).write.mode("overwrite").partitionBy("part").parquet(path)
-
-
-def write_files(rows: DataFrame, folder: str) -> None:
-    """Write (file, content) rows as files of a folder that all executors reach.
-
-    A file appears under its name when it is whole, so a task that is run again
-    writes the same file once more.
-    """
-    def put(part):
-        import uuid
-
-        from pyarrow import fs
-
-        there, root = fs.FileSystem.from_uri(folder)
-        there.create_dir(root, recursive=True)
-        for r in part:
-            mine = f"{root}/.{r.file}.{uuid.uuid4().hex}"
-            with there.open_output_stream(mine) as out:
-                out.write((r.content or "").encode())
-            there.move(mine, f"{root}/{r.file}")
-
-    rows.select("file", "content").foreachPartition(put)
