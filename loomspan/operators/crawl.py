@@ -95,6 +95,7 @@ def front_matter(url, title, day, tokens):
 def report(met: DataFrame, host: str, out_dir: str | None = None) -> DataFrame:
     """``section, pos, path, line`` of a crawl's summary: counts, folder, index lines, then errors."""
     t = totals(met)
+    # The labels of the summary.
     head = F.concat(F.lit(f"crawl: {host}  pages: "), F.col("pages").cast("string"), F.lit("  errors: "), F.col("errors").cast("string"), F.lit("  skipped(robots/dupe/type): "), F.col("skipped").cast("string"))
     lines = [head] if out_dir is None else [head, F.lit(f"dir: {out_dir}")]
     top = t.select(F.posexplode(F.array(*lines)).alias("pos", "line")).select(F.lit(0).alias("section"), F.col("pos").cast("long").alias("pos"), F.lit("").alias("path"), "line")

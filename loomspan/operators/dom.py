@@ -320,6 +320,16 @@ def parsed(html: Column, max_rows: int = 100, include_links: bool = False) -> Co
     return F.from_json(run(html), PARSED)
 
 
+def variants(page: Column) -> Column:
+    """The structured data of a parse (``parsed``) with JSON as VARIANT values, which are read by path and type without parsing again."""
+    return F.struct(
+        F.transform(page["json_ld"], F.try_parse_json).alias("json_ld"),
+        page["opengraph"].alias("opengraph"),
+        F.try_parse_json(page["microdata"]).alias("microdata"),
+        page["tables"].alias("tables"),
+    )
+
+
 def hrefs(body: bytes | str | None) -> list[str]:
     """Values of all ``a href`` attributes in page order."""
     return [a.attrs["href"].strip() for a in tree(decode(body)).find("a") if "href" in a.attrs]

@@ -160,6 +160,20 @@ def structured_data(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(f"""WITH {_ROWS} SELECT s_suppkey, 'Organization' AS ld_type, s_name AS ld_name, s_name AS micro_name, CAST(NULL AS BIGINT) AS missing, len(rows) AS n_rows FROM prices""")
+def structured_variant(spark: SparkSession, d: str) -> DataFrame:
+    p = _supplier_pages(spark, d).select("s_suppkey", dom.variants(dom.parsed(F.col("html"))).alias("v"))
+    first = F.get("v.json_ld", F.lit(0))
+    return p.select(
+        "s_suppkey",
+        F.try_variant_get(first, "$['@type']", "string").alias("ld_type"),
+        F.try_variant_get(first, "$.name", "string").alias("ld_name"),
+        F.try_variant_get("v.microdata", "$[0].properties.name", "string").alias("micro_name"),
+        F.try_variant_get(first, "$.name", "bigint").alias("missing"),
+        F.size(F.get("v.tables", F.lit(0))["rows"]).cast("bigint").alias("n_rows"),
+    )
+
+
 @query(f"""WITH {_ROWS} SELECT s_suppkey, CAST(to_json({{url: 'https://shop.example/s/' || s_suppkey, opengraph: {{"og:title": s_name, "og:type": 'product'}}}}) AS VARCHAR) AS picked,
  CAST(to_json({{url: 'https://shop.example/s/' || s_suppkey, json_ld: [{{"@type": 'Organization', name: s_name}}], opengraph: {{"og:title": s_name, "og:type": 'product'}},
   microdata: [{{properties: {{name: s_name}}, type: 'http://schema.org/Organization'}}], tables: [{{caption: 'Prices', headers: ['Part', 'Price'], rows: rows, truncated: false}}]}}) AS VARCHAR) AS whole,
