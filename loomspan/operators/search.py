@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.urls import once
 from ..session import shared_dir
 
 #: Words of texts and queries: runs of letters and digits, in lower case.
@@ -36,13 +37,15 @@ class Index:
         """Index the words of ``docs``; a null or wordless text counts as a document without words."""
         spark = docs.sparkSession
         path = (path or f"{shared_dir(spark)}/loomspan/index-{uuid.uuid4().hex}").rstrip("/")
-        own = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"))
-        # Occurrences are added up where the text is before they are dealt out.
-        places = own.select("id", F.size("words").cast("long").alias("n_words"), F.explode("words").alias("term"))
-        counts = places.groupBy("id", "n_words", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        own = docs.select(F.col(id_col).alias("id"), once(F.sort_array(words(F.col(text_col)))).alias("words"))
+        # A document's distinct words and where the run of each ends in their order: so occurrences are counted within the row.
+        ends = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.coalesce(F.get("words", x["i"] + 1) != x["w"], F.lit(True)))
+        runs = own.select("id", F.size("words").alias("n_words"), once(ends).alias("ends"))
+        tf = F.transform("ends", lambda x, k: F.struct(x["w"].alias("term"), (x["i"] - F.coalesce(F.get("ends", k - 1)["i"], F.lit(-1))).alias("tf")))
+        counts = runs.select("id", "n_words", F.inline(tf))
         bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-        dealt = counts.withColumn("bucket", bucket).repartition("bucket", "term").sortWithinPartitions("bucket", "term", "id")
-        dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
+        dealt = counts.repartition(bucket, "term").withColumn("bucket", bucket).sortWithinPartitions("bucket", "term", "id")
+        dealt.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
         total = own.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.size("words")), F.lit(0)).cast("long").alias("n_words"))
         total.withColumn("buckets", F.lit(buckets)).coalesce(1).write.parquet(f"{path}/totals")  # one row
         return cls.open(spark, path, docs.schema[id_col].dataType.simpleString())
@@ -52,7 +55,7 @@ class Index:
         path = path.rstrip("/")
         r = spark.read.parquet(f"{path}/totals").first()
         out = cls(spark, path, r.buckets, r.n_docs, r.n_words)
-        out.schema = f"id {id_type}, n_words long, term string, tf int, bucket int"
+        out.schema = f"id {id_type}, n_words int, term string, tf int, bucket int"
         return out
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
