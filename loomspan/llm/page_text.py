@@ -26,7 +26,7 @@ a page's lines travel as 64-bit hashes; its text meets the decisions once.
 Defined cases: null or empty HTML gives the empty text; a null URL has no host and
 no partner; repeated rows with one page id give a row each, aligned with the same
 partner; other columns, of whatever name, are ignored; an empty table gives no rows. A
-page is parsed whole in one task, without recursion.
+page is parsed whole in one task, without recursion and in time linear in its length.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from __future__ import annotations
 import bisect
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -61,7 +62,10 @@ NAMED = re.compile(
 #: Names that an author's own sections have too.
 OPEN = re.compile(_NAMES.format(r"banner|promo\w*|notices?|share|social|related|widget"), re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_START = re.compile(r"<!--|<[!?]|<(/?)[a-zA-Z]")
+_NAME_END = re.compile(r"[^\s/>]*+")
+_ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+_QUOTED = re.compile(r"\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: A start tag of the first closes an open one of the second.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -107,31 +111,88 @@ def _state(tag: str, attributes: str, state: int) -> int:
     return state
 
 
+class _Tags:
+    """The tags of a page, in linear time however many never end.
+
+    A tag that finds no end leaves its quoted stretches: another whose attributes begin outside of these goes the same
+    way to the same end. A place is outside quotes, or within one of two kinds, so at most three such ways are kept.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = source.rfind(">")
+        self.name = (0, 0)  # the last name read
+        self.dead: list[tuple[list[int], list[int]]] = []  # begins and ends of quotes
+
+    def _name_end(self, at: int) -> int:
+        if not self.name[0] <= at < self.name[1]:  # else the rest of that name
+            self.name = (at, _NAME_END.match(self.source, at).end())
+        return self.name[1]
+
+    def _lost(self, at: int) -> bool:
+        for begins, ends in self.dead:
+            i = bisect.bisect_right(begins, at) - 1
+            if i < 0 or begins[i] == at or ends[i] <= at:
+                return True
+        return False
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(begin, end, whether it closes, name, attributes) of the next tag; comments and declarations have no name."""
+        while m := _START.search(self.source, at):
+            begin = m.start()
+            if m[0] == "<!--":
+                end = self.source.find("-->", m.end())
+                return begin, end + 3 if end >= 0 else len(self.source), False, "", ""
+            if begin > self.last:  # only a comment needs no end
+                begin = self.source.find("<!--", begin)
+                if begin < 0:
+                    return None
+                at = begin
+                continue
+            if m[1] is None:
+                return begin, self.source.index(">", begin) + 1, False, "", ""
+            named = self._name_end(m.end() - 1)
+            if not self._lost(named):
+                end = _ATTRIBUTES.match(self.source, named).end()
+                if end < len(self.source) and self.source[end] == ">":
+                    return begin, end + 1, bool(m[1]), self.source[m.end() - 1 : named].lower(), self.source[named:end]
+                quotes = [q.span() for q in _QUOTED.finditer(self.source, named)]
+                self.dead.append(([q[0] for q in quotes], [q[1] for q in quotes]))
+            at = m.end()
+        return None
+
+
 def page_lines(source: str | None) -> list[Line]:
     """The lines of a page, in page order, with what the markup says of each."""
     page, stack = _Page(), []  # of (tag, state around it)
+    open_tags: Counter[str] = Counter()
     state = ASKED
-    at, n = 0, len(source or "")
     source = source or ""
+    tags = _Tags(source)
+    at, n = 0, len(source)
+
+    def pop() -> tuple[str, int]:
+        open_tags[stack[-1][0]] -= 1
+        return stack.pop()
+
     while at < n:
-        m = _TAG.search(source, at)
-        if m is None:
-            rest = source[at:]
-            cut = re.search(r"<[a-zA-Z/!?]", rest)  # a tag that never ends
-            page.parts.append(rest[: cut.start()] if cut else rest)
+        found = tags.after(at)
+        if found is None:
+            cut = re.compile(r"<[a-zA-Z/!?]").search(source, at)  # a tag that never ends
+            page.parts.append(source[at : cut.start()] if cut else source[at:])
             break
-        if m.start() > at:
-            page.parts.append(source[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+        begin, end, closes, tag, attributes = found
+        if begin > at:
+            page.parts.append(source[at:begin])
+        at = end
         if not tag:
             continue
-        if m[1]:
-            if any(t == tag for t, _ in stack):
+        if closes:
+            if open_tags[tag]:
                 if tag in BLOCKS:
                     page.end_block(state)
                 while stack:
-                    t, before = stack.pop()
+                    t, before = pop()
                     if t in BLOCKS:
                         page.end_block(state)
                     state = before
@@ -141,7 +202,7 @@ def page_lines(source: str | None) -> list[Line]:
                 page.end_block(state)
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
+            if not attributes.rstrip().endswith("/"):
                 close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
                 at = close.end() if close else n
             continue
@@ -150,13 +211,14 @@ def page_lines(source: str | None) -> list[Line]:
         for t in CLOSES.get(tag, ()):
             if stack and any(x == t for x, _ in stack[-3:]):
                 while stack and stack[-1][0] != t and stack[-1][0] not in BLOCKS:
-                    state = stack.pop()[1]
+                    state = pop()[1]
                 if stack and stack[-1][0] == t:
-                    state = stack.pop()[1]
-        if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCKS:
+                    state = pop()[1]
+        if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCKS:
             continue
         stack.append((tag, state))
-        state = _state(tag, m[3], state)
+        open_tags[tag] += 1
+        state = _state(tag, attributes, state)
     page.end_block(state)
     return page.lines
 

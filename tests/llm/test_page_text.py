@@ -1,5 +1,6 @@
 import html as H
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -40,6 +41,21 @@ def test_lines(source, want):
     assert lines(source) == want
 
 
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a ' \" ", "<a<a", "<!", '<a" ', "<div>", "<div></p></span>", "</p><b "])
+@pytest.mark.parametrize("end", ["", ">", '/ ">', "' x>", "<!--"])
+def test_hostile_pages_take_linear_time(piece, end):
+    source = piece * (500_000 // len(piece)) + end
+    began = time.perf_counter()
+    page_text.page_lines(source)
+    assert time.perf_counter() - began < 5
+
+
+def test_tags_after_one_that_never_ends():
+    assert lines('<p>a<a title="x <b>c</b> <p>d') == [("a<a title=\"x c", 0), ("d", 0)]
+    assert lines("<p>a <a <!-- > --> b") == [("a --> b", 0)]  # a tag that does end, as a browser reads it
+    assert lines("<p>a <b 'x <i \" <u>c") == [("a <b 'x <i \" c", 0)]
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
