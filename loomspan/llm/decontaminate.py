@@ -15,9 +15,10 @@ its range is empty. Occurrences are located by LF steps to a sampled suffix:
 every SAMPLE-th place and every run's begin. Removal spans are the union of the
 words covered by occurrences.
 
-The benchmark is a query set: it is read in blocks of at most ``block_items`` items and
-about ``block_bytes`` of text, of which the driver holds one at a time, and each block
-makes one pass over the documents. With several blocks, all search the original
+The benchmark is a query set: it is read in blocks of at most ``block_items`` items,
+about ``block_bytes`` of text and ``block_words`` words, of which the driver holds one at a
+time. A block's phrases are broadcast, some 20 bytes a word, and make one pass over the
+documents. With several blocks, all search the original
 texts; what they find is written (texts with hits only), merged by the text's two hashes,
 and given to each row with that text, so the number of blocks changes no result. No
 document is shuffled for a single block.
@@ -36,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,41 +48,96 @@ SAMPLE = 8
 SHARD_BYTES = 1 << 20
 BLOCK_ITEMS = 50_000
 BLOCK_BYTES = 32 << 20
+BLOCK_WORDS = 5_000_000
+SLICE = 1 << 17
 
 
 class Phrases:
-    """Distinct phrases as rows of symbols (1 and up), and the items that hold each."""
+    """Distinct phrases of a block of items as places in its text of symbols (1 and up), and the items that hold each.
+
+    A word costs some 20 bytes, whatever the window's width. Windows are sorted by a hash and
+    compared word for word with the one before, so none is taken for another; should two of one
+    hash be mixed up in the order, a phrase is listed twice, which changes no result.
+    """
+
+    FILTER_BITS = 22
 
     def __init__(self, items: list[tuple[int, str]], window: int):
         self.window = window
-        ids = np.array([i for i, _ in items], np.int64)
+        items = sorted(items, key=lambda x: x[0])
+        self.ids = np.array([i for i, _ in items], np.int64)
         data, offsets = utf8(pa.array([t for _, t in items], pa.string()))
-        h, _, _, first = word_hashes(data, offsets, ALNUM_WORDS)
+        parts, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i, j in chunks(offsets, SHARD_BYTES):
+            h, _, _, first = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM_WORDS)
+            parts.append(h)
+            n.append(np.diff(first))
+        n = np.concatenate(n)
+        h = np.concatenate(parts)
+        del parts, data, offsets
         self.vocabulary = np.unique(h)
-        symbols = np.searchsorted(self.vocabulary, h) + 1
-        self.filter_bits = 22
-        self.filter = np.zeros(1 << self.filter_bits, bool)
-        self.filter[(self.vocabulary & np.uint64((1 << self.filter_bits) - 1)).astype(np.int64)] = True
-        n = np.diff(first)
+        self.text = np.empty(len(h), np.int32)
+        for i in range(0, len(h), SLICE):
+            self.text[i : i + SLICE] = np.searchsorted(self.vocabulary, h[i : i + SLICE]) + 1
+        del h
         k = np.where(n >= window, n - window + 1, (n > 0).astype(np.int64))
-        item = np.repeat(np.arange(len(n)), k)
-        start = ragged(first[:-1], k)
-        length = np.minimum(window, n)[item]
-        rows = np.zeros((len(item), window), np.int64)  # aligned at the right, zeros before
-        for j in range(window):
-            has = j < length
-            rows[has, window - 1 - j] = symbols[(start + length - 1 - j)[has]]
-        self.rows, inverse = np.unique(rows, axis=0, return_inverse=True)
-        self.lengths = (self.rows > 0).sum(axis=1)
-        pairs = np.unique(np.stack([inverse.ravel(), ids[item]], 1), axis=0) if len(item) else np.zeros((0, 2), np.int64)
-        self.item_of = pairs[:, 1]
-        self.item_at = np.searchsorted(pairs[:, 0], np.arange(len(self.rows) + 1))
-        self.shortest = int(self.lengths.min()) if len(self.rows) else 0
+        item = np.repeat(np.arange(len(n), dtype=np.int32), k)
+        length = np.minimum(window, n).astype(np.min_scalar_type(-window - 1))[item]
+        ends = (ragged(np.cumsum(n) - n, k) + (length - 1)).astype(np.int32)
+        key = np.empty(len(ends), np.uint64)
+        for i in range(0, len(ends), SLICE):
+            key[i : i + SLICE] = self._hashes(ends[i : i + SLICE], length[i : i + SLICE])
+        order = np.argsort(key, kind="stable")  # the items of one phrase stay in the order of their ids
+        ends, length, item = ends[order], length[order], item[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = key[order[1:]] != key[order[:-1]]
+        del key, order
+        same = np.flatnonzero(~fresh)
+        for i in range(0, len(same), SLICE):
+            at = same[i : i + SLICE]
+            fresh[at] = (self._symbols(ends[at], length[at]) != self._symbols(ends[at - 1], length[at - 1])).any(axis=1)
+        pair = fresh.copy()
+        pair[1:] |= self.ids[item[1:]] != self.ids[item[:-1]]
+        self.ends, self.lengths = ends[fresh], length[fresh]
+        self.item_of = item[pair]
+        self.item_at = np.append(np.flatnonzero(fresh[pair]), len(self.item_of)).astype(np.int32)
+        self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
+        self._filter = None
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+    def _symbols(self, ends: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """A row of symbols for each window, aligned at the right, zeros before."""
+        back = np.arange(self.window - 1, -1, -1)
+        rows = self.text[np.maximum(ends[:, None] - back, 0)]
+        rows[back >= lengths[:, None]] = 0
+        return rows
+
+    def _hashes(self, ends: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        rows = self._symbols(ends, lengths)
+        out = np.zeros(len(rows), np.uint64)
+        for j in range(self.window):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + np.where(rows[:, j] > 0, self.vocabulary[rows[:, j] - 1], np.uint64(0))
+        return out
+
+    def rows(self, i: int, j: int) -> np.ndarray:
+        """The phrases from ``i`` to ``j``."""
+        return self._symbols(self.ends[i:j], self.lengths[i:j])
+
+    def items(self, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many items hold each phrase, and their ids one after the other."""
+        k = (self.item_at[who + 1] - self.item_at[who]).astype(np.int64)
+        return k, self.ids[self.item_of[ragged(self.item_at[who].astype(np.int64), k)]]
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
         """A symbol for each word hash, 0 for words that no item has."""
+        mask = np.uint64((1 << self.FILTER_BITS) - 1)
+        if self._filter is None:  # made where it is used
+            self._filter = np.zeros(1 << self.FILTER_BITS, bool)
+            self._filter[(self.vocabulary & mask).astype(np.int64)] = True
         out = np.zeros(len(h), np.int64)
-        may = np.flatnonzero(self.filter[(h & np.uint64((1 << self.filter_bits) - 1)).astype(np.int64)])
+        may = np.flatnonzero(self._filter[(h & mask).astype(np.int64)])
         at = np.searchsorted(self.vocabulary, h[may])
         at[at == len(self.vocabulary)] = 0
         same = self.vocabulary[at] == h[may]
@@ -191,7 +248,7 @@ def search_shard(phrases: Phrases, h: np.ndarray, first: np.ndarray) -> tuple[np
     none = np.zeros(0, np.int64)
     symbol = phrases.symbols(h)
     inside = symbol > 0
-    if not len(phrases.rows) or not inside.any():
+    if not len(phrases) or not inside.any():
         return none, none
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
@@ -211,14 +268,23 @@ def search_shard(phrases: Phrases, h: np.ndarray, first: np.ndarray) -> tuple[np
     keep[ends] = False
     text[keep] = symbol[words[keep]]
     index = FMIndex(text, len(phrases.vocabulary))
-    who, lo, hi = index.search(phrases.rows)
-    places = index.locate(ragged(lo, hi - lo))
-    return np.repeat(who, hi - lo), words[places]
+    found, places = [none], [none]
+    for i in range(0, len(phrases), SLICE):
+        who, lo, hi = index.search(phrases.rows(i, i + SLICE))
+        found.append(np.repeat(who + i, hi - lo))
+        places.append(index.locate(ragged(lo, hi - lo)))
+    return np.concatenate(found), words[np.concatenate(places)]
+
+
+def _sent(docs: DataFrame, block: list[tuple[int, str]], window: int) -> Broadcast:
+    """The phrases of a block, whose size has a bound; a worker unpacks them once, not once a task."""
+    return docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
 
 
-def _finder(phrases: Phrases, shard_bytes: int):
+def _finder(sent: Broadcast, shard_bytes: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+        phrases = sent.value
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for i, j in chunks(offsets, shard_bytes):
@@ -238,10 +304,10 @@ def _rows(doc, phrases, data, offsets, lo, hi, first, who, word) -> pa.RecordBat
     hit = np.cumsum(edge[:-1]) > 0
     hits = np.concatenate([[0], np.cumsum(hit)])
     row = np.searchsorted(first, word, side="right") - 1
-    pair = np.unique(row * len(phrases.rows) + who)
-    row, who = pair // max(1, len(phrases.rows)), pair % max(1, len(phrases.rows))
-    k = phrases.item_at[who + 1] - phrases.item_at[who]
-    both = np.unique(np.stack([np.repeat(row, k), phrases.item_of[ragged(phrases.item_at[who], k)]], 1), axis=0)
+    pair = np.unique(row * len(phrases) + who)
+    row, who = pair // max(1, len(phrases)), pair % max(1, len(phrases))
+    k, ids = phrases.items(who)
+    both = np.unique(np.stack([np.repeat(row, k), ids], 1), axis=0)
     items = pa.ListArray.from_arrays(pa.array(np.searchsorted(both[:, 0], np.arange(n + 1)).astype(np.int32)), pa.array(both[:, 1], pa.int64()))
     begin = np.flatnonzero(hit & ~np.r_[False, hit[:-1]] | hit & np.isin(np.arange(len(hit)), first))
     last = np.flatnonzero(hit & ~np.r_[hit[1:], False] | hit & np.isin(np.arange(len(hit)) + 1, first))
@@ -256,17 +322,21 @@ def _rows(doc, phrases, data, offsets, lo, hi, first, who, word) -> pa.RecordBat
 FOUND = "n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long,first_word:long,end_word:long>>"
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, items: int, size: int) -> Iterator[list[tuple[int, str]]]:
-    """Blocks of the benchmark; none is empty."""
-    rows = benchmark.select(F.col(id_col).cast("long"), text_col).where(f"`{id_col}` is not null and `{text_col}` is not null").dropDuplicates()
+#: Words, before letters are folded.
+A_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, items: int, size: int, words: int) -> Iterator[list[tuple[int, str]]]:
+    """Blocks of the benchmark; none is empty. Each keeps all three bounds, or is one item."""
+    rows = benchmark.select(F.col(id_col).cast("long"), text_col, F.regexp_count(text_col, F.lit(A_WORD))).where(f"`{id_col}` is not null and `{text_col}` is not null").dropDuplicates()
     block: list[tuple[int, str]] = []
-    held = 0
+    held = held_words = 0
     for r in rows.toLocalIterator():  # a partition at a time
-        if block and (len(block) >= items or held + len(r[1]) > size):
+        if block and (len(block) >= items or held + len(r[1]) > size or held_words + r[2] > words):
             yield block
-            block, held = [], 0
+            block, held, held_words = [], 0, 0
         block.append((r[0], r[1]))
-        held += len(r[1])
+        held, held_words = held + len(r[1]), held_words + r[2]
     if block:
         yield block
 
@@ -289,25 +359,27 @@ def _of_blocks(docs: DataFrame, text_col: str, first: list, second: list, blocks
     rows = docs.select(_text_key(text_col).alias("key"), F.col(text_col).alias("text"))
     every = None
     for n, block in enumerate(itertools.chain([first, second], blocks)):
-        part = rows.mapInArrow(_finder(Phrases(block, window), shard_bytes), f"key {TEXT_KEY}, {FOUND}")
+        sent = _sent(docs, block, window)
+        part = rows.mapInArrow(_finder(sent, shard_bytes), f"key {TEXT_KEY}, {FOUND}")
         # Each text's words are counted once, with the first block; of the others only hits matter.
         part = part if n == 0 else part.where("n_hit > 0")
         part = materialise(part.dropDuplicates(["key"]), "hits")
+        sent.unpersist()
         every = part if every is None else every.unionByName(part)
     return every.groupBy("key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.expr(MERGED).alias("spans"))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES, block_words: int = BLOCK_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``doc_id, n_words, n_hit, items, spans``: a row for each row of ``docs``.
 
     ``items`` are the ids of items with occurring phrases; ``spans`` are the
     merged removal spans, in code points (``start``, ``end``) and in words.
     """
-    blocks = _blocks(benchmark, item_col, item_text_col, block_items, block_bytes)
+    blocks = _blocks(benchmark, item_col, item_text_col, block_items, block_bytes, block_words)
     first, second = next(blocks, []), next(blocks, None)
     if second is None:
         kind = dict(docs.dtypes)[doc_col]
-        found = docs.select(F.col(doc_col).alias("key"), F.col(text_col)).mapInArrow(_finder(Phrases(first, window), shard_bytes), f"key {kind}, {FOUND}")
+        found = docs.select(F.col(doc_col).alias("key"), F.col(text_col)).mapInArrow(_finder(_sent(docs, first, window), shard_bytes), f"key {kind}, {FOUND}")
         return found.withColumnRenamed("key", doc_col)
     out = _of_blocks(docs, text_col, first, second, blocks, window, shard_bytes)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end_word"] - s["first_word"])
@@ -327,10 +399,11 @@ def _replaced(batch: pa.RecordBatch, at: int, texts: dict[int, str]) -> pa.Array
     return pa.array(values, column.type)
 
 
-def _remover(phrases: Phrases, at: int, shard_bytes: int):
+def _remover(sent: Broadcast, at: int, shard_bytes: int):
     """Cuts what occurs of the phrases."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = sent.value
         for batch in batches:
             data, offsets = utf8(batch.column(at))
             texts: dict[int, str] = {}
@@ -368,7 +441,7 @@ def _span_remover(at: int):
     return cut
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text_col: str = "text", length_col: str | None = "n_chars", item_col: str = "item_id", item_text_col: str = "text", block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text_col: str = "text", length_col: str | None = "n_chars", item_col: str = "item_id", item_text_col: str = "text", block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES, block_words: int = BLOCK_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with the removal spans cut out of the texts; no row goes.
 
     What any block finds in the original text is cut, all at once. A single block's cuts
@@ -377,10 +450,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text_col:
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # so that no column's name clashes
     at = names.index(text_col)
-    blocks = _blocks(benchmark, item_col, item_text_col, block_items, block_bytes)
+    blocks = _blocks(benchmark, item_col, item_text_col, block_items, block_bytes, block_words)
     first, second = next(blocks, []), next(blocks, None)
     if second is None:
-        out = plain.mapInArrow(_remover(Phrases(first, window), at, shard_bytes), plain.schema) if first else plain
+        out = plain.mapInArrow(_remover(_sent(docs, first, window), at, shard_bytes), plain.schema) if first else plain
     else:
         hits = materialise(_of_blocks(plain, f"c{at}", first, second, blocks, window, shard_bytes).where("size(spans) > 0").select("key", "spans"), "cuts")
         out = plain.join(hits, _text_key(f"c{at}") == F.col("key"), "left").select(*plain.columns, "spans").mapInArrow(_span_remover(at), plain.schema)

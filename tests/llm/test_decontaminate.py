@@ -1,5 +1,8 @@
 import hashlib
+import pickle
+import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -55,14 +58,14 @@ def test_small_cases(spark, options):
     assert run(spark, DOCS, ITEMS, **options) == brute(DOCS, items)
 
 
-@pytest.mark.parametrize("options", [{"block_items": 1}, {"block_items": 2}, {"block_bytes": 40}])
+@pytest.mark.parametrize("options", [{"block_items": 1}, {"block_items": 2}, {"block_bytes": 40}, {"block_words": 1}, {"block_words": 14}])
 def test_blocks_of_items(spark, options):
     """Repeated rows, equal ids and null ids and texts, whatever the blocks."""
     items = [x for x in ITEMS if x[0] is not None]
     assert run(spark, DOCS, ITEMS, **options) == brute(DOCS, items)
 
 
-@pytest.mark.parametrize("options", [{}, {"block_items": 1}, {"block_items": 2}, {"block_bytes": 1}])
+@pytest.mark.parametrize("options", [{}, {"block_items": 1}, {"block_items": 2}, {"block_bytes": 1}, {"block_words": 12}])
 def test_removal_is_the_same_for_any_blocks(spark, options):
     letters = [chr(97 + i) for i in range(18)]
     items = [(1, " ".join(letters[2:12])), (2, " ".join(letters[6:16])), (3, "zz yy")]
@@ -123,3 +126,44 @@ def test_blocks_change_nothing(spark):
     cut = sorted(map(key, decontaminate.remove(docs, items, length_col=None).collect()))
     assert sorted(map(key, decontaminate.remove(docs, items, length_col=None, block_items=1).collect())) == cut
     assert any(" ".join(w[:5]) in x and "w17" not in x and "w23" not in x for x in cut)
+
+
+def test_phrases_of_a_block_are_small():
+    """A block of 32 MB at this rate: under 300 MB in the driver, under 100 MB to send."""
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(50_000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=100))) for i in range(6_400)]
+    size = sum(len(t) for _, t in items) / (32 << 20)
+    tracemalloc.start()
+    phrases = decontaminate.Phrases(items, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    fixed = 12 * decontaminate.SLICE * 8 * 3  # slices of rows, whatever the block
+    assert peak < size * (300 << 20) + fixed
+    assert len(pickle.dumps(phrases, 5)) < size * (100 << 20)
+    assert len(phrases) > 500_000
+
+
+@pytest.mark.parametrize("window", [1, 3, 10, 127, 128, 300])
+@pytest.mark.parametrize("same_hash", [False, True])
+def test_phrases_and_their_items(monkeypatch, window, same_hash):
+    """Each distinct window once or, where hashes collide, more often; never two taken for one."""
+    if same_hash:
+        monkeypatch.setattr(decontaminate.Phrases, "_hashes", lambda self, ends, lengths: np.zeros(len(ends), np.uint64))
+    rng = random.Random(window)
+    items = [(rng.randint(0, 9), " ".join(rng.choices("abc", k=rng.choice([0, 1, 2, 9, 12, 150, 310])))) for _ in range(30)]
+    phrases = decontaminate.Phrases(items, window)
+    want = {}
+    for i, t in items:
+        w = t.split()
+        for j in range(max(1, len(w) - window + 1) if w else 0):
+            want.setdefault(tuple(w[j : j + window]), set()).add(i)
+    word = {int(s): c for c in "abc" for s in phrases.symbols(decontaminate.word_hashes(np.frombuffer(c.encode(), np.uint8), np.array([0, 1]), decontaminate.ALNUM_WORDS)[0])}
+    got = {}
+    rows = phrases.rows(0, len(phrases))
+    k, ids = phrases.items(np.arange(len(phrases)))
+    for row, n, own in zip(rows, phrases.lengths, np.split(ids, np.cumsum(k)[:-1])):
+        assert (row > 0).sum() == n and len(set(own.tolist())) == len(own)
+        got.setdefault(tuple(word[int(s)] for s in row if s), set()).update(own.tolist())
+    assert got == want
+    assert same_hash or len(phrases) == len(want)
