@@ -86,17 +86,21 @@ class Index:
         top = total.orderBy(F.desc("score"), "id").limit(max_results)
         return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # max_results rows
 
-    def search_many(self, queries: DataFrame, *, query_id: str = "query_id", text: str = "text", max_results: int = 8) -> DataFrame:
+    def search_many(self, queries: DataFrame, *, query_id: str = "query_id", text: str = "text", max_results: int = 8, salts: int = 32) -> DataFrame:
         """``query_id, id, score, rank`` for a table of queries, all at once.
 
-        Postings are joined with the queries by term; a query's scores are added by document before they are ranked.
+        Postings are joined with the queries by term and one of ``salts`` parts of the documents, so a
+        common term's postings meet its queries in as many tasks, and the queries' rows are repeated ``salts`` times.
+        A query's scores are added by document before they are ranked.
         """
         asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
         asked = asked.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
         found = self.postings().join(asked.select("term", "bucket").distinct(), ["bucket", "term"], "left_semi")
         weights = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", self.weight(F.col("df")).alias("weight"))
-        scored = found.join(weights, "term").select("term", "id", self.score(F.col("tf"), F.col("n_words"), F.col("weight")).alias("s"))
-        total = scored.join(asked.select("query_id", "term"), "term").groupBy("query_id", "id").agg(F.round(F.sum("s"), DIGITS).alias("score"))
+        asked = asked.select("query_id", "term").join(weights, "term").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        found = found.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+        scored = found.join(asked, ["term", "salt"]).select("query_id", "id", self.score(F.col("tf"), F.col("n_words"), F.col("weight")).alias("s"))
+        total = scored.groupBy("query_id", "id").agg(F.round(F.sum("s"), DIGITS).alias("score"))
         ranked = total.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
         return ranked.where(F.col("rank") <= max_results)
 

@@ -43,6 +43,18 @@ def test_equals_brute_force(spark, tmp_path):
     assert many == [(q, i + 1, d) for q, t in ((1, "tree sun"), (2, "moon")) for i, (d, _) in enumerate(bm25(docs, t, 4))]
 
 
+def test_a_common_term_is_dealt_over_parts(spark, tmp_path):
+    """The same ranks for any number of parts, and no task joins a common term alone."""
+    docs = [(i, "the " * (i % 7 + 1) + f"w{i % 50}") for i in range(2000)]
+    index = search.Index.write(spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path / "index"), buckets=4)
+    queries = spark.createDataFrame([(q, f"the w{q}") for q in range(20)], "query_id int, text string")
+    got = {n: sorted(map(tuple, index.search_many(queries, salts=n).collect())) for n in (1, 3, 32)}
+    assert got[1] == got[3] == got[32] and len(got[1]) == 20 * 8
+    assert sorted(d for q, d, _, _ in got[1] if q == 5) == sorted(d for d, _ in bm25(docs, "the w5", 8))
+    plan = index.search_many(queries)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner, .*term#\d+ = term#\d+.* = salt#\d+", plan)
+
+
 def test_a_query_reads_its_terms_alone(spark, tmp_path):
     index = search.Index.write(spark.createDataFrame(corpus(), "doc_id long, text string"), str(tmp_path / "index"), buckets=16)
     rows = index.postings(["tree"])
