@@ -34,10 +34,14 @@ def normalise_responses(df: DataFrame, max_bytes: int = MAX_BODY_BYTES) -> DataF
     return out.withColumn("html", F.when(~big, F.col("html")))
 
 
-def with_extraction(df: DataFrame, include_links: bool = False, max_rows: int = 100) -> DataFrame:
-    """Adds ``parsed`` (the page's parse) for responses that a parse is wanted of."""
+#: What ``outcomes`` reads of a parse.
+JUDGED = ("markdown", "title")
+
+
+def with_extraction(df: DataFrame, include_links: bool = False, max_rows: int = 100, fields: tuple[str, ...] = tuple(dom.FIELDS)) -> DataFrame:
+    """Adds ``parsed`` (the page's parse, or ``fields`` of it) for responses that a parse is wanted of."""
     want = (route(F.col("content_type")) == "html") & F.col("error").isNull() & (F.col("status") < 400)
-    return df.withColumn("parsed", dom.parsed(F.when(want, F.col("html")), max_rows, include_links))
+    return df.withColumn("parsed", dom.parsed(F.when(want, F.col("html")), max_rows, include_links, fields))
 
 
 def prefer_rendered(fetched: DataFrame, rendered: DataFrame, key: str = "url") -> DataFrame:
@@ -74,7 +78,8 @@ def outcomes(df: DataFrame, raw: bool = False) -> DataFrame:
         code = code.when(F.col("page_text") == "", "raw_empty").otherwise("raw")
     else:
         code = code.when(shell, "shell").when(F.col("quality.consent_wall"), "consent_wall").when(F.col("quality.block_wall"), "blocked_extracted").otherwise("content")
-    rows = rows.withColumn("outcome", code)
+    # A filter by outcome stays above the parse, which would else be made twice.
+    rows = rows.withColumn("outcome", U.once(code))
     body = F.when(F.col("outcome").isin("raw", "plain"), F.when(F.col("outcome") == "raw", F.col("page_text")).otherwise(html)).when(F.col("outcome") == "content", markdown)
     if "pdf_text" in df.columns:
         body = body.when(F.col("outcome") == "pdf", F.col("pdf_text"))
