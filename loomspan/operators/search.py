@@ -16,6 +16,10 @@ WORD = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
 #: Scores are compared after rounding, so that the order of a sum decides no rank.
 DIGITS = 9
+#: Rows that one task sorts or adds up; with more rows there are more tasks.
+TASK_ROWS = 1 << 20
+#: Rows of the queries' words, one for each part of the documents, that are sent to the postings; more are joined by a shuffle.
+SENT = 1 << 18
 
 
 def words(text: Column) -> Column:
@@ -23,7 +27,7 @@ def words(text: Column) -> Column:
 
 
 class Index:
-    """Postings (term, id, tf, n_words) in buckets by the hash of their term, sorted by term.
+    """Postings (term, id, tf, n_words) in buckets by the hash of their term, in files sorted by term.
 
     A query reads the buckets of its own terms alone, and in them the row groups that
     hold these terms. ``n_docs`` and ``n_words`` are those of the corpus when the index was written.
@@ -43,11 +47,13 @@ class Index:
         runs = own.select("id", F.size("words").alias("n_words"), once(ends).alias("ends"))
         tf = F.transform("ends", lambda x, k: F.struct(x["w"].alias("term"), (x["i"] - F.coalesce(F.get("ends", k - 1)["i"], F.lit(-1))).alias("tf")))
         counts = runs.select("id", "n_words", F.inline(tf))
-        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-        dealt = counts.repartition(bucket, "term").withColumn("bucket", bucket).sortWithinPartitions("bucket", "term", "id")
-        dealt.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
         total = own.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.size("words")), F.lit(0)).cast("long").alias("n_words"))
         total.withColumn("buckets", F.lit(buckets)).coalesce(1).write.parquet(f"{path}/totals")  # one row
+        # A bucket is cut into slices of its documents, so that no task's rows grow with the corpus, even those of one term.
+        slices = -(-max(1, spark.read.parquet(f"{path}/totals").first().n_words) // (buckets * TASK_ROWS))
+        bucket, part = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"), F.pmod(F.xxhash64("id"), F.lit(slices))
+        dealt = counts.withColumn("bucket", bucket).repartition(buckets * slices, "bucket", part).sortWithinPartitions("bucket", "term", "id")
+        dealt.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
         return cls.open(spark, path, docs.schema[id_col].dataType.simpleString())
 
     @classmethod
@@ -89,17 +95,29 @@ class Index:
     def search_many(self, queries: DataFrame, *, query_id: str = "query_id", text: str = "text", max_results: int = 8, salts: int = 32) -> DataFrame:
         """``query_id, id, score, rank`` for a table of queries, all at once.
 
-        Postings are joined with the queries by term and one of ``salts`` parts of the documents, so a
-        common term's postings meet its queries in as many tasks, and the queries' rows are repeated ``salts`` times.
-        A query's scores are added by document before they are ranked.
+        Postings are joined with the queries by term and one of ``salts`` parts of the documents (more in a large corpus),
+        so a common term's postings meet its queries in as many tasks, and the queries' rows are repeated ``salts`` times.
+        Few of them are sent to the postings. The queries' words and their weights are written first, so the number of
+        scores is known, and as many tasks add them up as keep each at some TASK_ROWS.
         """
         asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
-        asked = asked.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
-        found = self.postings().join(asked.select("term", "bucket").distinct(), ["bucket", "term"], "left_semi")
-        weights = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", self.weight(F.col("df")).alias("weight"))
-        asked = asked.select("query_id", "term").join(weights, "term").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        found = found.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-        scored = found.join(asked, ["term", "salt"]).select("query_id", "id", self.score(F.col("tf"), F.col("n_words"), F.col("weight")).alias("s"))
+        terms = asked.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
+        df = self.postings().join(terms, ["bucket", "term"], "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        path = f"{shared_dir(self.spark)}/loomspan/asked-{uuid.uuid4().hex}"
+        asked.join(df, "term").withColumn("weight", self.weight(F.col("df"))).write.parquet(path)
+        asked = self.spark.read.schema(f"query_id {queries.schema[query_id].dataType.simpleString()}, term string, df long, weight double").parquet(path)
+        size = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("df"), F.lit(0)).alias("scores")).first()
+        least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        tasks = max(least, -(-size.scores // TASK_ROWS))
+        salts = max(salts, -(-self.n_docs // TASK_ROWS))
+        own = asked.select("query_id", "term", "weight").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        found = self.postings().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+        if size.n * salts <= SENT:
+            own = F.broadcast(own)
+        else:
+            found = found.join(terms, ["bucket", "term"], "left_semi").repartition(max(least, -(-self.n_words // TASK_ROWS)), "term", "salt")
+        met = found.join(own, ["term", "salt"])
+        scored = met.select("query_id", "id", self.score(F.col("tf"), F.col("n_words"), F.col("weight")).alias("s")).repartition(tasks, "query_id", "id")
         total = scored.groupBy("query_id", "id").agg(F.round(F.sum("s"), DIGITS).alias("score"))
         ranked = total.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
         return ranked.where(F.col("rank") <= max_results)

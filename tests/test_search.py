@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from loomspan import api
 from loomspan.operators import search
 
@@ -55,6 +57,24 @@ def test_a_common_term_is_dealt_over_parts(spark, tmp_path):
     assert re.search(r"Join Inner, .*term#\d+ = term#\d+.* = salt#\d+", plan)
 
 
+def test_tasks_grow_with_the_corpus(spark, tmp_path, monkeypatch):
+    """No task sorts or adds up more rows in a larger corpus, and the ranks stay the same, by a broadcast or a shuffle."""
+    docs = [(i, "the " * (i % 7 + 1) + f"w{i % 50}") for i in range(2000)]
+    frame, queries = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(q, f"the w{q}") for q in range(20)], "query_id int, text string")
+    want = sorted(map(tuple, search.Index.write(frame, str(tmp_path / "whole"), buckets=4).search_many(queries).collect()))
+    monkeypatch.setattr(search, "TASK_ROWS", 500)
+    index = search.Index.write(frame, str(tmp_path / "slices"), buckets=4)
+    files = index.postings().where("term = 'the'").groupBy(F.input_file_name()).count().collect()
+    assert len(files) >= 3 and max(r["count"] for r in files) < 2000
+    for sent in (search.SENT, 0):
+        monkeypatch.setattr(search, "SENT", sent)
+        ranked = index.search_many(queries)
+        plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+        tasks = [int(n) for n in re.findall(r"RepartitionByExpression \[query_id#\d+, id#\d+L?\], (\d+)", plan)]
+        assert tasks and tasks[0] >= 20 * 2000 // 500
+        assert sorted(map(tuple, ranked.collect())) == want
+
+
 def test_a_query_reads_its_terms_alone(spark, tmp_path):
     index = search.Index.write(spark.createDataFrame(corpus(), "doc_id long, text string"), str(tmp_path / "index"), buckets=16)
     rows = index.postings(["tree"])
