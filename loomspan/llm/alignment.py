@@ -7,9 +7,11 @@ minimal groups, and a union-find over it finds them. A component's links are exp
 
 Neither tokenizer joins what lies on both sides of a single space between two other
 characters: A splits before such a space, and no piece of B holds a space after another character
-(checked when the vocabulary is read; if one did, texts would not be cut). So a text is
-cut there into units, each distinct unit is encoded, aligned and expanded once while it stays in a
-worker's cache, and the rest is gathering.
+(checked when the vocabulary is read; if one did, texts would not be cut). Where A splits words as
+GPT-2 does and no piece of B holds a Latin letter before a mark or any line feed, texts are also cut between
+such a letter and an ASCII mark and before a line feed between two visible characters: words are
+units then, whatever follows them. Each distinct unit is encoded, aligned and expanded once while it stays in a
+worker's cache, and the rest is gathering. A full cache keeps the units that were met again.
 
 Counts of pairs are added up in blocks of documents first. A block keeps its documents
 as numbers of its own units, and its distinct pairs with their counts; only pairs
@@ -25,6 +27,8 @@ table gives no rows; columns besides the two named are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -43,8 +47,8 @@ from .textbuf import cache, chunks, ragged, release, utf8
 #: Bytes of text in a block, but for a longer document.
 BLOCK_BYTES = 8 << 20
 #: Distinct units, and bytes of them, that a worker keeps.
-CACHE_UNITS = 200_000
-CACHE_BYTES = 16 << 20
+CACHE_UNITS = 400_000
+CACHE_BYTES = 32 << 20
 #: Longer units are encoded each time.
 KEPT_UNIT = 64
 #: A single space between two characters that are neither white space nor U+2581.
@@ -53,6 +57,16 @@ CUT = re.compile(r"(?<=[^\s▁])(?= [^\s▁])")
 _LEADS2, _LEADS3 = 0xC2, (0xE1, 0xE2, 0xE3)
 _WHITE = np.zeros(256, bool)
 _WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+#: Letters of ASCII, and first bytes of U+00C0 to U+017F, letters but for two; marks of ASCII; bytes of what is surely visible, its first and its last.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_LATIN, _NOT_LATIN = np.zeros(256, bool), (0x97, 0xB7)
+_LATIN[[0xC3, 0xC4, 0xC5]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[0x21:0x7F] = True
+_LETTER_MARK = re.compile(r"[A-Za-zÀ-ÖØ-öø-ſ][!-/:-@\[-`{-~]")
 #: Units that are encoded in one call, as the text that they make.
 TOGETHER = 500
 BLOCK = (
@@ -100,6 +114,19 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def cut(data: np.ndarray, fine: bool) -> np.ndarray:
+    """Where units begin in the bytes of even texts, each behind its space: at spaces and, if ``fine``, at marks and line feeds (see above)."""
+    begins = data == 0x20
+    if fine and len(data):
+        latin = np.zeros(len(data), bool)  # last bytes of such letters
+        latin[1:] = _LATIN[data[:-1]] & (data[1:] >= 0x80) & ~((data[:-1] == 0xC3) & np.isin(data[1:], _NOT_LATIN))
+        begins[1:] |= (_LETTER[data[:-1]] | latin[:-1]) & _MARK[data[1:]]
+        feed = np.flatnonzero(data[1:-1] == 0x0A) + 1
+        feed = feed[(_VISIBLE[data[feed - 1]] | latin[feed - 1]) & (_VISIBLE[data[feed + 1]] | _LATIN[data[feed + 1]])]
+        begins[feed] = True
+    return np.flatnonzero(begins)
+
+
 def uneven(texts: pa.Array) -> np.ndarray:
     """Which texts have a space at an end or beside what may be white space or U+2581; in others each space is a cut."""
     data, offsets = utf8(texts)
@@ -115,6 +142,12 @@ def uneven(texts: pa.Array) -> np.ndarray:
     return out
 
 
+def odd(unit: str) -> bool:
+    """Whether what stands beside a unit could change its tokens: it ends, or begins behind its space or line feed, with white space or U+2581."""
+    begin = unit[1:2] if unit[0] in " \n" else unit[0]
+    return not begin or begin == "▁" or unit[-1] == "▁" or begin.isspace() or unit[-1].isspace()
+
+
 class Aligner:
     """Encodes and aligns the distinct units of texts."""
 
@@ -135,12 +168,20 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(size)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
+        # GPT-2's split has words of letters alone, so one ends before a mark, and white space between visible characters stands alone.
+        rules = json.loads(self.a.to_str())
+        split = rules["pre_tokenizer"] or {}
+        self.fine = self.cuts and rules["normalizer"] is None and all(t["special"] for t in rules["added_tokens"]) and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+        named = lambda i: self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_byte(i)
+        self.fine &= not any("\n" in p or _LETTER_MARK.search(p) for i, p in enumerate(pieces) if not named(i))
         self.len_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.len_b = np.array([len(x) for x in self.bytes_b], np.int64)
         self.reset()
 
     def reset(self) -> None:
         self.known: dict[str, int] = {}
+        #: How often each unit was met.
+        self.met = np.zeros(1024, np.int64)
         self.bytes = 0
         self.texts: list[str] = []
         #: Of each unit: tokens of A and B, groups, links; -1 links where bytes are not given back.
@@ -150,38 +191,55 @@ class Aligner:
         self.first = np.zeros(1025, np.int64)
 
     def units(self, text: str) -> list[str]:
-        """Units of a text, without the space that each begins with."""
-        return [u[1:] for u in CUT.split(" " + text)] if self.cuts else [text]
+        """Units of a text, each with the space that it begins with."""
+        return CUT.split(" " + text) if self.cuts else [" " + text]
+
+    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A and of B of a text that begins with a space."""
+        a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return np.array(a, np.int32), np.array(self.b.encode(text[1:], num_threads=1), np.int32)
 
     def encode(self, units: list[str]) -> tuple[list[np.ndarray], ...]:
-        """Of units: whether both sides give the bytes back; ids of A and of B laid end to end, and how many each unit has."""
-        raw = [b" " + u.encode() for u in units]
-        even = np.fromiter((u != "" and u[0] not in " ▁" and not u[0].isspace() and u[-1] != "▁" and not u[-1].isspace() for u in units), bool, len(units))
-        flat, counts, good = [], [], np.ones(len(units), bool)
-        # Even units, one after the other, make a text whose units they are.
-        if self.cuts and even.all():
-            ids_a = np.array(self.a.encode(b"".join(raw).decode(), add_special_tokens=False).ids, np.int32)
-            ids_b = np.array(self.b.encode(" ".join(units), num_threads=1), np.int32)
-            ends = np.cumsum([len(r) for r in raw])
-            whole = True
-            for ids, table, size in ((ids_a, self.bytes_a, self.len_a), (ids_b, self.bytes_b, self.len_b)):
-                whole &= b"".join(map(table.__getitem__, ids.tolist())) == b"".join(raw)
-                after = np.searchsorted(np.cumsum(size[ids]), ends, side="right")
-                flat.append(ids)
-                counts.append(np.diff(after, prepend=0))
+        """Of one unit or some that are not ``odd``: whether both sides give the bytes back; ids of A and of B laid end to end, and how many each unit has."""
+        raw = [u.encode() for u in units]
+        joins = np.fromiter((u[0] in " \n" for u in units), bool, len(units))
+        good = np.ones(len(units), bool)
+        # Units, one after the other, make a text whose units they are: it begins with " a", and a unit that begins
+        # with neither space nor line feed stands behind a line feed. What was added is a token of its own, and goes.
+        if len(units) > 1 or units[0][0] != " ":
+            text = " a" + "".join(u if j else "\n" + u for u, j in zip(units, joins))
+            own = text.encode()
+            lengths = np.insert(np.fromiter(map(len, raw), np.int64, len(raw)), np.flatnonzero(~joins), 1)
+            place = np.arange(len(units)) + np.cumsum(~joins)  # of units among the parts, without the first
+            ends = np.cumsum(np.r_[2, lengths])
+            flat, counts, whole = [], [], True
+            for ids, table, width in zip(self.ids(text), (self.bytes_a, self.bytes_b), (self.len_a, self.len_b)):
+                until = np.cumsum(width[ids])
+                after = np.searchsorted(until, ends, side="right")
+                whole &= b"".join(map(table.__getitem__, ids.tolist())) == own and bool((np.r_[0, until][after] == ends).all())
+                n = np.diff(after, prepend=0)
+                keep = np.zeros(len(n), bool)
+                keep[place + 1] = True
+                flat.append(ids[np.repeat(keep, n)] if whole else ids)
+                counts.append(n[keep])
             if whole:
                 return good, *flat, *counts
         if len(units) > 1:
             half = len(units) // 2
             return tuple(np.concatenate(x) for x in zip(self.encode(units[:half]), self.encode(units[half:])))
-        ids_a, ids_b = self.a.encode(" " + units[0], add_special_tokens=False).ids, self.b.encode(units[0], num_threads=1)
-        good = [b"".join(map(t.__getitem__, ids)) == raw[0] for t, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))]
-        ids_a, ids_b = (ids_a, ids_b) if all(good) else ([], [])
-        return np.array([all(good)]), np.array(ids_a, np.int32), np.array(ids_b, np.int32), np.array([len(ids_a)]), np.array([len(ids_b)])
+        ids_a, ids_b = self.ids(units[0])
+        good = [units[0][0] == " ", *(b"".join(map(t.__getitem__, ids.tolist())) == raw[0] for t, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b)))]
+        ids_a, ids_b = (ids_a, ids_b) if all(good) else (ids_a[:0], ids_b[:0])
+        return np.array([all(good)]), ids_a, ids_b, np.array([len(ids_a)]), np.array([len(ids_b)])
 
     def aligned(self, units: list[str]):
         """What ``encode`` gives, links between the ids and each link's group."""
-        parts = [self.encode(units[k : k + TOGETHER]) for k in range(0, len(units), TOGETHER)]
+        parts, k = [], 0
+        alone = [*(k for k, u in enumerate(units) if not self.cuts or odd(u)), len(units)]
+        for n in alone:  # one that is odd ends each run
+            parts += [self.encode(units[i : min(i + TOGETHER, n)]) for i in range(k, n, TOGETHER)]
+            parts += [self.encode(units[n : n + 1])] if n < len(units) else []
+            k = n + 1
         good, a, b, n_a, n_b = (np.concatenate(x) for x in zip(*parts))
         return good, a, b, n_a, n_b, *align(np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b]))
 
@@ -195,6 +253,7 @@ class Aligner:
         at = len(self.texts)
         while at + len(units) > len(self.sizes):
             self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
             self.first = np.concatenate([self.first, np.zeros(len(self.first) - 1, np.int64)])
         used = int(self.first[at])
         while used + len(i) > len(self.pairs):
@@ -217,25 +276,50 @@ class Aligner:
     def full(self) -> bool:
         return len(self.texts) > CACHE_UNITS or self.bytes > CACHE_BYTES
 
+    def shrink(self) -> None:
+        """Keep the units that were met most, and more than once: half of what a full cache holds, at most."""
+        names, at = list(self.known), np.fromiter(self.known.values(), np.int64, len(self.known))
+        size = np.fromiter((len(u) + len(self.texts[k]) for u, k in self.known.items()), np.int64, len(at))
+        order = np.argsort(-self.met[at], kind="stable")[: CACHE_UNITS // 2]
+        order = order[(np.cumsum(size[order]) <= CACHE_BYTES // 2) & (self.met[at[order]] > 1)]
+        own, n_pairs = at[order], self.first[at[order] + 1] - self.first[at[order]]
+        old_texts, sizes, met, pairs = self.texts, self.sizes[own], self.met[own] // 2, self.pairs[ragged(self.first[own], n_pairs)]
+        self.reset()
+        self.texts, self.bytes = [old_texts[k] for k in own.tolist()], int(size[order].sum())
+        self.known = {names[k]: i for i, k in enumerate(order.tolist())}
+        spare = lambda x, n: np.concatenate([x, np.zeros((n, *x.shape[1:]), x.dtype)])
+        self.sizes, self.met, self.pairs = spare(sizes, 1024), spare(met, 1024), spare(pairs, 4096)
+        self.first = spare(np.concatenate([[0], np.cumsum(n_pairs)]), 1024)
+
     def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the units of all texts, and how many each text has."""
         apart = uneven(texts) if self.cuts else np.ones(len(texts), bool)
-        lists = pc.split_pattern(pc.if_else(pa.array(apart), "", texts) if apart.any() else texts, " ")
-        counts, words = pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten().dictionary_encode()
+        whole = pc.if_else(pa.array(apart), "", texts) if apart.any() else texts
+        data, offsets = utf8(pc.binary_join_element_wise("", whole, " "))
+        begins = cut(data, self.fine)
+        counts = np.diff(np.searchsorted(begins, offsets))
+        ends = pa.py_buffer(np.append(begins, len(data)))
+        words = pa.LargeStringArray.from_buffers(len(begins), ends, pa.py_buffer(data)).dictionary_encode()
         names, place = words.dictionary.to_pylist(), words.indices.to_numpy()
         rest = np.flatnonzero(apart)
         split = [self.units(t) for t in texts.take(pa.array(rest)).to_pylist()]
         known = self.known
-        new = [u for u in dict.fromkeys([*names, *(u for us in split for u in us)]) if u not in known]
+        of_name = np.fromiter(map(known.get, names, itertools.repeat(-1)), np.int64, len(names))
+        fresh = np.flatnonzero(of_name < 0)
+        of_name[fresh] = len(self.texts) + np.arange(len(fresh))  # as they are learnt
+        new = [names[k] for k in fresh.tolist()]
+        own = set(new)
+        new += [u for u in dict.fromkeys(u for us in split for u in us) if u not in known and u not in own]
         for k in range(0, len(new), 20_000):
             self.learn(new[k : k + 20_000])
-        at = np.fromiter(map(known.__getitem__, names), np.int64, len(names))[place]
+        at = of_name[place]
         if len(rest):
             parts = np.split(at, np.cumsum(counts)[:-1])
             for r, us in zip(rest.tolist(), split):
                 parts[r] = np.fromiter(map(known.__getitem__, us), np.int64, len(us))
                 counts[r] = len(us)
             at = np.concatenate(parts)
+        self.met[: len(self.texts)] += np.bincount(at, minlength=len(self.texts))
         for u in new:  # long ones are not asked for again
             if len(u) > KEPT_UNIT:
                 del known[u]
@@ -318,7 +402,7 @@ def _blocks(path_a: str, path_b: str, block_bytes: int):
             for i, j in chunks(offsets, 1 << 20):
                 if block is None:
                     if own.full:
-                        own.reset()
+                        own.shrink()
                     block = _Block(own)
                 block.add(docs.slice(i, j - i), texts.slice(i, j - i))
                 if block.bytes >= block_bytes or own.full:

@@ -136,3 +136,39 @@ def test_the_cache_starts_anew(spark, own, monkeypatch):
             aligner.reset()
         at, _ = aligner.numbers(pa.array([text]))
         assert ";".join(aligner.texts[k] for k in at) == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in by_hand(own, text))
+
+
+def words_and_marks():
+    rng = random.Random(12)
+    parts = ["word", "don't", "we're", "é", "Où", "×", "e\u0301", "x", "7", "ß", ".", ",", "'", "!!", "_", ").", "\n", "\n\n", "\r", "\t", " ", "  ", "|", "</s>", "▁", "日", "\xa0", "ſ", "Ā", "'s", "\n "]
+    return ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+
+
+def test_words_are_units_whatever_follows_them(own):
+    aligner = alignment.Aligner(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    _, counts = aligner.numbers(pa.array(["word word, word. word! être? word", "word\nword (word\nword) être"]))
+    assert counts.tolist() == [10, 6] and sorted(aligner.known) == sorted([" word", ",", ".", "!", " être", "?", "\nword", " (word", ")"])
+    texts = words_and_marks()
+    at, counts = aligner.numbers(pa.array(texts))
+    for text, units in zip(texts, np.split(at, np.cumsum(counts)[:-1])):
+        bad = (aligner.sizes[units, 3] < 0).any()
+        got = "" if bad else ";".join(aligner.texts[k] for k in units)
+        assert got == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in by_hand(own, text)), text
+
+
+def test_a_full_cache_keeps_what_was_met_again(own, monkeypatch):
+    monkeypatch.setattr(alignment, "CACHE_UNITS", 40)
+    aligner = alignment.Aligner(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    learnt, learn = [], aligner.learn
+    monkeypatch.setattr(aligner, "learn", lambda units: (learnt.extend(units), learn(units)))
+    rng = random.Random(13)
+    for _ in range(60):
+        if aligner.full:
+            aligner.shrink()
+        text = " ".join(["often", "common", "usual", *("".join(rng.choices("abcdefgh", k=6)) for _ in range(5))])
+        at, _ = aligner.numbers(pa.array([text]))
+        assert len(aligner.known) <= 50
+        assert ";".join(aligner.texts[k] for k in at) == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in by_hand(own, text))
+        for p, k in enumerate(at.tolist()):
+            assert aligner.sizes[k, 0] == len(own.a.encode(" " + text.split(" ")[p]).ids) and aligner.first[k + 1] - aligner.first[k] == aligner.sizes[k, 3]
+    assert all(learnt.count(u) == 1 for u in (" often", " common", " usual"))
