@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html as html_module
+import re
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,6 +18,12 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 #: References that need no table: the rest goes through an Arrow UDF.
 _PLAIN = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&nbsp;": " ", "&#39;": "'"}
 _OTHER = r"&(?!(?:copy|middot|quot|lt|gt|nbsp|#39|amp);)[#A-Za-z]"
+_AND = re.compile(r"&(?!amp|#[0-9]+;|#[xX][0-9A-Fa-f]+;)([A-Za-z][A-Za-z0-9]*;)?")
+
+
+def mark_bare(text: str, mark: str) -> str:
+    """``mark`` for each & that begins no whole reference: one with its semicolon, or ``&amp`` with or without."""
+    return _AND.sub(lambda m: m[0] if m[1] in html5 else mark + m[0][1:], text)
 
 
 @F.pandas_udf(StringType())
@@ -23,6 +31,11 @@ def _unescape(text: pd.Series) -> pd.Series:
     return text.map(html_module.unescape, na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def _unescape_whole(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: html_module.unescape(mark_bare(x, "&amp;")), na_action="ignore")
+
+
 def decode_entities_native(text: Column) -> Column:
     """The common character references."""
     plain = text
@@ -31,10 +44,15 @@ def decode_entities_native(text: Column) -> Column:
     return F.replace(plain, F.lit("&amp;"), F.lit("&"))
 
 
-def decode_entities(text: Column) -> Column:
-    """Character references of HTML; only rows with uncommon ones are sent to Python."""
+def decode_entities(text: Column, bare: bool = True) -> Column:
+    """Character references of HTML; only rows with uncommon ones are sent to Python.
+
+    HTML knows old names without their semicolon too (``&quot``, ``&copy``). Without ``bare`` these stay as
+    they are, but for ``&amp``.
+    """
     plain = decode_entities_native(text)
-    return F.when(text.rlike(_OTHER), _unescape(F.when(text.rlike(_OTHER), text))).otherwise(plain)
+    unescape = _unescape if bare else _unescape_whole
+    return F.when(text.rlike(_OTHER), unescape(F.when(text.rlike(_OTHER), text))).otherwise(plain)
 
 
 def collapse(text: Column) -> Column:
@@ -47,9 +65,9 @@ def strip_markup(html: Column) -> Column:
     return F.regexp_replace(bare, "<[^>]+>", " ")
 
 
-def visible_text(html: Column) -> Column:
+def visible_text(html: Column, bare: bool = True) -> Column:
     """The text a reader could see: no scripts, styles or tags; references decoded; white space collapsed."""
-    return collapse(decode_entities(strip_markup(F.coalesce(html, F.lit("")))))
+    return collapse(decode_entities(strip_markup(F.coalesce(html, F.lit(""))), bare))
 
 
 def estimate_tokens(text: Column) -> Column:
