@@ -415,9 +415,9 @@ def _blocks(path_a: str, path_b: str, block_bytes: int):
 
 
 def align_blocks(docs: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", tokenizer_a: str | None = None, tokenizer_b: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of aligned documents, written to the shared folder."""
+    """Blocks of aligned documents, written to the shared folder; a row is some 10 MB, so each is a group of its file."""
     rows = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return materialise(rows.mapInArrow(_blocks(*_paths(tokenizer_a, tokenizer_b), block_bytes), BLOCK), "aligned-blocks")
+    return materialise(rows.mapInArrow(_blocks(*_paths(tokenizer_a, tokenizer_b), block_bytes), BLOCK), "aligned-blocks", group_rows=1)
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from loomspan.llm import alignment, queries
@@ -172,3 +173,11 @@ def test_a_full_cache_keeps_what_was_met_again(own, monkeypatch):
         for p, k in enumerate(at.tolist()):
             assert aligner.sizes[k, 0] == len(own.a.encode(" " + text.split(" ")[p]).ids) and aligner.first[k + 1] - aligner.first[k] == aligner.sizes[k, 3]
     assert all(learnt.count(u) == 1 for u in (" often", " common", " usual"))
+
+
+def test_a_large_row_is_a_row_group_of_its_own(spark):
+    rows = spark.createDataFrame([(i, f"text {i}" + " of some words" * 40_000) for i in range(6)], "doc_id long, text string").coalesce(1)
+    blocks = alignment.align_blocks(rows, block_bytes=1)
+    files = [f.removeprefix("file://") for f in blocks.inputFiles()]
+    sizes = [m.row_group(g).num_rows for f in files for m in [pq.read_metadata(f)] for g in range(m.num_row_groups)]
+    assert sum(sizes) == blocks.count() > 1 and set(sizes) == {1}
